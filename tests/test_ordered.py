@@ -43,6 +43,8 @@ def test_greedy_cuts_match_sequential_rule(spark, limits, chunk_rows):
         if r.run_seq is not None:
             start = next(b for b in before + [r] if b.seq == r.run_seq)
             assert (r.run_t, r.run_side) == (start.t, start.side)
+            assert r.run_pos == sum(b.run_seq == r.run_seq for b in before)
+        assert r.prev_run_pos == (before[-1].run_pos if before and not before[-1].closes else None)
         before.append(r)
 
 

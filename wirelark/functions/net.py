@@ -98,3 +98,10 @@ def with_direction_key(packets: DataFrame) -> DataFrame:
             .withColumn("flow_key", F.concat_ws(
                 "|", low["ip"], low["port"].cast("string"),
                 high["ip"], high["port"].cast("string"), F.col("proto"))))
+
+
+def seconds_to_4_places(us: Column) -> Column:
+    """Microseconds as seconds rounded half-even to four places, decided on whole numbers."""
+    units, rest = F.floor(us / 100), F.pmod(us, F.lit(100))
+    up = (rest > 50) | ((rest == 50) & (units % 2 != 0))
+    return (units + up.cast("int")) / F.lit(10000.0)

@@ -30,7 +30,7 @@ _NONE, _OPEN, _CLOSED = 0, 1, 2
 _BEFORE_ALL = -(1 << 62)
 
 _ENTRY_FIELDS = ["mode", "limit", "start_t", "start_seq", "start_side", "prev_t", "mark_t",
-                 "t0", "seq0", "t1", "seq1"]
+                 "t0", "seq0", "t1", "seq1", "rows"]
 _ENTRY_SCHEMA = T.StructType([T.StructField(f, T.LongType()) for f in _ENTRY_FIELDS])
 
 # What the scan adds to a row.
@@ -44,6 +44,8 @@ RUN_COLUMNS = T.StructType([
     T.StructField("side_prev_seq", T.LongType()),
     T.StructField("mark_t", T.LongType()),         # last row so far whose gap exceeded `idle`
     T.StructField("prev_mark_t", T.LongType()),    # the same, as of the row before
+    T.StructField("run_pos", T.LongType()),        # rows of the run before this one
+    T.StructField("prev_run_pos", T.LongType()),   # of the row before; null if its run was closed
 ])
 
 
@@ -156,6 +158,7 @@ def _scan(t, seq, side, closes, first, limits, entries):
     run_t = np.where(own, t[safe], 0)
     run_seq = np.where(own, seq[safe], 0)
     run_side = np.where(own, side[safe], 0)
+    run_pos = np.where(own, index - safe, 0)
 
     has_prev = ~first.copy()
     prev_t = np.where(has_prev, np.concatenate((t[:1], t[:-1])), 0)
@@ -185,6 +188,7 @@ def _scan(t, seq, side, closes, first, limits, entries):
             run_t[rows] = np.where(outside, e["start_t"], run_t[rows])
             run_seq[rows] = np.where(outside, e["start_seq"], run_seq[rows])
             run_side[rows] = np.where(outside, e["start_side"], run_side[rows])
+            run_pos[rows] = np.where(outside, e["rows"] + index[rows] - g, run_pos[rows])
         prev_t[g], has_prev[g] = e["prev_t"], True
         for k, at, at_seq in ((0, e["t0"], e["seq0"]), (1, e["t1"], e["seq1"])):
             if at == _BEFORE_ALL:
@@ -198,6 +202,12 @@ def _scan(t, seq, side, closes, first, limits, entries):
                 values[head] = np.where(known[head], values[head], e["mark_t"])
                 known[head] = True
     in_run = ~absorbed
+    prev_run_pos = np.concatenate((run_pos[:1], run_pos[:-1]))
+    still_open = in_run & ~closes
+    prev_in_run = has_prev & np.concatenate((still_open[:1], still_open[:-1]))
+    for g, e in entries.items():
+        if e["mode"] != _NONE:
+            prev_run_pos[g], prev_in_run[g] = e["rows"] - 1, e["mode"] == _OPEN
     return [
         pa.array(run_t, pa.int64(), mask=~in_run), pa.array(run_seq, pa.int64(), mask=~in_run),
         pa.array(run_side, pa.int32(), mask=~in_run), pa.array(absorbed, pa.bool_()),
@@ -206,6 +216,8 @@ def _scan(t, seq, side, closes, first, limits, entries):
         pa.array(side_prev_seq, pa.int64(), mask=~has_same),
         pa.array(mark_t, pa.int64(), mask=~has_mark),
         pa.array(prev_mark_t, pa.int64(), mask=~has_prev_mark),
+        pa.array(run_pos, pa.int64(), mask=~in_run),
+        pa.array(prev_run_pos, pa.int64(), mask=~prev_in_run),
     ]
 
 
@@ -259,11 +271,12 @@ def _inputs(table, t, seq, side, closes):
 
 def greedy_cuts(df: DataFrame, key: str, t: str, seq: str, *, active=NEVER, inactivity=NEVER,
                 linger=NEVER, idle=NEVER, closes: str | None = None, side: str | None = None,
-                chunk_rows: int | None = None) -> DataFrame:
+                chunk_rows: int | None = None, probe: DataFrame | None = None) -> DataFrame:
     """Adds RUN_COLUMNS. `key` is one string column, `t` a bigint axis and (t, seq) unique within
-    the key; `closes` and `side` are non-null boolean / 0-1 columns."""
+    the key; `closes` and `side` are non-null boolean / 0-1 columns; for `probe` see
+    `ordered.with_chunks`."""
     limits = _Limits(active, inactivity, linger, idle)
-    chunked, split = with_chunks(df, [key], [t, seq], chunk_rows)
+    chunked, split = with_chunks(df, [key], [t, seq], chunk_rows, probe)
     if split:
         chunked = chunked.join(F.broadcast(_entry_states(chunked, key, t, seq, side, closes, limits)),
                                [key, CHUNK], "left").drop(OPENINGS)
@@ -290,10 +303,11 @@ def greedy_cuts(df: DataFrame, key: str, t: str, seq: str, *, active=NEVER, inac
 
 # Only for keys that hold several chunks -------------------------------------------------------
 
-_STATE_FIELDS = ["mode", "limit", "start_t", "start_seq", "start_side"]
+_STATE_FIELDS = ["mode", "limit", "start_t", "start_seq", "start_side", "rows"]
 _STATE = T.StructType([T.StructField(f, T.LongType()) for f in _STATE_FIELDS])
 _STEP = T.StructType([T.StructField("upto", T.LongType()), *_STATE.fields])
 _DIGEST = T.StructType([
+    T.StructField("rows", T.LongType()),
     T.StructField("first_t", T.LongType()), T.StructField("last_t", T.LongType()),
     T.StructField("t0", T.LongType()), T.StructField("seq0", T.LongType()),
     T.StructField("t1", T.LongType()), T.StructField("seq1", T.LongType()),
@@ -323,9 +337,9 @@ def _digest(t, seq, side, closes, limits):
         r = int(root[i])
         if links.closed[r]:
             return {"mode": _CLOSED, "limit": int(t[links.close[r]]) + limits.linger,
-                    "start_t": 0, "start_seq": 0, "start_side": 0}
+                    "start_t": 0, "start_seq": 0, "start_side": 0, "rows": 0}
         return {"mode": _OPEN, "limit": int(t[r]) + limits.active, "start_t": int(t[r]),
-                "start_seq": int(seq[r]), "start_side": int(side[r])}
+                "start_seq": int(seq[r]), "start_side": int(side[r]), "rows": n - r}
 
     reach = max([x for x in (limits.active, limits.linger) if x < NEVER], default=0)
     reachable = min(int(np.searchsorted(t, t[0] + reach, side="right")) + 1, n)
@@ -339,11 +353,11 @@ def _digest(t, seq, side, closes, limits):
         resume = int(links.resume[close])
         at_close = after(resume) if resume < n else {
             "mode": _CLOSED, "limit": int(t[close]) + limits.linger,
-            "start_t": 0, "start_seq": 0, "start_side": 0}
+            "start_t": 0, "start_seq": 0, "start_side": 0, "rows": 0}
     long_gap = links.gaps > limits.idle
     zero, one = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
     return {
-        "first_t": int(t[0]), "last_t": int(t[-1]),
+        "rows": n, "first_t": int(t[0]), "last_t": int(t[-1]),
         "t0": int(t[zero[-1]]) if len(zero) else None, "seq0": int(seq[zero[-1]]) if len(zero) else None,
         "t1": int(t[one[-1]]) if len(one) else None, "seq1": int(seq[one[-1]]) if len(one) else None,
         "mark_t": int(t[np.flatnonzero(long_gap)[-1]]) if long_gap.any() else None,
@@ -355,6 +369,8 @@ def _digest(t, seq, side, closes, limits):
 
 def _leave(state, digest, limits):
     """State after a chunk, given the state (with prev_t) before it."""
+    unchanged = {**state, "rows": state["rows"] + digest["rows"]}
+
     def step(limit, strict):
         for s in digest["steps"]:
             if s["upto"] > limit or (s["upto"] == limit and not strict):
@@ -364,7 +380,7 @@ def _leave(state, digest, limits):
     if state["mode"] == _NONE:
         return digest["at_first"]
     if state["mode"] == _CLOSED:
-        return step(state["limit"], True) or state
+        return step(state["limit"], True) or unchanged
     if digest["first_t"] - state["prev_t"] >= limits.inactivity:
         return digest["at_first"]
     close, gap = digest["close_t"], digest["gap_t"]
@@ -372,7 +388,7 @@ def _leave(state, digest, limits):
         return digest["at_close"]
     if gap is not None and gap < state["limit"]:
         return digest["at_gap"]
-    return step(state["limit"], False) or state
+    return step(state["limit"], False) or unchanged
 
 
 def _entry_states(chunked, key, t, seq, side, closes, limits) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelark.functions import net
 from wirelark.operators.cuts import NEVER, greedy_cuts
+from wirelark.operators.heuristics import mark_packets
 from wirelark.schemas import FEATURE_NAMES
 
 
@@ -39,9 +40,14 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col(f"tcp_flags.{name}"), F.lit(False))
 
 
-def cut_into_flows(packets: DataFrame, limits: FlowLimits = LIVE) -> DataFrame:
+def cut_into_flows(packets: DataFrame, limits: FlowLimits = LIVE,
+                   marks: dict | None = None) -> DataFrame:
     """Adds flow identity (flow_key, start_us, start_seq), `is_fwd`, `absorbed` and the gaps that
-    the statistics need. `is_port_scan` / `is_conn_flood` are used when present."""
+    the statistics need. With `marks` (thresholds, see `heuristics.mark_packets`) scans and floods
+    are marked first and a marked packet closes its flow; marks already present are used too."""
+    probe = net.with_direction_key(packets)
+    if marks is not None:
+        packets = mark_packets(packets, **marks)
     for name in ("is_port_scan", "is_conn_flood"):
         if name not in packets.columns:
             packets = packets.withColumn(name, F.lit(False))
@@ -49,7 +55,7 @@ def cut_into_flows(packets: DataFrame, limits: FlowLimits = LIVE) -> DataFrame:
     keyed = net.with_direction_key(packets).withColumn("closes", closing)
     cut = greedy_cuts(keyed, "flow_key", "ts_us", "seq", closes="closes", side="side",
                       active=limits.active, inactivity=limits.inactivity,
-                      linger=limits.linger, idle=limits.idle)
+                      linger=limits.linger, idle=limits.idle, probe=probe)
     is_first = (F.col("ts_us") == F.col("run_t")) & (F.col("seq") == F.col("run_seq"))
     same_side_inside = (F.struct("side_prev_t", "side_prev_seq")
                         >= F.struct(F.col("run_t").alias("side_prev_t"),
@@ -189,7 +195,8 @@ def with_features(flows: DataFrame) -> DataFrame:
                    f"{label} Max": d(f"{name}_max"), f"{label} Min": d(f"{name}_min")}
     for flag in ("FIN", "SYN", "RST", "PSH", "ACK"):
         values[f"{flag} Flag Count"] = d(flag.lower())
-    kept = [c for c in flows.columns if not c.startswith(("act_", "idle_"))]
+    # column names ignore case, so "Protocol" takes the place of "protocol"
+    kept = [c for c in flows.columns if c != "protocol" and not c.startswith(("act_", "idle_"))]
     return flows.select(*kept, *[values[n].alias(n) for n in FEATURE_NAMES])
 
 
@@ -200,7 +207,7 @@ def with_summary(flows: DataFrame) -> DataFrame:
             .withColumn("protocol_name", net.protocol_name(F.col("protocol")))
             .withColumn("start_time", F.col("start_us") / F.lit(1e6))
             .withColumn("last_time", F.col("last_us") / F.lit(1e6))
-            .withColumn("duration_sec", F.bround(span / F.lit(1e6), 4))
+            .withColumn("duration_sec", net.seconds_to_4_places(span))
             .withColumn("total_packets", F.col("len_n")).withColumn("total_bytes", F.col("len_s"))
             .withColumn("fwd_packets", F.col("len_f_n")).withColumn("bwd_packets", F.col("len_b_n"))
             .withColumn("fwd_bytes", F.col("len_f_s")).withColumn("bwd_bytes", F.col("len_b_s")))
@@ -211,9 +218,9 @@ SUMMARY_COLUMNS = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol", "prot
                    "fwd_packets", "bwd_packets"]
 
 
-def build_flows(packets: DataFrame, limits: FlowLimits = LIVE) -> DataFrame:
-    """Packets (already filtered and, if wanted, flagged) to flows with features and summary."""
-    moments = flow_moments(cut_into_flows(packets, limits), limits)
+def build_flows(packets: DataFrame, limits: FlowLimits = LIVE, marks: dict | None = None) -> DataFrame:
+    """Filtered packets to flows with features and summary."""
+    moments = flow_moments(cut_into_flows(packets, limits, marks), limits)
     flows = with_summary(with_features(with_endpoints(moments)))
     return (flows.withColumn("is_port_scan", F.col("scan") == 1)
             .withColumn("is_conn_flood", F.col("flood") == 1))
@@ -223,23 +230,24 @@ def features(flows: DataFrame) -> DataFrame:
     return flows.select(*[F.col(f"`{n}`") for n in FEATURE_NAMES])
 
 
+def is_due(now_us: int, limits: FlowLimits = LIVE) -> Column:
+    return ((F.col("fin") + F.col("rst") > 0)
+            | (F.lit(now_us) - F.col("last_us") >= F.lit(limits.inactivity))
+            | (F.lit(now_us) - F.col("start_us") >= F.lit(limits.active)))
+
+
 def flush_expired(flows: DataFrame, now_us: int, limits: FlowLimits = LIVE,
                   force: bool = False) -> DataFrame:
     """Flows of a snapshot that are due for evaluation at `now_us`; all of them when forced."""
-    due = ((F.col("fin") + F.col("rst") > 0)
-           | (F.lit(now_us) - F.col("last_us") >= F.lit(limits.inactivity))
-           | (F.lit(now_us) - F.col("start_us") >= F.lit(limits.active)))
-    return flows if force else flows.where(due)
+    return flows if force else flows.where(is_due(now_us, limits))
 
 
 def aggregator_stats(flows: DataFrame, now_us: int, limits: FlowLimits = LIVE) -> DataFrame:
     """Packets taken in, flows flushed and flows still open as of `now_us`."""
-    due = flush_expired(flows.withColumn("due", F.lit(True)), now_us, limits)
-    marked = flows.select("len_n", F.lit(1).alias("n"), F.lit(0).alias("flushed")).unionByName(
-        due.select(F.lit(0).cast("long").alias("len_n"), F.lit(0).alias("n"), F.lit(1).alias("flushed")))
-    return marked.agg(F.coalesce(F.sum("len_n"), F.lit(0)).alias("total_packets_processed"),
-                      F.coalesce(F.sum("flushed"), F.lit(0)).alias("total_flows_flushed"),
-                      F.coalesce(F.sum("n") - F.sum("flushed"), F.lit(0)).alias("active_flows"))
+    due = is_due(now_us, limits)
+    return flows.agg(F.coalesce(F.sum("len_n"), F.lit(0)).alias("total_packets_processed"),
+                     F.count_if(due).alias("total_flows_flushed"),
+                     F.count_if(~due).alias("active_flows"))
 
 
 def oldest_flows(flows: DataFrame, max_flows: int) -> DataFrame:

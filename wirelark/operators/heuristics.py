@@ -30,15 +30,16 @@ def window_counts(syns: DataFrame, scan_window: int = 5_000_000, flood_window: i
         F.struct(at.alias("at"), F.lit(1).alias("arrival"), opens.cast("int").alias("ports"),
                  F.lit(1).alias("attempts")),
         F.struct((at + scan_window + 1).alias("at"), F.lit(0).alias("arrival"),
-                 -runs_out.cast("int"), F.lit(0)),
+                 (-runs_out.cast("int")).alias("ports"), F.lit(0).alias("attempts")),
         F.struct((at + flood_window + 1).alias("at"), F.lit(0).alias("arrival"),
-                 F.lit(0), F.lit(-1)))
+                 F.lit(0).alias("ports"), F.lit(-1).alias("attempts")))
     timeline = (near.withColumn("_step", F.explode(steps))
                 .where((F.col("_step.ports") != 0) | (F.col("_step.attempts") != 0))
                 .withColumn("_at", F.col("_step.at")).withColumn("_arrival", F.col("_step.arrival")))
+    arrivals = syns.withColumn("_at", F.col("ts_us")).withColumn("_arrival", F.lit(1))
     summed = running_sums(timeline, PAIR, ["_at", "_arrival", "seq"],
                           {"scan_ports": F.col("_step.ports"),
-                           "flood_attempts": F.col("_step.attempts")}, chunk_rows)
+                           "flood_attempts": F.col("_step.attempts")}, chunk_rows, probe=arrivals)
     return summed.where(F.col("_arrival") == 1).drop("_before", "_after", "_step", "_at", "_arrival")
 
 

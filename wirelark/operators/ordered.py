@@ -46,12 +46,17 @@ def _openings_before(openings: Column, position: Column) -> Column:
     return F.aggregate(widths, F.lit(0), halve)
 
 
-def with_chunks(df: DataFrame, keys, order, chunk_rows: int | None = None):
+def with_chunks(df: DataFrame, keys, order, chunk_rows: int | None = None,
+                probe: DataFrame | None = None):
     """Returns (df + `_chunk` [+ `_openings`], was anything split). Keys must not be null and
-    `order` must identify a row within its key well enough to spread ties."""
+    `order` must identify a row within its key well enough to spread ties.
+
+    An opening is only a position, so any table with the same keys and about the same positions
+    will do to choose them: `probe` is one that is cheaper to compute than `df`."""
     rows = chunk_rows_setting(df, chunk_rows)
+    source = (df if probe is None else probe).select(*keys, *order)
     while True:
-        opening_rows = (df.where(F.pmod(F.xxhash64(*order), F.lit(rows)) == 0)
+        opening_rows = (source.where(F.pmod(F.xxhash64(*order), F.lit(rows)) == 0)
                           .select(*keys, _position(order).alias("_at")))
         found = opening_rows.limit(MAX_OPENINGS + 1).count()
         if found <= MAX_OPENINGS:
@@ -72,10 +77,10 @@ def _attach(chunked: DataFrame, carry: DataFrame, keys) -> DataFrame:
 
 
 def running_sums(df: DataFrame, keys, order, sums: dict[str, Column],
-                 chunk_rows: int | None = None) -> DataFrame:
+                 chunk_rows: int | None = None, probe: DataFrame | None = None) -> DataFrame:
     """Adds sum(expr) over (partition by keys order by order rows up to the current one)."""
     keys, order = list(keys), list(order)
-    chunked, split = with_chunks(df, keys, order, chunk_rows)
+    chunked, split = with_chunks(df, keys, order, chunk_rows, probe)
     inside = (Window.partitionBy(*keys, CHUNK).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if not split:

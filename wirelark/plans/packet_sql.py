@@ -211,3 +211,8 @@ def live_flows(marks: str = NO_MARKS, inactivity: int = 10_000_000, active: int
                linger: int = 1_000_000) -> str:
     return ("WITH RECURSIVE " + CLEAN_PACKETS + DIRECTED + marks
             + runs(inactivity, active, linger) + flows())
+
+
+def seconds_to_4_places(us: str) -> str:
+    return (f"(({us} // 100 + CASE WHEN {us} % 100 > 50 OR ({us} % 100 = 50 AND {us} // 100 % 2 <> 0) "
+            "THEN 1 ELSE 0 END) / 10000.0::DOUBLE)")

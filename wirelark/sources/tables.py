@@ -138,3 +138,33 @@ def multiclass_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(pick == 0, F.lit("A")).when(pick == 1, F.lit("N")).otherwise(F.lit("R")).alias("y_pred"),
         F.array(F.lit("A"), F.lit("N"), F.lit("R")).alias("classes"),
         F.array((d + 1) / total, (x + 1) / total, F.col("l_linenumber") / total).alias("proba"))
+
+
+# Attack classes of the sample scores, in order.
+ATTACK_CLASSES = ["Analysis", "Backdoor", "Benign", "DoS", "Exploits", "Fuzzers", "Generic",
+                  "Reconnaissance", "Shellcode", "Worms"]
+
+
+def with_sample_scores(df: DataFrame, row: Column, k: Column) -> DataFrame:
+    """Class probabilities worked out from a row number and a value 0..99: with ties, rows sure to
+    be benign, and rows whose scoring failed."""
+    places = F.array(*[F.lit(i) for i in range(len(ATTACK_CLASSES))])
+    weight = F.transform(places, lambda i: F.when(row % 37 == 0, F.when(i == 2, 1).otherwise(0))
+                         .otherwise((k * (i + 3) + row * (i + 1)) % 17 + F.when(i == 2, 1).otherwise(0)))
+    scored = df.withColumn("_w", F.transform(weight, lambda w: w.cast("double")))
+    total = F.aggregate("_w", F.lit(0.0), lambda a, w: a + w)
+    return scored.withColumns({
+        "classes": F.array(F.lit("0"), F.lit("1")),
+        "proba": F.when(row % 29 != 0, F.array((100 - k) / 100.0, F.when(
+            row % 31 == 0, F.lit(float("nan"))).otherwise(k / 100.0))),
+        "dt_classes": F.array(*map(F.lit, ATTACK_CLASSES)),
+        "dt_proba": F.transform("_w", lambda w: F.try_divide(w, total)),
+    }).drop("_w")
+
+
+def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.col("event_id")
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), "event_id", payload_number().alias("k"),
+        (row % 11 == 0).alias("is_port_scan"), (row % 13 == 0).alias("is_conn_flood"))
+    return with_sample_scores(events, row, F.col("k"))
