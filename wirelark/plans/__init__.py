@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["flow_queries", "decision_queries", "training_queries", "evaluation_queries", "model_queries", "stream_queries"]
+_MODULES = ["flow_queries", "decision_queries", "training_queries", "evaluation_queries", "model_queries", "stream_queries", "capture_queries"]
 
 
 def all_queries():

@@ -168,3 +168,50 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"), "event_id", payload_number().alias("k"),
         (row % 11 == 0).alias("is_port_scan"), (row % 13 == 0).alias("is_conn_flood"))
     return with_sample_scores(events, row, F.col("k"))
+
+
+def with_frames(packets: DataFrame, some_bare: bool = False) -> DataFrame:
+    """Adds `linktype` and `frame`, the packet as it would be captured, with a payload of zeros:
+    Ethernet, padded to 60 bytes, or bare IPv4 for every fifth packet if wanted."""
+    two = lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")
+    one = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    octets = lambda c: F.concat(*[one(F.split_part(c, F.lit("."), F.lit(i)).cast("int")) for i in range(1, 5)])
+    tcp = F.col("proto") == "6"
+    bits = F.lit(0)
+    for i, name in enumerate(TCP_FLAG_NAMES):
+        bits = bits + F.coalesce(F.col(f"tcp_flags.{name}"), F.lit(False)).cast("int") * (1 << i)
+    zeros = lambda n: F.repeat(F.lit("00"), n)
+    l4 = F.concat(two(F.col("src_port")), two(F.col("dst_port")), F.when(tcp, F.concat(
+        F.lit("00" * 8), F.hex((F.col("header_len") / 4).cast("long")), F.lit("0"), one(bits),
+        two(F.col("tcp_window") % 65536), F.lit("00000000"), zeros(F.col("header_len") - 20)))
+        .otherwise(F.concat(two(F.col("payload_len") + 8), F.lit("0000"))), zeros(F.col("payload_len")))
+    ip = F.concat(F.lit("4500"), two(F.col("pkt_len")), F.lit("0000000040"), one(F.col("proto").cast("int")),
+                  F.lit("0000"), octets(F.col("src_ip")), octets(F.col("dst_ip")), l4)
+    ethernet = F.concat(F.lit("02" * 6 + "04" * 6 + "0800"), ip)
+    bare = (F.col("seq") % 5 == 0) & F.lit(some_bare)
+    padded = F.rpad(ethernet, F.greatest(F.length(ethernet), F.lit(120)), "0")
+    return packets.withColumns({
+        "linktype": F.when(bare, F.lit(101)).otherwise(F.lit(1)),
+        "frame": F.unhex(F.when(bare, ip).otherwise(padded))})
+
+
+def write_captures(framed: DataFrame, folder: str, files: int = 3) -> None:
+    """Writes Ethernet frames as capture files, one per task; a repeated task overwrites its own."""
+    def run(batches):
+        import struct
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+        target, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        target.create_dir(root, recursive=True)
+        n = 0
+        with target.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():05d}.pcap") as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1))
+            for batch in batches:
+                for ts, frame in zip(batch.column("ts_us").to_pylist(), batch.column("frame").to_pylist()):
+                    out.write(struct.pack("<IIII", ts // 10**6, ts % 10**6, len(frame), len(frame)) + frame)
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+    rows = framed.select("ts_us", "seq", "frame")
+    rows.repartitionByRange(files, "ts_us", "seq").sortWithinPartitions("ts_us", "seq").mapInArrow(run, "n long").count()
