@@ -1 +1,8 @@
 """Network-flow analytics expressed as DataFrame, Spark ML and Structured Streaming operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -25,9 +25,7 @@ def protocol_name(proto: Column) -> Column:
 
 def is_broadcast_or_multicast(ip: Column) -> Column:
     """Limited or subnet broadcast, or a first octet in 224..239."""
-    octet = F.regexp_extract(ip, r"^([0-9]{1,9})\.", 1)
-    multicast = F.when(octet != "", octet.cast("int").between(224, 239)).otherwise(F.lit(False))
-    return F.coalesce(ip.endswith(".255") | multicast, F.lit(False))
+    return F.coalesce(ip.rlike(r"\.255\z|^0*(22[4-9]|23[0-9])\."), F.lit(False))
 
 
 def unicast_only(packets: DataFrame) -> DataFrame:

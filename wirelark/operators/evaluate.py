@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelark.operators.bounded import small_side
 from wirelark.operators.ordered import neighbours, running_sums
+from wirelark.sources.scratch import cut_lineage
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
 
@@ -98,24 +99,26 @@ def confusion_matrix(predictions: DataFrame) -> DataFrame:
     return out.withColumn("true_name", shown("y_true")).withColumn("pred_name", shown("y_pred"))
 
 
-def _score_steps(scored: DataFrame, keys) -> DataFrame:
-    """Positives and negatives at and above every distinct score (`y` is 0 or 1)."""
-    counts = scored.groupBy(*keys, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    probe = scored.withColumn("_down", -F.col("score"))
-    return running_sums(counts.withColumn("_down", -F.col("score")), keys, ["_down"],
-                        {"tp": F.col("pos"), "fp": F.col("neg")}, probe=probe)
+def _score_counts(scored: DataFrame, keys) -> DataFrame:
+    """Positives and negatives per distinct score (`y` is 0 or 1), stored: the scored rows are
+    read once and all curves start from these counts."""
+    return cut_lineage(scored.groupBy(*keys, "score").agg(
+        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "scores")
 
 
-def _totals(scored: DataFrame, keys) -> DataFrame:
-    return small_side(scored.groupBy(*keys).agg(F.sum("y").alias("_p"), F.sum(1 - F.col("y")).alias("_n")))
+def _score_steps(counts: DataFrame, keys) -> DataFrame:
+    """Positives and negatives at and above every distinct score."""
+    return running_sums(counts.withColumn("_down", -F.col("score")), keys, ["_down"],
+                        {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def roc_curve(scored: DataFrame, keys=("model",), drop_intermediate: bool = False) -> DataFrame:
     """(keys, threshold, fpr, tpr) at every distinct score, plus the point (0, 0). Expects `y` and
     `score`. Points on a straight line between their neighbours can be left out."""
     keys = list(keys)
-    totals = _totals(scored, keys)
-    points = _score_steps(scored, keys)
+    counts = _score_counts(scored, keys)
+    totals = small_side(counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")))
+    points = _score_steps(counts, keys)
     if drop_intermediate:
         near = neighbours(points.withColumn("_step", F.struct("pos", "neg")), keys, ["_down"], "_step",
                           following="_next")
@@ -133,7 +136,7 @@ def roc_auc(scored: DataFrame, keys=("model",)) -> DataFrame:
     """Trapezoid area: each score adds its negatives times the positives above it, ties half."""
     keys = list(keys)
     twice = F.col("neg").cast("double") * (2 * F.col("tp") - F.col("pos"))
-    area = _score_steps(scored, keys).groupBy(*keys).agg(
+    area = _score_steps(_score_counts(scored, keys), keys).groupBy(*keys).agg(
         F.sum(twice).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return area.select(*keys, (F.col("a") / (F.lit(2.0) * F.col("p") * F.col("n"))).alias("auc"))
 
@@ -154,12 +157,13 @@ def roc_macro(predictions: DataFrame) -> DataFrame:
     equi-join on (class, knot number)."""
     ovr = one_vs_rest(predictions)
     curves = roc_curve(ovr, ["model", "class"])
-    knots = curves.groupBy("model", "class", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
+    knots = cut_lineage(curves.groupBy("model", "class", "fpr").agg(
+        F.min("tpr").alias("low"), F.max("tpr").alias("high")), "knots")
     classes = small_side(knots.select("model", "class").distinct())
     grid = knots.select("model", "fpr").distinct().join(classes, "model")
     line = (grid.join(knots, ["model", "class", "fpr"], "left")
             .withColumn("is_knot", F.col("low").isNotNull().cast("int")))
-    line = running_sums(line, ["model", "class"], ["fpr"], {"k": F.col("is_knot")}, probe=curves)
+    line = running_sums(line, ["model", "class"], ["fpr"], {"k": F.col("is_knot")}, probe=knots)
     at = line.where("is_knot = 1").select("model", "class", "k", F.col("fpr").alias("x0"), F.col("high").alias("y0"))
     after = line.where("is_knot = 1").select("model", "class", (F.col("k") - 1).alias("k"),
                                              F.col("fpr").alias("x1"), F.col("low").alias("y1"))

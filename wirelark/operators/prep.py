@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelark.operators.ordered import running_sums
+from wirelark.sources.scratch import cut_lineage
 
 SCALES = ("log_standard", "robust", "standard")
 MISSING = "missing"
@@ -30,11 +31,12 @@ def _unpivot(df: DataFrame, columns) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, columns, probabilities) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, ignoring nulls. Equal values are counted together
-    before the shuffle, then ranked by a chunked running sum; no task sorts a whole column."""
+    before the shuffle and stored, then ranked by a chunked running sum; the rows are read once and
+    no task sorts a whole column."""
     columns, probabilities = list(columns), list(probabilities)
     long = _unpivot(df, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("name", "value").agg(F.count("*").alias("n"))
-    upto = running_sums(counts, ["name"], ["value"], {"upto": F.col("n")}, probe=long)
+    counts = cut_lineage(long.groupBy("name", "value").agg(F.count("*").alias("n")), "values")
+    upto = running_sums(counts, ["name"], ["value"], {"upto": F.col("n")})
     sizes = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("n").alias("n")).collect()}
     spots = {i: [p * (n - 1) for p in probabilities] for i, n in sizes.items()}
     wanted = sorted({(i, r) for i, at in spots.items() for x in at for r in (math.floor(x), math.ceil(x))})
@@ -104,7 +106,8 @@ def scaling_sql(train: DataFrame, numeric, scale: str) -> dict[str, str]:
 def fit_preprocessor(train: DataFrame, numeric, categorical=(), scale: str = "log_standard",
                      out: str = "features") -> PipelineModel:
     """Imputes, drops constant columns, scales, one-hot encodes (a category not seen in training
-    is all zeros) and assembles: first the numeric block, then the categorical one."""
+    is all zeros) and assembles: first the numeric block, then the categorical one. The training
+    rows are read a few times, so hand in a stored table."""
     scaled = scaling_sql(train, list(numeric), scale)
     categorical = list(categorical)
     columns = [f"{e} AS `num__{c}`" for c, e in scaled.items()]

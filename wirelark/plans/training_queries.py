@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wirelark.operators import prep, sampling
 from wirelark.plans.catalog import query
 from wirelark.sources import flowtable, tables
-from wirelark.sources.scratch import shared_folder
+from wirelark.sources.scratch import cut_lineage, shared_folder
 
 _COLUMNS = ["row_id", "Flow ID", "Src IP", "Dst IP", "Timestamp", "Protocol", "Flow Packets",
             "Flow Bytes", "Down Ratio", "Idle Ratio", "Bwd PSH Flags", "Label"]
@@ -42,9 +42,13 @@ def cleaned(spark, sf_dir):
     return flowtable.clean(tables.flow_table(spark, sf_dir), keep=("row_id",))
 
 
+def kept_rows(spark, sf_dir):
+    """The cleaned table, stored because what follows reads it several times."""
+    return flowtable.drop_rare_classes(cut_lineage(cleaned(spark, sf_dir), "cleaned"))
+
+
 def targeted(spark, sf_dir, mode="binary"):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
-    return flowtable.with_target(kept, mode)
+    return flowtable.with_target(kept_rows(spark, sf_dir), mode)
 
 
 def _quoted(names):
@@ -92,7 +96,7 @@ def class_counts(spark, sf_dir):
 
 @query("rare_class_filter", _WITH + ' SELECT row_id, "Label" FROM kept')
 def rare_class_filter(spark, sf_dir):
-    return flowtable.drop_rare_classes(cleaned(spark, sf_dir)).select("row_id", "Label")
+    return kept_rows(spark, sf_dir).select("row_id", "Label")
 
 
 @query("binary_target", _WITH + " SELECT row_id, target FROM targeted")
@@ -109,7 +113,7 @@ def multiclass_target(spark, sf_dir):
        ' SELECT row_id, "Label", (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n) AS weight '
        'FROM kept JOIN c USING ("Label")')
 def class_weights(spark, sf_dir):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     return flowtable.with_class_weights(kept, "Label").select("row_id", "Label", "weight")
 
 
@@ -117,7 +121,7 @@ def class_weights(spark, sf_dir):
     count(*) OVER (PARTITION BY "Label") AS n FROM hashed)
   SELECT row_id, "Label" FROM r WHERE rk <= round_even(0.1::DOUBLE * n, 0)""")
 def stratified_sample(spark, sf_dir):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     return sampling.stratified_sample(kept, 0.1).select("row_id", "Label")
 
 
@@ -175,7 +179,7 @@ _BLANK = _WITH + ", b AS (SELECT DISTINCT * FROM blanked), m AS (SELECT " + ", "
 
 @query("impute_median", _BLANK + " SELECT row_id, x0, x1, x2, x3 FROM filled")
 def impute_median(spark, sf_dir):
-    b = _blanked(spark, sf_dir)
+    b = cut_lineage(_blanked(spark, sf_dir), "blanked")
     median = {c: q[0] for c, q in prep.exact_quantiles(b, _NUMERIC, [0.5]).items()}
     return b.select("row_id", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(median[c])).alias(f"x{i}")
                                 for i, c in enumerate(_NUMERIC)])
@@ -192,21 +196,21 @@ def impute_missing(spark, sf_dir):
   'Down Ratio', 'Idle Ratio', 'Bwd PSH Flags']) AS name, unnest([var_pop("Flow Packets"), var_pop("Flow Bytes"),
   var_pop("Down Ratio"), var_pop("Idle Ratio"), var_pop("Bwd PSH Flags")]) AS v FROM kept) WHERE v > 0""")
 def variance_threshold(spark, sf_dir):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     names = prep.varying_columns(kept, _NUMERIC + ["Bwd PSH Flags"])
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
 @query("log1p_clip", _WITH + """ SELECT row_id, round(ln(1 + greatest("Flow Bytes"::DOUBLE - 30000, 0.0)), 6) AS v FROM kept""")
 def log1p_clip(spark, sf_dir):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     return kept.select("row_id", F.round(prep.log1p_clip(F.col("`Flow Bytes`").cast("double") - 30000), 6).alias("v"))
 
 
 @query("standard_scale", _WITH + """, m AS (SELECT avg("Flow Bytes"::DOUBLE) AS a, stddev_pop("Flow Bytes"::DOUBLE) AS s FROM kept)
   SELECT row_id, round(("Flow Bytes"::DOUBLE - a) / s, 6) AS v FROM kept, m""")
 def standard_scale(spark, sf_dir):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     mean, dev = prep.mean_and_deviation(kept, {"x": "CAST(`Flow Bytes` AS DOUBLE)"})["x"]
     return kept.select("row_id", F.round((F.col("`Flow Bytes`").cast("double") - mean) / dev, 6).alias("v"))
 
@@ -215,7 +219,7 @@ def standard_scale(spark, sf_dir):
     quantile_cont("Flow Bytes"::DOUBLE, 0.75) - quantile_cont("Flow Bytes"::DOUBLE, 0.25) AS s FROM kept)
   SELECT row_id, round(("Flow Bytes"::DOUBLE - a) / s, 6) AS v FROM kept, m""")
 def robust_scale(spark, sf_dir):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     low, mid, high = prep.exact_quantiles(kept, ["Flow Bytes"], [0.25, 0.5, 0.75])["Flow Bytes"]
     return kept.select("row_id", F.round((F.col("`Flow Bytes`").cast("double") - mid) / (high - low), 6).alias("v"))
 
@@ -229,7 +233,7 @@ def _vector_columns(df, n):
   ("Protocol" = '6.0')::INTEGER::DOUBLE AS f1 FROM kept""")
 def one_hot(spark, sf_dir):
     """Fitted without 'TCP', which is therefore unseen and encodes to zeros."""
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     model = prep.fit_preprocessor(kept.where("Protocol <> 'TCP'"), [], ["Protocol"])
     return _vector_columns(prep.transform(model, kept.select("row_id", "Protocol")), 2)
 
@@ -237,6 +241,7 @@ def one_hot(spark, sf_dir):
 def _preprocess(spark, sf_dir, scale):
     rows = flowtable.with_protocol(_blanked(spark, sf_dir)).select(
         "row_id", "Protocol", *[F.col(f"`{c}`") for c in [*_NUMERIC, "Bwd PSH Flags"]])
+    rows = cut_lineage(rows, "rows")
     model = prep.fit_preprocessor(rows, [*_NUMERIC, "Bwd PSH Flags"], ["Protocol"], scale)
     return _vector_columns(prep.transform(model, rows), 6)
 
@@ -280,12 +285,12 @@ _ANOVA = _WITH + ", u AS (" + " UNION ALL ".join(
 
 @query("anova_f", _ANOVA + " SELECT feature, f_value FROM f")
 def anova_f(spark, sf_dir):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     return prep.anova_f(kept, _NUMERIC, "Label").select("feature", F.round("f_value", 5).alias("f_value"))
 
 
 @query("anova_topk", _ANOVA + " SELECT feature, f_value FROM f ORDER BY f_value DESC, place DESC LIMIT 2")
 def anova_topk(spark, sf_dir):
-    kept = flowtable.drop_rare_classes(cleaned(spark, sf_dir))
+    kept = kept_rows(spark, sf_dir)
     return prep.top_features(prep.anova_f(kept, _NUMERIC, "Label"), 2).select(
         "feature", F.round("f_value", 5).alias("f_value"))
