@@ -62,18 +62,19 @@ def test_stacking(spark, classes, passthrough):
     assert len(weights) == width * (1 if classes == 2 else classes)
     folder = shared_folder(spark, "test")
     learners.save(model, folder, "stacking", "x")
-    assert probabilities(learners.load(folder, "stacking", "x").transform(df), "stacking") == pytest.approx(rows)
+    again = probabilities(learners.load(folder, "stacking", "x").transform(df), "stacking")
+    assert sum(again, []) == pytest.approx(sum(rows, []))
 
 
 def test_out_of_fold_rows_were_not_seen(spark):
     """A learner that only remembers its rows scores them at chance out of fold."""
     rng = random.Random(5)
-    rows = [(i, float(rng.random() < 0.5), Vectors.dense([float(i)])) for i in range(80)]
+    rows = [(i, float(rng.random() < 0.5), Vectors.dense([float(i)])) for i in range(30)]
     df = spark.createDataFrame(rows, ["row_id", "label", "features"])
     deep = SMALL.but("dt", depth=15, leaf=1, gain=0.0)
     inside = learners.f1_of(learners.fit_learner("dt", df, 2, deep).transform(df), "dt_prediction", 2)
     oof = learners.out_of_fold(df, ["dt"], 2, 4, deep)
-    assert oof.select("row_id").distinct().count() == oof.count() == 80
+    assert oof.select("row_id").distinct().count() == oof.count() == 30
     guess = oof.withColumn("g", (F.get(vector_to_array("meta_features"), F.lit(0)) > 0.5).cast("double"))
     assert inside > 0.8 > learners.f1_of(guess, "g", 2)
 

@@ -63,19 +63,18 @@ class _InOrder(StatefulProcessor):
     def _advance(self, key, timerValues, arrived):
         watermark = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
         if arrived is not None and arrived >= watermark:
-            self._wake(arrived + 1000)              # nothing to apply yet beyond what a timer will
-            ready = []
-        else:
-            held = sorted(tuple(r) for r in self.pending.get())
-            ready = [r for r in held if r[0] < watermark]
-            rest = held[len(ready):]
-            if ready:
-                if rest:
-                    self.pending.put(rest)
-                else:
-                    self.pending.clear()
+            self._wake(arrived + 1000)          # what is due among older rows has a timer already
+            return
+        held = sorted(tuple(r) for r in self.pending.get())
+        ready = [r for r in held if r[0] < watermark]
+        rest = held[len(ready):]
+        if ready:
             if rest:
-                self._wake(rest[0][0] + 1000)
+                self.pending.put(rest)
+            else:
+                self.pending.clear()
+        if rest:
+            self._wake(rest[0][0] + 1000)
         names = self.pending_schema.names
         yield from self.apply(key, [dict(zip(names, r)) for r in ready], watermark)
 
