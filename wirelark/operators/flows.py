@@ -77,6 +77,14 @@ def cut_into_flows(packets: DataFrame, limits: FlowLimits = LIVE,
                   "prev_mark_t", "closes"))
 
 
+def gap_sessions(packets: DataFrame, gap_us: int) -> DataFrame:
+    """(flow_key, start_us, last_us, packets) of runs without a pause of `gap_us`, whatever the
+    flags; the built-in session window would bring a whole key into one task."""
+    cut = greedy_cuts(net.with_direction_key(packets), "flow_key", "ts_us", "seq", inactivity=gap_us)
+    return (cut.groupBy("flow_key", F.col("run_t").alias("start_us"), "run_seq")
+            .agg(F.max("ts_us").alias("last_us"), F.count("*").alias("packets")).drop("run_seq"))
+
+
 def _moments(name: str, value: Column, present: Column) -> list[Column]:
     v = F.when(present, value)
     return [F.count(v).alias(f"{name}_n"),

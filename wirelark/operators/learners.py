@@ -360,7 +360,8 @@ def load(folder: str, name: str, mode: str) -> PipelineModel:
 
 def with_preprocessor(preprocessor: PipelineModel, classifier: PipelineModel) -> PipelineModel:
     """One model from raw columns to predictions; left alone if it has a preprocessor already."""
-    if classifier.stages and isinstance(classifier.stages[0], PipelineModel):
+    head = classifier.stages[0] if classifier.stages else None
+    if isinstance(head, PipelineModel) and head.stages and isinstance(head.stages[0], SQLTransformer):
         return classifier
     return PipelineModel([preprocessor, classifier])
 

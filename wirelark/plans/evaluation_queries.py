@@ -145,8 +145,7 @@ def metrics_comparison(spark, sf_dir):
     WHEN ta.f1 - tb.f1 > 0.05 THEN 'moderate' ELSE 'good' END AS verdict
   FROM la JOIN lb USING (model, metric) JOIN ta USING (model) JOIN tb USING (model)""")
 def overfit_gap(spark, sf_dir):
-    status = tables.table(spark, sf_dir, "lineitem").select(tables.line_id().alias("row_id"), "l_linestatus")
-    rows = tables.binary_predictions(spark, sf_dir).join(status.distinct(), "row_id")
+    rows = tables.binary_predictions(spark, sf_dir)
     return ev.overfit_gap(ev.metrics(rows.where("l_linestatus = 'F'")), ev.metrics(rows.where("l_linestatus = 'O'")))
 
 

@@ -183,11 +183,8 @@ def flow_replay(spark, sf_dir):
   SELECT flow_key, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS packets
   FROM s GROUP BY flow_key, session""")
 def flow_sessions_simple(spark, sf_dir):
-    keyed = net.with_direction_key(clean_packets(spark, sf_dir)).withColumn(
-        "ts", F.timestamp_micros("ts_us"))
-    return (keyed.groupBy("flow_key", F.session_window("ts", "10 seconds"))
-            .agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"),
-                 F.count("*").alias("packets")).drop("session_window"))
+    sessions = fl.gap_sessions(clean_packets(spark, sf_dir), 10_000_000)
+    return sessions.select("flow_key", "start_us", "last_us", "packets")
 
 
 @query("flow_early_emit", sql.live_flows(MARKS_SQL) + _RUN_SQL.replace(

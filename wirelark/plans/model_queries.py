@@ -8,10 +8,11 @@ probabilities are sound; figures of a fit are returned in queries without SQL.
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from wirelark.operators import decide, evaluate as ev, learners, prep
+from wirelark.operators import detect, evaluate as ev, learners, prep
 from wirelark.operators import flows as fl
 from wirelark.plans.catalog import query
-from wirelark.plans.flow_queries import MARKS, clean_packets
+from wirelark.plans import packet_sql
+from wirelark.plans.flow_queries import MARKS, MARKS_SQL, clean_packets
 from wirelark.plans.training_queries import _WITH, FLOW_TABLE_SQL, targeted
 from wirelark.sources import flowtable
 from wirelark.sources.scratch import cut_lineage, shared_folder
@@ -170,10 +171,12 @@ def learning_curve(spark, sf_dir):
     return _curve(spark, learners.learning_curve(training_rows(spark, sf_dir), 2, (0.2, 0.6, 1.0), 3, QUICK), "fraction")
 
 
-@query("detect_with_models")
+@query("detect_with_models", packet_sql.live_flows(MARKS_SQL) + """ SELECT flow_key, start_us, start_seq,
+  rst + fin > 0 OR is_conn_flood AS is_attack, CASE WHEN is_conn_flood THEN 'DoS' WHEN rst > 0 THEN 'DoS'
+  WHEN fin > 0 THEN 'Reconnaissance' ELSE 'Benign' END AS attack_type FROM flow""")
 def detect_with_models(spark, sf_dir):
     """Two trained stages on the flows themselves: first attack or not, then which attack. The
-    training labels come from the flows' own closing flags."""
+    training labels are the flows' own closing flags, which both stages can learn without error."""
     flows = cut_lineage(fl.build_flows(clean_packets(spark, sf_dir), marks=MARKS), "flows")
     kind = (F.when(F.col("rst") > 0, F.lit("DoS")).when(F.col("fin") > 0, F.lit("Reconnaissance"))
             .otherwise(F.lit("Benign")))
@@ -182,17 +185,11 @@ def detect_with_models(spark, sf_dir):
     numeric = [c for c in fl.FEATURE_NAMES if c != "Protocol"]
     preprocessor = prep.fit_preprocessor(rows, numeric, ["Protocol"])
     ready = cut_lineage(preprocessor.transform(rows).select(
-        *[F.col(f"`{c}`") for c in flows.columns], "kind", "row_id", "features"), "ready")
-    first = learners.fit_learner("dt", ready.withColumn("label", (F.col("kind") > 0).cast("double")), 2, QUICK)
-    second = learners.fit_learner("rf", ready.withColumn("label", F.col("kind").cast("double")), 3, QUICK)
-    scored = first.transform(ready).withColumns({
-        "classes": F.array(F.lit("0"), F.lit("1")), "proba": vector_to_array("dt_probability")})
-    # the second stage runs on the attack rows alone
-    attack = (F.get("proba", F.lit(1)) >= 0.5) | F.col("is_port_scan") | F.col("is_conn_flood")
-    none = F.lit(None).cast("array<double>")
-    staged = second.transform(scored.where(attack)).withColumn("dt_proba", vector_to_array("rf_probability"))
-    keep = [*flows.columns, "classes", "proba"]
-    keep = [F.col(f"`{c}`") for c in keep]
-    both = staged.select(*keep, "dt_proba").unionByName(scored.where(~attack).select(*keep, none.alias("dt_proba")))
-    decided = decide.decide_binary(both.withColumn("dt_classes", names))
-    return decided.select(*fl.FLOW, "is_attack", "attack_type", "probability", "dt_confidence")
+        "kind", "row_id", "features"), "ready")
+    first = learners.with_preprocessor(preprocessor, learners.fit_learner(
+        "dt", ready.withColumn("label", (F.col("kind") > 0).cast("double")), 2, QUICK))
+    second = learners.with_preprocessor(preprocessor, learners.fit_learner(
+        "rf", ready.withColumn("label", F.col("kind").cast("double")), 3, QUICK))
+    decided = detect.score_flows(flows, first, "dt", ["0", "1"], "cascade", second=second, second_name="rf",
+                                 second_classes=["Benign", "DoS", "Reconnaissance"])
+    return decided.select(*fl.FLOW, "is_attack", "attack_type")

@@ -116,14 +116,14 @@ def flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def binary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows of three pretend models; eleven distinct scores each, so the ROC has ties."""
     base = table(spark, sf_dir, "lineitem").select(
-        line_id().alias("row_id"),
+        line_id().alias("row_id"), "l_linestatus",
         (F.col("l_returnflag") != "N").cast("int").alias("y_true"),
         F.round(F.col("l_discount") * 100).cast("int").alias("d"),
         F.round(F.col("l_tax") * 100).cast("int").alias("x"))
     score = {"A": F.col("d"), "B": 10 - F.col("d"), "C": F.col("x")}
-    return base.select("row_id", "y_true", F.explode(F.array(*[
+    return base.select("row_id", "l_linestatus", "y_true", F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), (s / 10).alias("score")) for m, s in score.items()
-    ])).alias("p")).select("row_id", "y_true", "p.model", "p.score",
+    ])).alias("p")).select("row_id", "l_linestatus", "y_true", "p.model", "p.score",
                            (F.col("p.score") >= 0.5).cast("int").alias("y_pred"))
 
 
