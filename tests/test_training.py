@@ -79,6 +79,15 @@ def test_exact_quantiles(spark):
     assert got["x"] == pytest.approx(statistics.quantiles(known, n=4, method="inclusive"))
     assert got["y"] == [75.0, 150.0, 225.0]
     assert prep.exact_quantiles(df.where("x is null"), ["x"], [0.5]) == {"x": [None]}
+    # a coarse sketch over many rows and ties still ends in exact values
+    many = spark.range(20000).select(((F.col("id") * 7919) % 20011).cast("double").alias("u"),
+                                     F.floor(F.sqrt("id")).cast("double").alias("t"))
+    for accuracy in (20, 200):
+        got = prep.exact_quantiles(many, ["u", "t"], [0.0, 0.1, 0.5, 0.9, 1.0], accuracy)
+        for c in ("u", "t"):
+            known = sorted(r[0] for r in many.select(c).collect())
+            cuts = statistics.quantiles(known, n=10, method="inclusive")
+            assert got[c] == pytest.approx([known[0], cuts[0], cuts[4], cuts[8], known[-1]])
 
 
 def test_robust_preprocessor_and_round_trip(spark):

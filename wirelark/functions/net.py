@@ -68,8 +68,7 @@ def flags_from_bits(bits: Column) -> Column:
 
 def is_client_syn() -> Column:
     """A connection attempt: TCP with SYN and without ACK."""
-    return ((F.col("proto") == "6")
-            & F.coalesce(F.col("tcp_flags.SYN") & ~F.col("tcp_flags.ACK"), F.lit(False)))
+    return F.coalesce((F.col("proto") == "6") & F.col("tcp_flags.SYN") & ~F.col("tcp_flags.ACK"), F.lit(False))
 
 
 def flow_id(src_ip: Column, dst_ip: Column, src_port: Column, dst_port: Column,

@@ -22,37 +22,67 @@ SCALES = ("log_standard", "robust", "standard")
 MISSING = "missing"
 
 
-def _unpivot(df: DataFrame, columns) -> DataFrame:
-    """(name, value) of all columns; name is the column's place in the list."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("name"), F.col(f"`{c}`").cast("double").alias("value"))
-                      for i, c in enumerate(columns)])
-    return df.select(F.explode(pairs).alias("p")).select("p.name", "p.value")
-
-
-def exact_quantiles(df: DataFrame, columns, probabilities) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation, ignoring nulls. Equal values are counted together
-    before the shuffle and stored, then ranked by a chunked running sum; the rows are read once and
-    no task sorts a whole column."""
+def _brackets(narrow: DataFrame, probabilities, accuracy: int):
+    """(sizes, brackets): per column its number of values, and per column and probability
+    (column, place, low, high, values below low) such that the wanted ranks lie in low..high."""
+    names, slack = narrow.columns, 2.0 / accuracy
+    ends = [max(p - slack, 0.0) for p in probabilities] + [min(p + slack, 1.0) for p in probabilities]
+    row = narrow.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (
+        ("n", F.count), ("min", F.min), ("max", F.max),
+        ("q", lambda c: F.percentile_approx(c, ends, accuracy)))]).first()
+    sizes = {i: row[f"{c}_n"] for i, c in enumerate(names) if row[f"{c}_n"]}
+    guesses = []
+    for i in sizes:
+        c, k = names[i], len(probabilities)
+        for j in range(k):
+            low = row[f"{c}_min"] if ends[j] <= 0 else row[f"{c}_q"][j]
+            high = row[f"{c}_max"] if ends[j + k] >= 1 else row[f"{c}_q"][j + k]
+            guesses.append((i, j, low, high))
+    if not guesses:
+        return sizes, []
+    seen = narrow.agg(*[F.count_if(F.col(names[i]) < low).alias(f"b{g}") for g, (i, _, low, _) in enumerate(guesses)],
+                      *[F.count_if(F.col(names[i]) <= high).alias(f"u{g}") for g, (i, _, _, high) in enumerate(guesses)]
+                      ).first()
+    brackets = []
+    for g, (i, j, low, high) in enumerate(guesses):
+        at = probabilities[j] * (sizes[i] - 1)
+        if seen[f"b{g}"] <= math.floor(at) and math.ceil(at) < seen[f"u{g}"]:
+            brackets.append((i, j, low, high, seen[f"b{g}"]))
+        else:                                                    # the guess missed: take all values
+            brackets.append((i, j, row[f"{names[i]}_min"], row[f"{names[i]}_max"], 0))
+    return sizes, brackets
+
+
+def exact_quantiles(df: DataFrame, columns, probabilities, accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Quantiles with linear interpolation, ignoring nulls.
+
+    A sketch of all columns gives a narrow bracket around every wanted rank, and one more pass
+    counts what lies below it. Only the values inside the brackets are then counted together,
+    stored and ranked by a chunked running sum; no column is shuffled or sorted as a whole."""
     columns, probabilities = list(columns), list(probabilities)
-    long = _unpivot(df, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    if not columns:
+        return {}
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    narrow = df.select(*[F.when(~F.isnan(value(c)), value(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    sizes, brackets = _brackets(narrow, probabilities, accuracy)
+    out = {c: [None] * len(probabilities) for c in columns}
+    if not brackets:
+        return out
+    inside = F.array(*[
+        F.when(F.col(f"v{i}").between(low, high), F.struct(F.lit(b).alias("name"), F.col(f"v{i}").alias("value")))
+        for b, (i, _, low, high, _) in enumerate(brackets)])
+    long = narrow.select(F.explode(F.array_compact(inside)).alias("p")).select("p.name", "p.value")
     counts = cut_lineage(long.groupBy("name", "value").agg(F.count("*").alias("n")), "values")
     upto = running_sums(counts, ["name"], ["value"], {"upto": F.col("n")})
-    sizes = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("n").alias("n")).collect()}
-    spots = {i: [p * (n - 1) for p in probabilities] for i, n in sizes.items()}
-    wanted = sorted({(i, r) for i, at in spots.items() for x in at for r in (math.floor(x), math.ceil(x))})
-    if not wanted:
-        return {c: [None] * len(probabilities) for c in columns}
+    at = [probabilities[j] * (sizes[i] - 1) for i, j, *_ in brackets]
+    wanted = sorted({(b, r - brackets[b][4]) for b, x in enumerate(at) for r in (math.floor(x), math.ceil(x))})
     ranks = F.broadcast(df.sparkSession.createDataFrame(wanted, "name int, rank long"))
     found = {(r["name"], r["rank"]): r["value"] for r in
              upto.join(ranks, "name").where((F.col("rank") < F.col("upto"))
                                             & (F.col("rank") >= F.col("upto") - F.col("n"))).collect()}
-    out = {}
-    for i, c in enumerate(columns):
-        out[c] = []
-        for x in spots.get(i, []):
-            low, high = found[i, math.floor(x)], found[i, math.ceil(x)]
-            out[c].append(low + (high - low) * (x - math.floor(x)))
-        out[c] = out[c] or [None] * len(probabilities)
+    for b, (i, j, _, _, below) in enumerate(brackets):
+        low, high = found[b, math.floor(at[b]) - below], found[b, math.ceil(at[b]) - below]
+        out[columns[i]][j] = low + (high - low) * (at[b] - math.floor(at[b]))
     return out
 
 
