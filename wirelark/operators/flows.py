@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wirelark.functions import net
 from wirelark.operators.cuts import NEVER, greedy_cuts
 from wirelark.operators.heuristics import mark_packets
+from wirelark.operators.ordered import WHOLE, worth_splitting
 from wirelark.schemas import FEATURE_NAMES
 
 
@@ -45,9 +46,11 @@ def cut_into_flows(packets: DataFrame, limits: FlowLimits = LIVE,
     """Adds flow identity (flow_key, start_us, start_seq), `is_fwd`, `absorbed` and the gaps that
     the statistics need. With `marks` (thresholds, see `heuristics.mark_packets`) scans and floods
     are marked first and a marked packet closes its flow; marks already present are used too."""
-    probe = net.with_direction_key(packets)
+    probe, chunk_rows = net.with_direction_key(packets), None
     if marks is not None:
-        packets = mark_packets(packets, **marks)
+        if not worth_splitting(packets, ["ts_us", "seq"]):
+            chunk_rows = WHOLE
+        packets = mark_packets(packets, **marks, chunk_rows=chunk_rows)
     for name in ("is_port_scan", "is_conn_flood"):
         if name not in packets.columns:
             packets = packets.withColumn(name, F.lit(False))
@@ -55,24 +58,20 @@ def cut_into_flows(packets: DataFrame, limits: FlowLimits = LIVE,
     keyed = net.with_direction_key(packets).withColumn("closes", closing)
     cut = greedy_cuts(keyed, "flow_key", "ts_us", "seq", closes="closes", side="side",
                       active=limits.active, inactivity=limits.inactivity,
-                      linger=limits.linger, idle=limits.idle, probe=probe)
+                      linger=limits.linger, idle=limits.idle, chunk_rows=chunk_rows, probe=probe)
     is_first = (F.col("ts_us") == F.col("run_t")) & (F.col("seq") == F.col("run_seq"))
     same_side_inside = (F.struct("side_prev_t", "side_prev_seq")
                         >= F.struct(F.col("run_t").alias("side_prev_t"),
                                     F.col("run_seq").alias("side_prev_seq")))
-    return (cut
-            .withColumn("start_us", F.col("run_t"))
-            .withColumn("start_seq", F.col("run_seq"))
-            .withColumn("is_fwd", F.col("side") == F.col("run_side"))
-            .withColumn("is_first", is_first)
-            .withColumn("gap_us", F.when(~is_first, F.col("ts_us") - F.col("prev_t")))
-            .withColumn("side_gap_us", F.when(
-                F.col("side_prev_t").isNotNull() & same_side_inside,
-                F.col("ts_us") - F.col("side_prev_t")))
-            .withColumn("burst_us", F.greatest("run_t", "mark_t"))
-            .withColumn("ended_burst_us", F.when(
-                ~is_first & (F.col("ts_us") - F.col("prev_t") > F.lit(limits.idle)),
-                F.col("prev_t") - F.greatest("run_t", "prev_mark_t")))
+    return (cut.withColumns({
+        "start_us": F.col("run_t"), "start_seq": F.col("run_seq"),
+        "is_fwd": F.col("side") == F.col("run_side"), "is_first": is_first,
+        "gap_us": F.when(~is_first, F.col("ts_us") - F.col("prev_t")),
+        "side_gap_us": F.when(F.col("side_prev_t").isNotNull() & same_side_inside,
+                              F.col("ts_us") - F.col("side_prev_t")),
+        "burst_us": F.greatest("run_t", "mark_t"),
+        "ended_burst_us": F.when(~is_first & (F.col("ts_us") - F.col("prev_t") > F.lit(limits.idle)),
+                                 F.col("prev_t") - F.greatest("run_t", "prev_mark_t"))})
             .drop("run_t", "run_seq", "prev_t", "side_prev_t", "side_prev_seq", "mark_t",
                   "prev_mark_t", "closes"))
 
@@ -127,9 +126,10 @@ def with_endpoints(flows: DataFrame) -> DataFrame:
     part = F.split("flow_key", r"\|")
     low_first = F.col("run_side") == 0
     pick = lambda a, b: F.when(low_first, part[a]).otherwise(part[b])
-    return (flows.withColumn("src_ip", pick(0, 2)).withColumn("src_port", pick(1, 3).cast("int"))
-            .withColumn("dst_ip", pick(2, 0)).withColumn("dst_port", pick(3, 1).cast("int"))
-            .withColumn("protocol", net.protocol_number(part[4])))
+    return flows.withColumns({
+        "src_ip": pick(0, 2), "src_port": pick(1, 3).cast("int"),
+        "dst_ip": pick(2, 0), "dst_port": pick(3, 1).cast("int"),
+        "protocol": net.protocol_number(part[4])})
 
 
 def _mean(name: str) -> Column:
@@ -159,16 +159,13 @@ def with_features(flows: DataFrame) -> DataFrame:
 
     last_burst = F.col("last_us") - F.col("burst_us")
     extra = (last_burst > 0) | (F.col("act_n") == 0)
-    flows = (flows
-             .withColumn("act_min", F.when(~extra, F.col("act_min"))
-                         .when(F.col("act_n") == 0, last_burst)
-                         .otherwise(F.least(F.col("act_min"), last_burst)))
-             .withColumn("act_max", F.when(extra, F.greatest(F.col("act_max"), last_burst))
-                         .otherwise(F.col("act_max")))
-             .withColumn("act_q", F.when(extra, F.col("act_q") + d(last_burst) * last_burst)
-                         .otherwise(F.col("act_q")))
-             .withColumn("act_s", F.when(extra, F.col("act_s") + last_burst).otherwise(F.col("act_s")))
-             .withColumn("act_n", F.when(extra, F.col("act_n") + 1).otherwise(F.col("act_n"))))
+    flows = flows.withColumns({
+        "act_min": F.when(~extra, F.col("act_min")).when(F.col("act_n") == 0, last_burst)
+                    .otherwise(F.least(F.col("act_min"), last_burst)),
+        "act_max": F.when(extra, F.greatest(F.col("act_max"), last_burst)).otherwise(F.col("act_max")),
+        "act_q": F.when(extra, F.col("act_q") + d(last_burst) * last_burst).otherwise(F.col("act_q")),
+        "act_s": F.when(extra, F.col("act_s") + last_burst).otherwise(F.col("act_s")),
+        "act_n": F.when(extra, F.col("act_n") + 1).otherwise(F.col("act_n"))})
 
     default_head = F.when(udp, F.lit(8)).otherwise(F.lit(20)).cast("long")
     segment_min = (F.when(F.col("head_first") > 0, F.col("head_min"))
@@ -211,14 +208,13 @@ def with_features(flows: DataFrame) -> DataFrame:
 def with_summary(flows: DataFrame) -> DataFrame:
     """Summary columns used by logs and alerts."""
     span = F.greatest(F.col("last_us") - F.col("start_us"), F.lit(0))
-    return (flows
-            .withColumn("protocol_name", net.protocol_name(F.col("protocol")))
-            .withColumn("start_time", F.col("start_us") / F.lit(1e6))
-            .withColumn("last_time", F.col("last_us") / F.lit(1e6))
-            .withColumn("duration_sec", net.seconds_to_4_places(span))
-            .withColumn("total_packets", F.col("len_n")).withColumn("total_bytes", F.col("len_s"))
-            .withColumn("fwd_packets", F.col("len_f_n")).withColumn("bwd_packets", F.col("len_b_n"))
-            .withColumn("fwd_bytes", F.col("len_f_s")).withColumn("bwd_bytes", F.col("len_b_s")))
+    return flows.withColumns({
+        "protocol_name": net.protocol_name(F.col("protocol")),
+        "start_time": F.col("start_us") / F.lit(1e6), "last_time": F.col("last_us") / F.lit(1e6),
+        "duration_sec": net.seconds_to_4_places(span),
+        "total_packets": F.col("len_n"), "total_bytes": F.col("len_s"),
+        "fwd_packets": F.col("len_f_n"), "bwd_packets": F.col("len_b_n"),
+        "fwd_bytes": F.col("len_f_s"), "bwd_bytes": F.col("len_b_s")})
 
 
 SUMMARY_COLUMNS = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol", "protocol_name",

@@ -44,10 +44,11 @@ def window_counts(syns: DataFrame, scan_window: int = 5_000_000, flood_window: i
 
 
 def mark_attempts(syns: DataFrame, scan_threshold: int = 15, flood_threshold: int = 20,
-                  scan_window: int = 5_000_000, flood_window: int = 5_000_000) -> DataFrame:
+                  scan_window: int = 5_000_000, flood_window: int = 5_000_000,
+                  chunk_rows: int | None = None) -> DataFrame:
     """A scan mark wins over a flood mark on the same row."""
     scan = F.col("scan_ports") >= scan_threshold
-    return (window_counts(syns, scan_window, flood_window)
+    return (window_counts(syns, scan_window, flood_window, chunk_rows)
             .withColumn("is_port_scan", scan)
             .withColumn("is_conn_flood", ~scan & (F.col("flood_attempts") >= flood_threshold)))
 

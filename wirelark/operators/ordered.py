@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CHUNK_ROWS_CONF = "wirelark.chunkRows"
 DEFAULT_CHUNK_ROWS = 2_000_000
 MAX_OPENINGS = 500_000
+WHOLE = -1                      # as `chunk_rows`: keys are known to be small, do not look
 
 CHUNK = "_chunk"
 OPENINGS = "_openings"
@@ -46,6 +47,13 @@ def _openings_before(openings: Column, position: Column) -> Column:
     return F.aggregate(widths, F.lit(0), halve)
 
 
+def worth_splitting(df: DataFrame, order) -> bool:
+    """Would any chunk open in this table? Where several ordered steps follow on the same rows, one
+    look spares them theirs: if not, they can be given chunk_rows=WHOLE."""
+    rows = chunk_rows_setting(df)
+    return not df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(rows)) == 0).isEmpty()
+
+
 def with_chunks(df: DataFrame, keys, order, chunk_rows: int | None = None,
                 probe: DataFrame | None = None):
     """Returns (df + `_chunk` [+ `_openings`], was anything split). Keys must not be null and
@@ -54,6 +62,8 @@ def with_chunks(df: DataFrame, keys, order, chunk_rows: int | None = None,
     An opening is only a position, so any table with the same keys and about the same positions
     will do to choose them: `probe` is one that is cheaper to compute than `df`."""
     rows = chunk_rows_setting(df, chunk_rows)
+    if rows == WHOLE:
+        return df.withColumn(CHUNK, F.lit(0)), False
     source = (df if probe is None else probe).select(*keys, *order)
     while True:
         opening_rows = (source.where(F.pmod(F.xxhash64(*order), F.lit(rows)) == 0)
