@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wirelark.llm import decontaminate, langid, mixing, simhash, toxicity
+from wirelark.llm import chat, decontaminate, langid, licenses, mixing, quality, simhash, tokencount, toxicity, warc
+from wirelark.llm.shared import Scratch
 
 QUERIES = {}
 ORACLES = {}
@@ -23,6 +24,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    e AS (SELECT *, md5(role || chr(10) || text) AS tie, length({_escaped_sql('text')})
+      + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 11 WHEN 'system' THEN 11 ELSE 18 + length({_escaped_sql('role')}) END AS size FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, tie)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, tie) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      (sum(size) + 7)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""")
+def op1_chat(spark, sf_dir):
+    """All conversations and one that quotes control strings, formatted and read back."""
+    import public_tokenizers
+    template = chat.Template(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    quoted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoted)
+    return chat.read_back(chat.assemble(chat.encode_turns(rows, template), template), template).drop("n_tokens")
+
+
+@query()
+def op2_tokens(spark, sf_dir):
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+    f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+    SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+      CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+    FROM p LEFT JOIN f ON p.d = f.d""")
+def op3_warc(spark, sf_dir):
+    """All pages to archives, read back and merged into capture histories."""
+    pages = table(spark, sf_dir, "pages")
+    scratch = Scratch(spark, "warc")
+    warc.write_archives(pages, scratch.path("archives"))
+    runs = scratch.table("runs", warc.read_runs(spark, scratch.path("archives")))
+    merged = warc.histories(runs, pages.count())
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def mixture_levels() -> list[mixing.Level]:
     """Domain, language, source. The sample tables have no domain: it is the source's number modulo 4."""
     number = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,6})$", 1), F.lit("999999")), F.lit(0)).cast("long")
@@ -99,6 +149,19 @@ def op6_decontaminate(spark, sf_dir):
                               only=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]).drop("text")
 
 
+@query()
+def op7_licenses(spark, sf_dir):
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.build())
+    names = F.array_sort(F.array_distinct("findings.license"))
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"),
+                        F.coalesce(F.array_max("findings.coverage"), F.lit(0.0)).alias("coverage"), "findings")
+
+
+@query()
+def op8_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).drop("distance")
+
+
 @query()
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
