@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wirelark.functions.net import mitigation_rule, seconds_to_4_places
 from wirelark.operators.cuts import greedy_cuts
@@ -134,9 +134,25 @@ def write(recs: DataFrame, path: str, wanted: str = "", mode: str = "append") ->
 
 def recent(spark: SparkSession, path: str, schema: str, limit: int = 10) -> DataFrame:
     """The newest `limit` records of a JSON-lines log, oldest first. A line that is no JSON is kept
-    as it is in `raw`; blank lines are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("raw")).where(F.col("raw") != "")
-    return newest(parse_lines(lines, schema), limit)
+    as it is in `raw`, in its place after the line before it; blank lines are skipped."""
+    lines = spark.read.text(path).select(
+        F.trim("value").alias("raw"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line")).where(F.col("raw") != "")
+    return newest(placed(parse_lines(lines, schema)), limit).drop(*_PLACE)
+
+
+_PLACE = ["_at", "_file", "_block", "_line"]
+
+
+def placed(parsed: DataFrame) -> DataFrame:
+    """Adds `_at`, a record's (epoch, seq). A broken line gets that of the record before it in its
+    block of the file, or of the one after it where it comes first."""
+    fields = [c for c in ("epoch", "seq") if c in parsed.columns]
+    own = F.when(F.col("raw").isNull(), F.struct(*fields))
+    block = Window.partitionBy("_file", "_block").orderBy("_line")
+    before = F.last(own, True).over(block.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(own, True).over(block.rowsBetween(0, Window.unboundedFollowing))
+    return parsed.withColumn("_at", F.coalesce(before, after))
 
 
 def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
@@ -148,7 +164,7 @@ def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
 
 def newest(parsed: DataFrame, limit: int) -> DataFrame:
     """Takes the newest rows per task first, so only `limit` of each travel on."""
-    order = ["epoch", "seq"] if "seq" in parsed.columns else ["epoch"]
+    order = [c for c in (_PLACE if "_at" in parsed.columns else ["epoch", "seq"]) if c in parsed.columns]
     return parsed.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(limit).orderBy(*order)
 
 

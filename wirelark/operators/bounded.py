@@ -13,7 +13,10 @@ def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def listed(df: DataFrame, column: str, max_rows: int = 10_000):
-    """The column's values if there are at most `max_rows`, else None."""
-    rows = df.select(column).limit(max_rows + 1).collect()
-    return [r[0] for r in rows] if len(rows) <= max_rows else None
+def few_values(df: DataFrame, column: str, max_rows: int = 10_000) -> list:
+    """The distinct values of a column that is known to have few, such as classes; more than
+    `max_rows` are an error."""
+    rows = df.select(column).distinct().limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"{column} has more than {max_rows} distinct values")
+    return [r[0] for r in rows]

@@ -114,7 +114,8 @@ def _score_steps(counts: DataFrame, keys) -> DataFrame:
 
 def roc_curve(scored: DataFrame, keys=("model",), drop_intermediate: bool = False) -> DataFrame:
     """(keys, threshold, fpr, tpr) at every distinct score, plus the point (0, 0). Expects `y` and
-    `score`. Points on a straight line between their neighbours can be left out."""
+    `score`. Points on a straight line between their neighbours can be left out. Where all rows are
+    of one side, the other side's rate is null."""
     keys = list(keys)
     counts = _score_counts(scored, keys)
     totals = small_side(counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")))
@@ -125,20 +126,20 @@ def roc_curve(scored: DataFrame, keys=("model",), drop_intermediate: bool = Fals
         straight = F.col("pos") * F.col("_next.neg") == F.col("neg") * F.col("_next.pos")
         points = near.where(F.col("_next").isNull() | ~straight)
     points = points.join(totals, keys).select(
-        *keys, F.col("score").alias("threshold"), (F.col("fp") / F.col("_n")).alias("fpr"),
-        (F.col("tp") / F.col("_p")).alias("tpr"))
+        *keys, F.col("score").alias("threshold"), F.try_divide("fp", "_n").alias("fpr"), F.try_divide("tp", "_p").alias("tpr"))
     origin = totals.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                            F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 
 
 def roc_auc(scored: DataFrame, keys=("model",)) -> DataFrame:
-    """Trapezoid area: each score adds its negatives times the positives above it, ties half."""
+    """Trapezoid area: each score adds its negatives times the positives above it, ties half. Null
+    where all rows are of one side."""
     keys = list(keys)
     twice = F.col("neg").cast("double") * (2 * F.col("tp") - F.col("pos"))
     area = _score_steps(_score_counts(scored, keys), keys).groupBy(*keys).agg(
         F.sum(twice).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return area.select(*keys, (F.col("a") / (F.lit(2.0) * F.col("p") * F.col("n"))).alias("auc"))
+    return area.select(*keys, F.try_divide(F.col("a"), F.lit(2.0) * F.col("p") * F.col("n")).alias("auc"))
 
 
 def one_vs_rest(predictions: DataFrame) -> DataFrame:
@@ -152,11 +153,14 @@ def one_vs_rest(predictions: DataFrame) -> DataFrame:
 
 def roc_macro(predictions: DataFrame) -> DataFrame:
     """(model, fpr, tpr): the mean of the class curves on the union of their false-positive rates.
+    Classes without a row, or with all rows, have no curve and are left out.
 
     Each class curve is read at a rate by the number of its knots up to there, so the lookup is an
     equi-join on (class, knot number)."""
     ovr = one_vs_rest(predictions)
     curves = roc_curve(ovr, ["model", "class"])
+    sided = curves.groupBy("model", "class").agg((F.count("fpr") > 1).alias("_f"), (F.count("tpr") > 1).alias("_t"))
+    curves = curves.join(small_side(sided.where("_f and _t").select("model", "class")), ["model", "class"], "left_semi")
     knots = cut_lineage(curves.groupBy("model", "class", "fpr").agg(
         F.min("tpr").alias("low"), F.max("tpr").alias("high")), "knots")
     classes = small_side(knots.select("model", "class").distinct())

@@ -2,8 +2,9 @@
 
 One shuffle of the packets by (flow key, chunk) cuts them into flows; the statistics are then one
 hash aggregate of plain sums, minima and maxima, so it is combined before its shuffle and a flow
-whose packets lie in many chunks costs no more than any other. Standard deviations come from
-exact integer sums, which makes them independent of the order of addition.
+whose packets lie in many chunks costs no more than any other. Variances come from sums of whole
+numbers that are exact to the last digit, so they hold for values that are large and nearly equal,
+and do not depend on the order of addition.
 """
 
 from __future__ import annotations
@@ -84,11 +85,19 @@ def gap_sessions(packets: DataFrame, gap_us: int) -> DataFrame:
             .agg(F.max("ts_us").alias("last_us"), F.count("*").alias("packets")).drop("run_seq"))
 
 
+def _squares(v: Column) -> Column:
+    """The exact sum of squares as decimal(38,0). The values are added up in two halves of their
+    bits, in plain longs; gaps of one flow sum to its time span, which keeps the halves in range."""
+    high, low = F.shiftright(v, 20), v.bitwiseAND(F.lit((1 << 20) - 1))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)")
+    return (whole(high * high) * F.lit(1 << 40) + whole(high * low) * F.lit(1 << 21) + whole(low * low)).cast("decimal(38,0)")
+
+
 def _moments(name: str, value: Column, present: Column) -> list[Column]:
     v = F.when(present, value)
     return [F.count(v).alias(f"{name}_n"),
             F.coalesce(F.sum(v), F.lit(0)).alias(f"{name}_s"),
-            F.coalesce(F.sum(v.cast("double") * v), F.lit(0.0)).alias(f"{name}_q"),
+            _squares(v).alias(f"{name}_q"),
             F.coalesce(F.min(v), F.lit(0)).alias(f"{name}_min"),
             F.coalesce(F.max(v), F.lit(0)).alias(f"{name}_max")]
 
@@ -137,9 +146,10 @@ def _mean(name: str) -> Column:
 
 
 def variance_from_sums(n: Column, s: Column, q: Column) -> Column:
-    """Sample variance; 0 when there are fewer than two values."""
-    s = s.cast("double")
-    return F.when(n > 1, F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))).otherwise(F.lit(0.0))
+    """Sample variance; 0 when there are fewer than two values. Rounded once, from exact sums."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    spread = (whole(n) * whole(q)).cast("decimal(38,0)") - (whole(s) * whole(s)).cast("decimal(38,0)")
+    return F.when(n > 1, spread.cast("double") / (n * (n - 1)).cast("double")).otherwise(F.lit(0.0))
 
 
 def _var(name: str) -> Column:
@@ -163,7 +173,8 @@ def with_features(flows: DataFrame) -> DataFrame:
         "act_min": F.when(~extra, F.col("act_min")).when(F.col("act_n") == 0, last_burst)
                     .otherwise(F.least(F.col("act_min"), last_burst)),
         "act_max": F.when(extra, F.greatest(F.col("act_max"), last_burst)).otherwise(F.col("act_max")),
-        "act_q": F.when(extra, F.col("act_q") + d(last_burst) * last_burst).otherwise(F.col("act_q")),
+        "act_q": F.when(extra, F.col("act_q") + (last_burst.cast("decimal(18,0)") * last_burst.cast("decimal(18,0)"))
+                        .cast("decimal(38,0)")).otherwise(F.col("act_q")).cast("decimal(38,0)"),
         "act_s": F.when(extra, F.col("act_s") + last_burst).otherwise(F.col("act_s")),
         "act_n": F.when(extra, F.col("act_n") + 1).otherwise(F.col("act_n"))})
 

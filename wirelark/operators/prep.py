@@ -22,76 +22,108 @@ SCALES = ("log_standard", "robust", "standard")
 MISSING = "missing"
 
 
-def _brackets(narrow: DataFrame, probabilities, accuracy: int):
-    """(sizes, brackets): per column its number of values, and per column and probability
-    (column, place, low, high, values below low) such that the wanted ranks lie in low..high."""
+def _brackets(narrow: DataFrame, sizes: dict[int, int], ranks: list[tuple[int, int]], accuracy: int):
+    """(column, rank, low, high, values below low) such that each wanted rank (from 0) lies in low..high."""
     names, slack = narrow.columns, 2.0 / accuracy
-    ends = [max(p - slack, 0.0) for p in probabilities] + [min(p + slack, 1.0) for p in probabilities]
-    row = narrow.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (
-        ("n", F.count), ("min", F.min), ("max", F.max),
-        ("q", lambda c: F.percentile_approx(c, ends, accuracy)))]).first()
-    sizes = {i: row[f"{c}_n"] for i, c in enumerate(names) if row[f"{c}_n"]}
+    wanted = {i: [r for j, r in ranks if j == i] for i in sizes}
+    ends = {i: [min(max(r / max(sizes[i] - 1, 1) + side, 0.0), 1.0) for r in own for side in (-slack, slack)] for i, own in wanted.items() if own}
+    row = narrow.agg(*[f(names[i]).alias(f"{n}{i}") for i in ends for n, f in (
+        ("min", F.min), ("max", F.max), ("q", lambda c, e=ends[i]: F.percentile_approx(c, e, accuracy)))]).first()
     guesses = []
-    for i in sizes:
-        c, k = names[i], len(probabilities)
-        for j in range(k):
-            low = row[f"{c}_min"] if ends[j] <= 0 else row[f"{c}_q"][j]
-            high = row[f"{c}_max"] if ends[j + k] >= 1 else row[f"{c}_q"][j + k]
-            guesses.append((i, j, low, high))
-    if not guesses:
-        return sizes, []
+    for i in ends:
+        for k, r in enumerate(wanted[i]):
+            low = row[f"min{i}"] if ends[i][2 * k] <= 0 else row[f"q{i}"][2 * k]
+            high = row[f"max{i}"] if ends[i][2 * k + 1] >= 1 else row[f"q{i}"][2 * k + 1]
+            guesses.append((i, r, low, high))
     seen = narrow.agg(*[F.count_if(F.col(names[i]) < low).alias(f"b{g}") for g, (i, _, low, _) in enumerate(guesses)],
-                      *[F.count_if(F.col(names[i]) <= high).alias(f"u{g}") for g, (i, _, _, high) in enumerate(guesses)]
-                      ).first()
-    brackets = []
-    for g, (i, j, low, high) in enumerate(guesses):
-        at = probabilities[j] * (sizes[i] - 1)
-        if seen[f"b{g}"] <= math.floor(at) and math.ceil(at) < seen[f"u{g}"]:
-            brackets.append((i, j, low, high, seen[f"b{g}"]))
-        else:                                                    # the guess missed: take all values
-            brackets.append((i, j, row[f"{names[i]}_min"], row[f"{names[i]}_max"], 0))
-    return sizes, brackets
+                      *[F.count_if(F.col(names[i]) <= high).alias(f"u{g}") for g, (i, _, _, high) in enumerate(guesses)]).first()
+    return [(i, r, low, high, seen[f"b{g}"]) if seen[f"b{g}"] <= r < seen[f"u{g}"]
+            else (i, r, row[f"min{i}"], row[f"max{i}"], 0)                 # the guess missed: take all values
+            for g, (i, r, low, high) in enumerate(guesses)]
 
 
-def exact_quantiles(df: DataFrame, columns, probabilities, accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation, ignoring nulls.
+def order_statistics(df: DataFrame, columns, ranks_of, accuracy: int = 10_000) -> tuple[list[int], dict[tuple[int, int], float]]:
+    """(values per column, {(column, rank): value}): the values at the ranks (from 0) that
+    `ranks_of(values, nulls)` names for a column; null and NaN are no values.
 
     A sketch of all columns gives a narrow bracket around every wanted rank, and one more pass
     counts what lies below it. Only the values inside the brackets are then counted together,
     stored and ranked by a chunked running sum; no column is shuffled or sorted as a whole."""
-    columns, probabilities = list(columns), list(probabilities)
-    if not columns:
-        return {}
+    columns = list(columns)
     value = lambda c: F.col(f"`{c}`").cast("double")
     narrow = df.select(*[F.when(~F.isnan(value(c)), value(c)).alias(f"v{i}") for i, c in enumerate(columns)])
-    sizes, brackets = _brackets(narrow, probabilities, accuracy)
-    out = {c: [None] * len(probabilities) for c in columns}
-    if not brackets:
-        return out
+    row = narrow.agg(F.count("*").alias("rows"), *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    counts = [row[f"n{i}"] for i in range(len(columns))]
+    sizes = {i: n for i, n in enumerate(counts) if n}
+    ranks = [(i, r) for i, n in sizes.items() for r in sorted(set(ranks_of(n, row["rows"] - n)))]
+    if not ranks:
+        return counts, {}
+    brackets = _brackets(narrow, sizes, ranks, accuracy)
     inside = F.array(*[
         F.when(F.col(f"v{i}").between(low, high), F.struct(F.lit(b).alias("name"), F.col(f"v{i}").alias("value")))
         for b, (i, _, low, high, _) in enumerate(brackets)])
     long = narrow.select(F.explode(F.array_compact(inside)).alias("p")).select("p.name", "p.value")
-    counts = cut_lineage(long.groupBy("name", "value").agg(F.count("*").alias("n")), "values")
-    upto = running_sums(counts, ["name"], ["value"], {"upto": F.col("n")})
-    at = [probabilities[j] * (sizes[i] - 1) for i, j, *_ in brackets]
-    wanted = sorted({(b, r - brackets[b][4]) for b, x in enumerate(at) for r in (math.floor(x), math.ceil(x))})
-    ranks = F.broadcast(df.sparkSession.createDataFrame(wanted, "name int, rank long"))
-    found = {(r["name"], r["rank"]): r["value"] for r in
-             upto.join(ranks, "name").where((F.col("rank") < F.col("upto"))
-                                            & (F.col("rank") >= F.col("upto") - F.col("n"))).collect()}
-    for b, (i, j, _, _, below) in enumerate(brackets):
-        low, high = found[b, math.floor(at[b]) - below], found[b, math.ceil(at[b]) - below]
-        out[columns[i]][j] = low + (high - low) * (at[b] - math.floor(at[b]))
+    stored = cut_lineage(long.groupBy("name", "value").agg(F.count("*").alias("n")), "values")
+    upto = running_sums(stored, ["name"], ["value"], {"upto": F.col("n")})
+    wanted = df.sparkSession.createDataFrame([(b, r - below) for b, (_, r, _, _, below) in enumerate(brackets)], "name int, rank long")
+    found = {r["name"]: r["value"] for r in upto.join(F.broadcast(wanted), "name").where(
+        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).collect()}
+    return counts, {(i, r): found[b] for b, (i, r, *_) in enumerate(brackets)}
+
+
+def _between(at: float, low: float, high: float) -> float:
+    return low + (high - low) * (at - math.floor(at))
+
+
+def exact_quantiles(df: DataFrame, columns, probabilities, accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Quantiles with linear interpolation, ignoring nulls and NaN; None for columns without values."""
+    columns, probabilities = list(columns), list(probabilities)
+    if not columns:
+        return {}
+    counts, found = order_statistics(df, columns, lambda n, _: [
+        f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)], accuracy)
+
+    def quantile(i, n, p):
+        at = p * (n - 1)
+        return _between(at, found[i, math.floor(at)], found[i, math.ceil(at)])
+    return {c: [quantile(i, n, p) if n else None for p in probabilities] for i, (c, n) in enumerate(zip(columns, counts))}
+
+
+def filled_quartiles(df: DataFrame, columns) -> dict[str, tuple[float, float, float]]:
+    """(lower, median, upper) of each column after its nulls were given its median, without filling it:
+    the filled column is the old one and so many copies of the median, which stand in its middle."""
+    columns = list(columns)
+    if not columns:
+        return {}
+
+    def places(n, nulls):
+        """Ranks in the old column for the median, then those for the two quartiles of the filled one."""
+        last = n + nulls - 1
+        middle, low, high = (n - 1) / 2, last * 0.25, last * 0.75
+        return ([math.floor(middle), math.ceil(middle)], [min(f(low), n - 1) for f in (math.floor, math.ceil)],
+                [max(f(high) - nulls, 0) for f in (math.floor, math.ceil)])
+    rows = df.count()
+    counts, found = order_statistics(df, columns, lambda n, nulls: [r for own in places(n, nulls) for r in own])
+    out = {}
+    for i, (c, n) in enumerate(zip(columns, counts)):
+        if not n:
+            continue
+        middle, low, high = ([found[i, r] for r in own] for own in places(n, rows - n))
+        median = _between((n - 1) / 2, *middle)
+        lower = _between((rows - 1) * 0.25, *[min(x, median) for x in low])
+        upper = _between((rows - 1) * 0.75, *[max(x, median) for x in high])
+        out[c] = lower, median, upper
     return out
 
 
 def varying_columns(df: DataFrame, columns) -> list[str]:
-    """Columns with more than one value (empty columns do not vary)."""
+    """Columns with more than one value. Nulls and NaN are imputed later, so they are no values;
+    empty columns do not vary."""
     if not columns:
         return []
-    ends = df.agg(*[F.min(f"`{c}`").alias(f"a{i}") for i, c in enumerate(columns)],
-                  *[F.max(f"`{c}`").alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    ends = df.agg(*[F.min(value(c)).alias(f"a{i}") for i, c in enumerate(columns)],
+                  *[F.max(value(c)).alias(f"b{i}") for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if ends[f"a{i}"] is not None and ends[f"a{i}"] != ends[f"b{i}"]]
 
 
@@ -118,14 +150,14 @@ def scaling_sql(train: DataFrame, numeric, scale: str) -> dict[str, str]:
     kept = varying_columns(train, numeric)
     if not kept:
         return {}
-    quartiles = exact_quantiles(train, kept, [0.25, 0.5, 0.75] if scale == "robust" else [0.5])
-    median = {c: quartiles[c][len(quartiles[c]) // 2] for c in kept}
+    if scale == "robust":
+        quartiles = filled_quartiles(train, kept)
+        median = {c: quartiles[c][1] for c in kept}
+    else:
+        median = {c: q[0] for c, q in exact_quantiles(train, kept, [0.5]).items()}
     filled = {c: f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {_number(median[c])})" for c in kept}
     if scale == "robust":
-        # imputed values are the median itself, so they move the quartiles of the filled column
-        filled_frame = train.select(*[F.expr(e).alias(c) for c, e in filled.items()])
-        spread = exact_quantiles(filled_frame, kept, [0.25, 0.5, 0.75])
-        return {c: f"({filled[c]} - {_number(spread[c][1])}) / {_number((spread[c][2] - spread[c][0]) or 1.0)}"
+        return {c: f"({filled[c]} - {_number(median[c])}) / {_number((quartiles[c][2] - quartiles[c][0]) or 1.0)}"
                 for c in kept}
     if scale == "log_standard":
         filled = {c: f"log1p(greatest({e}, CAST(0 AS DOUBLE)))" for c, e in filled.items()}
@@ -142,7 +174,7 @@ def fit_preprocessor(train: DataFrame, numeric, categorical=(), scale: str = "lo
     categorical = list(categorical)
     columns = [f"{e} AS `num__{c}`" for c, e in scaled.items()]
     columns += [f"coalesce(`{c}`, '{MISSING}') AS `str__{c}`" for c in categorical]
-    stages = [SQLTransformer(statement="SELECT *, " + ", ".join(columns) + " FROM __THIS__")]
+    stages = [SQLTransformer(statement="SELECT " + ", ".join(["*", *columns]) + " FROM __THIS__")]
     if categorical:
         stages += [
             StringIndexer(inputCols=[f"str__{c}" for c in categorical],

@@ -1,18 +1,21 @@
 """Reproducible samples, splits and folds with exact counts.
 
-Rows are picked by the rank of a hash of their id within their class. The rank comes from
-`ordered.rank_within`, so a class that holds most of the rows is ranked by many tasks.
+Rows are picked by the rank of a hash of their id within their class. Samples and splits only look
+for each class's last hash and filter the rows where they are; folds need every rank, which comes
+from `ordered.rank_within`, so a class that holds most of the rows is ranked by many tasks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wirelark.operators.bounded import small_side
+from wirelark.operators.bounded import few_values, small_side
 from wirelark.operators.ordered import rank_within
 
+BUCKETS_LOG2 = 14
+
 
 def row_hash(row_id: Column, seed: int = 42) -> Column:
     """A whole number below 2**32 that any SQL engine can work out."""
@@ -27,18 +30,42 @@ def _ranked(df: DataFrame, keys, row_id: str, seed: int, shuffled: bool = True)
     return rank_within(hashed, keys, ["_hash", row_id], "_rank").drop("_hash")
 
 
+def _cutoffs(df: DataFrame, label: Column, quota: DataFrame, row_id: str, seed: int) -> DataFrame:
+    """(_class, _cut): the last (hash, id) that is within each class's `_quota`.
+
+    Counts per class and bucket of hashes find the bucket of the border; only its rows are ranked.
+    Rows travel as (class, hash, id), and before the counts they are combined where they are."""
+    narrow = df.select(label.alias("_class"), row_hash(F.col(row_id), seed).alias("_hash"), F.col(row_id).alias("_id"))
+    narrow = narrow.withColumn("_bucket", F.shiftright("_hash", 32 - BUCKETS_LOG2))
+    counts = narrow.groupBy("_class", "_bucket").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum("_n").over(upto)).join(
+        quota.withColumnRenamed("_class", "_c"), F.col("_class").eqNullSafe(F.col("_c"))).where("_upto >= _quota and _quota > 0")
+    border = counts.groupBy("_class").agg(F.min(F.struct("_bucket", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("left"))).alias("_b"))
+    border = small_side(border.select(F.col("_class").alias("_c"), F.col("_b._bucket").alias("_at"), F.col("_b.left").alias("_left")))
+    inside = narrow.join(border, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bucket") == F.col("_at")))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_hash", "_id"))
+    return inside.withColumn("_rank", rank).where("_rank = _left").select("_class", F.struct("_hash", "_id").alias("_cut"))
+
+
+def _within(df: DataFrame, label: Column, quota: DataFrame, row_id: str, seed: int) -> DataFrame:
+    """Adds `_inside`: whether a row is among the first `_quota` of its class by (hash, id)."""
+    cuts = small_side(_cutoffs(df, label, quota, row_id, seed))
+    own = F.struct(row_hash(F.col(row_id), seed).alias("_hash"), F.col(row_id).alias("_id"))
+    return (df.join(cuts, label.eqNullSafe(F.col("_class")), "left")
+            .withColumn("_inside", F.coalesce(own <= F.col("_cut"), F.lit(False))).drop("_class", "_cut"))
+
+
 def stratified_sample(df: DataFrame, fraction: float, label: str = "Label", row_id: str = "row_id",
                       seed: int = 42) -> DataFrame:
     """round-half-even(fraction x rows) of every class."""
-    quota = df.groupBy(label).agg(F.bround(F.lit(fraction) * F.count("*"), 0).cast("long").alias("_quota"))
-    return (_ranked(df, [label], row_id, seed).join(small_side(quota), label)
-            .where(F.col("_rank") <= F.col("_quota")).select(*df.columns))
+    quota = df.groupBy(F.col(label).alias("_class")).agg(F.bround(F.lit(fraction) * F.count("*"), 0).cast("long").alias("_quota"))
+    return _within(df, F.col(label), quota, row_id, seed).where("_inside").select(*df.columns)
 
 
 def simple_sample(df: DataFrame, fraction: float, row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    quota = round(fraction * df.count())
-    ranked = _ranked(df.withColumn("_all", F.lit(0)), ["_all"], row_id, seed)
-    return ranked.where(F.col("_rank") <= quota).select(*df.columns)
+    quota = df.agg(F.lit(0).alias("_class"), F.bround(F.lit(fraction) * F.count("*"), 0).cast("long").alias("_quota"))
+    return _within(df, F.lit(0), quota, row_id, seed).where("_inside").select(*df.columns)
 
 
 def sample(df: DataFrame, fraction: float, label: str = "Label", row_id: str = "row_id",
@@ -54,7 +81,8 @@ def sample(df: DataFrame, fraction: float, label: str = "Label", row_id: str = "
 def test_allocation(df: DataFrame, test_size: float, label: str) -> dict:
     """Rows per class that go to the test side: ceil(test_size x rows) in all, shared out by
     largest remainder (ties by class name)."""
-    counts = sorted((r[label], r["n"]) for r in df.groupBy(label).agg(F.count("*").alias("n")).collect())
+    few_values(df, label)
+    counts = sorted(((r[label], r["n"]) for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()), key=lambda c: (c[0] is not None, c[0]))
     rows = sum(n for _, n in counts)
     total = math.ceil(test_size * rows)
     share = {c: total * n // rows for c, n in counts}
@@ -69,9 +97,8 @@ def train_test_marks(df: DataFrame, test_size: float = 0.2, label: str = "target
     """Adds `is_test`, stratified by class."""
     share = test_allocation(df, test_size, label)
     quota = df.sparkSession.createDataFrame(
-        list(share.items()), f"{label} {df.schema[label].dataType.simpleString()}, _quota long")
-    return (_ranked(df, [label], row_id, seed).join(F.broadcast(quota), label)
-            .withColumn("is_test", F.col("_rank") <= F.col("_quota")).select(*df.columns, "is_test"))
+        list(share.items()), f"_class {df.schema[label].dataType.simpleString()}, _quota long")
+    return _within(df, F.col(label), quota, row_id, seed).withColumnRenamed("_inside", "is_test").select(*df.columns, "is_test")
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, label: str = "target",

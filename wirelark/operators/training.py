@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wirelark.operators import evaluate as ev
 from wirelark.operators import learners, prep, sampling
+from wirelark.operators.bounded import few_values
 from wirelark.sources import flowtable
 from wirelark.sources.scratch import cut_lineage
 
@@ -43,19 +44,28 @@ class Report:
     stacking_weights: list = field(default_factory=list)
 
 
+def unique_classes(rows: DataFrame, target: str = "target") -> list:
+    """The classes that occur, in order; null is none."""
+    return sorted(c for c in few_values(rows, target) if c is not None)
+
+
 def prepare(flows: DataFrame, mode: str = "binary", sample_fraction: float = 1.0, scale: str = "log_standard",
             label: str = "Label", row_id: str = "row_id", seed: int = 42, drop_rare: bool = False,
             preprocessor: PipelineModel | None = None) -> Prepared:
     """Cleans, samples, labels, splits and preprocesses. Rare classes are dropped when the table is
-    sampled, or when asked for. `row_id` is a unique whole number per row of the flow table. A
-    preprocessor that was saved before may be given; otherwise one is fitted on the training side."""
-    rows = cut_lineage(flowtable.clean(flowtable.with_protocol(flows), keep=(row_id,)), "cleaned")
+    sampled, or when asked for. `row_id` is a unique whole number per row of the flow table; where
+    there is no such column, one is made of the rows' content. A preprocessor that was saved before
+    may be given; otherwise one is fitted on the training side."""
+    rows = flowtable.clean(flowtable.with_protocol(flows), keep=(row_id,))
+    if row_id not in rows.columns:
+        rows = flowtable.with_row_id(cut_lineage(rows, "cleaned"), row_id)
+    rows = cut_lineage(rows, "cleaned")
     if sample_fraction < 1.0:
         rows = sampling.sample(rows, sample_fraction, label, row_id, seed)
     if sample_fraction < 1.0 or drop_rare:
         rows = flowtable.drop_rare_classes(rows, label)
     rows = flowtable.with_target(flowtable.drop_irrelevant(rows), mode, label)
-    classes = sorted(r["target"] for r in rows.select("target").distinct().collect())
+    classes = unique_classes(rows)
     label_of = F.array(*map(F.lit, classes))
     rows = rows.withColumn("label", (F.array_position(label_of, F.col("target")) - 1).cast("double"))
     marked = cut_lineage(sampling.train_test_marks(rows, 0.2, "target", row_id, seed)

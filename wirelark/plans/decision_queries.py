@@ -392,13 +392,18 @@ def log_segments(spark, sf_dir):
 
 
 @query("recent_logs", """WITH j AS (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // 5000
-    AS ts_us, event_type, value FROM events WHERE event_id % 1000 <> 17)
-  SELECT ts_us AS epoch, event_id AS seq, event_type AS event, value FROM j
-  ORDER BY ts_us DESC, event_id DESC LIMIT 25""")
+    AS ts_us, event_type, value, event_id % 10 = 7 AS broken FROM events),
+  p AS (SELECT *, CASE WHEN broken THEN lag(ts_us) OVER w ELSE ts_us END AS at_us,
+    CASE WHEN broken THEN lag(event_id) OVER w ELSE event_id END AS at_id FROM j WINDOW w AS (ORDER BY event_id))
+  SELECT CASE WHEN NOT broken THEN ts_us END AS epoch, CASE WHEN NOT broken THEN event_id END AS seq,
+    CASE WHEN NOT broken THEN event_type END AS event, CASE WHEN NOT broken THEN value END AS value,
+    CASE WHEN broken THEN '{broken ' || event_id END AS raw FROM p ORDER BY at_us DESC, at_id DESC, event_id DESC LIMIT 25""")
 def recent_logs(spark, sf_dir):
+    """Every tenth line is broken, so there are some among the last ones."""
     path = shared_folder(spark, "recent") + "/events.jsonl"
     body = F.to_json(F.struct(tables.compressed_us().alias("epoch"), F.col("event_id").alias("seq"),
                               F.col("event_type").alias("event"), "value"))
-    broken = F.when(F.col("event_id") % 1000 == 17, F.lit("{broken")).otherwise(body)
-    tables.table(spark, sf_dir, "events").select(broken.alias("value")).write.text(path)
-    return auditlog.recent(spark, path, "epoch bigint, seq bigint, event string, value double", 25).drop("raw")
+    line = F.when(F.col("event_id") % 10 == 7, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(body)
+    ordered = tables.table(spark, sf_dir, "events").select("event_id", line.alias("value"))
+    ordered.repartitionByRange(2, F.floor(F.col("event_id") / 10)).sortWithinPartitions("event_id").select("value").write.text(path)
+    return auditlog.recent(spark, path, "epoch bigint, seq bigint, event string, value double", 25)

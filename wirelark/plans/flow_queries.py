@@ -128,9 +128,16 @@ _GROUPS = {
 }
 
 
+def feature_columns(names):
+    """The columns as they are compared: deviations to the places that engines agree on."""
+    def column(n):
+        c = F.col(f"`{n}`")
+        return c if sql.places(n) is None else F.round(c, sql.places(n)).alias(n)
+    return [column(n) for n in names]
+
+
 def _feature_query(names):
-    return lambda spark, sf_dir: live_flows(spark, sf_dir).select(
-        *fl.FLOW, *[F.col(f"`{n}`") for n in names])
+    return lambda spark, sf_dir: live_flows(spark, sf_dir).select(*fl.FLOW, *feature_columns(names))
 
 
 for _name, _columns in _GROUPS.items():

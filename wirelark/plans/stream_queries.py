@@ -6,7 +6,7 @@ from wirelark.operators import alerts
 from wirelark.operators import flows as fl
 from wirelark.plans import packet_sql as sql
 from wirelark.plans.catalog import ORACLES, query
-from wirelark.plans.flow_queries import MARKS, MARKS_SQL, SYN_MARKS, SYN_SQL, clean_packets
+from wirelark.plans.flow_queries import MARKS, MARKS_SQL, SYN_MARKS, SYN_SQL, clean_packets, feature_columns
 from wirelark.plans.decision_queries import COOLDOWN_US
 from wirelark.sources import tables
 from wirelark.sources.scratch import shared_folder
@@ -49,7 +49,7 @@ def stream_packets(spark, sf_dir):
        + sql.feature_list(fl.FEATURE_NAMES) + " FROM flow")
 def stream_flows(spark, sf_dir):
     out = _packet_stream(spark, sf_dir, pr.stream_flows)
-    return out.select(*fl.FLOW, *[F.col(f"`{n}`") for n in fl.FEATURE_NAMES])
+    return out.select(*fl.FLOW, *feature_columns(fl.FEATURE_NAMES))
 
 
 @query("stream_marked_flows", sql.live_flows(MARKS_SQL)

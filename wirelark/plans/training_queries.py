@@ -24,14 +24,14 @@ once AS (
     CASE WHEN l_orderkey = 10 THEN 'Worms' WHEN l_orderkey = 5 THEN 'Shellcode'
          WHEN l_returnflag = 'N' THEN ' BENIGN ' WHEN l_returnflag = 'A' THEN 'DoS'
          ELSE 'Reconnaissance' END AS "Label" FROM ids),
-flow_table AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE row_id % 53 = 0),
+flow_table AS (SELECT * FROM once UNION ALL SELECT * REPLACE (row_id + 1152921504606846976 AS row_id) FROM once WHERE row_id % 53 = 0),
 f32 AS (SELECT * REPLACE ("Flow Packets"::FLOAT AS "Flow Packets", "Flow Bytes"::FLOAT AS "Flow Bytes",
   "Down Ratio"::FLOAT AS "Down Ratio", "Idle Ratio"::FLOAT AS "Idle Ratio",
   "Bwd PSH Flags"::FLOAT AS "Bwd PSH Flags") FROM flow_table),
 blanked AS (SELECT * REPLACE (CASE WHEN isfinite("Flow Packets") THEN "Flow Packets" END AS "Flow Packets",
   CASE WHEN isfinite("Flow Bytes") THEN "Flow Bytes" END AS "Flow Bytes") FROM f32),
 complete AS (SELECT * FROM blanked WHERE "Flow Packets" IS NOT NULL AND "Flow Bytes" IS NOT NULL),
-cleaned AS (SELECT DISTINCT * FROM complete),
+cleaned AS (SELECT min(row_id) AS row_id, * EXCLUDE (row_id) FROM complete GROUP BY ALL),
 kept AS (SELECT * FROM cleaned WHERE "Label" IN (SELECT "Label" FROM cleaned GROUP BY 1 HAVING count(*) >= 5)),
 targeted AS (SELECT *, CASE WHEN upper(trim("Label")) = 'BENIGN' THEN 0 ELSE 1 END AS target FROM kept),
 hashed AS (SELECT *, (row_id % 2147483647 * 2654435761 + 42 * 40503) % 4294967296 AS h FROM targeted)"""
@@ -167,11 +167,11 @@ def learning_curve_subsets(spark, sf_dir):
 
 
 def _blanked(spark, sf_dir):
-    raw = flowtable.to_float32(tables.flow_table(spark, sf_dir), keep=("row_id",)).dropDuplicates()
+    raw = flowtable.drop_repeats(flowtable.to_float32(tables.flow_table(spark, sf_dir), keep=("row_id",)), ("row_id",))
     return flowtable.blank_non_finite(raw)
 
 
-_BLANK = _WITH + ", b AS (SELECT DISTINCT * FROM blanked), m AS (SELECT " + ", ".join(
+_BLANK = _WITH + ", b AS (SELECT min(row_id) AS row_id, * EXCLUDE (row_id) FROM blanked GROUP BY ALL), m AS (SELECT " + ", ".join(
     f'quantile_cont("{c}"::DOUBLE, 0.5) AS m{i}, quantile_cont("{c}"::DOUBLE, 0.25) AS l{i}, '
     f'quantile_cont("{c}"::DOUBLE, 0.75) AS u{i}' for i, c in enumerate(_NUMERIC)) + " FROM b), filled AS (SELECT row_id, "\
     + '"Protocol", "Label", ' + ", ".join(f'coalesce("{c}"::DOUBLE, m{i}) AS x{i}' for i, c in enumerate(_NUMERIC)) + " FROM b, m)"

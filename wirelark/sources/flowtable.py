@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from wirelark.functions.net import protocol_number
-from wirelark.operators.bounded import listed, small_side
+from wirelark.operators.bounded import small_side
 from wirelark.schemas import CONSTANT_COLUMNS, IDENTIFIER_COLUMNS
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -50,9 +50,32 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return blank_non_finite(df).na.drop("any")
 
 
+def drop_repeats(df: DataFrame, ids=()) -> DataFrame:
+    """One row of those that are equal in all columns but `ids`: the one with the smallest ids."""
+    ids = [c for c in ids if c in df.columns]
+    if not ids:
+        return df.dropDuplicates()
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ids]
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in ids])).alias("_first")
+    return df.groupBy(*rest).agg(first).select(*[F.col(f"_first.`{c}`") if c in ids else F.col(f"`{c}`") for c in df.columns])
+
+
 def clean(df: DataFrame, keep=()) -> DataFrame:
-    """Floats, complete rows, no exact repeats."""
-    return drop_incomplete(to_float32(df, keep)).dropDuplicates()
+    """Floats, complete rows, no exact repeats. Columns in `keep` are ids: they stay as they are and
+    do not tell two rows apart."""
+    return drop_repeats(drop_incomplete(to_float32(df, keep)), keep)
+
+
+def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
+    """A whole number from each row's content, the same in every run. The rows must differ (see
+    `drop_repeats`); the few that share a hash get a second one by their order."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    hashed = df.withColumn(out, F.shiftrightunsigned(F.xxhash64(*columns), 1))
+    shared = small_side(hashed.groupBy(out).agg(F.count("*").alias("_n")).where("_n > 1").select(out))
+    order = Window.partitionBy(out).orderBy(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    again = hashed.join(shared, out, "left_semi").withColumn("_place", F.row_number().over(order))
+    again = again.withColumn(out, F.shiftrightunsigned(F.xxhash64(out, "_place"), 1)).drop("_place")
+    return hashed.join(shared, out, "left_anti").unionByName(again)
 
 
 def drop_irrelevant(df: DataFrame) -> DataFrame:
@@ -65,12 +88,9 @@ def class_counts(df: DataFrame, label: str = "Label") -> DataFrame:
 
 
 def drop_rare_classes(df: DataFrame, label: str = "Label", minimum: int = 5) -> DataFrame:
-    """Without the classes that have fewer than `minimum` rows."""
-    rare = class_counts(df, label).where(F.col("n") < minimum)
-    names = listed(rare, label)
-    if names is None:
-        return df.join(rare.select(label), label, "left_anti")
-    return df.where(~F.col(label).isin(names)) if names else df
+    """Without the classes that have fewer than `minimum` rows. A null label is no class; its rows stay."""
+    rare = class_counts(df, label).where((F.col("n") < minimum) & F.col(label).isNotNull())
+    return df.join(small_side(rare.select(label)), label, "left_anti")
 
 
 def with_target(df: DataFrame, mode: str = "binary", label: str = "Label", out: str = "target") -> DataFrame:

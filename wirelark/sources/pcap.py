@@ -6,6 +6,10 @@ place where a long chain of plausible record headers starts, and walks the heade
 record past the range. Where the walk of one range does not end at the start found for the next,
 that start was wrong; the range is walked again from the true place, until all ranges meet. The
 frames are then read range by range, so one huge file keeps as many tasks busy as many small ones.
+
+A record that reaches past the end of its file is damage: reading stops with an error that names the
+place, or, with on_damage="skip", goes on at the next range that begins with a plausible record.
+`damage` lists such places. Fewer bytes than a record header at the end of a file are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +33,27 @@ GLOBAL_HEADER, RECORD_HEADER = 24, 16
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6),
          b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
 
-_RANGE = "path string, length long, file_no long, range_no long, start long, stop long"
+_RANGE = "path string, length long, file_no long, range_no long, start long, stop long, damaged long"
 _FRAME = "seq long, ts_us long, linktype int, frame binary"
 
 
+def arrow_uri(path: str) -> str:
+    """A fully qualified Hadoop path as the file systems of pyarrow name it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        raise ValueError(f"{path} names no file system")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest
+
+
+class Damaged(ValueError):
+    pass
+
+
 class _File:
     def __init__(self, path: str, length: int):
-        source, name = fs.FileSystem.from_uri(path)
+        source, name = fs.FileSystem.from_uri(arrow_uri(path))
         self.handle, self.length = source.open_input_file(name), length
         head = self.at(0, GLOBAL_HEADER)
         if head[:4] not in MAGIC:
@@ -49,8 +67,9 @@ class _File:
     def header(self, data: bytes, place: int = 0):
         return struct.unpack_from(self.order + "IIII", data, place)
 
-    def plausible(self, window: bytes, place: int) -> bool:
-        """Do plausible headers follow one another from here to the window's or the file's end?"""
+    def plausible(self, window: bytes, place: int, base: int) -> bool:
+        """Do plausible headers follow one another from here to the window's or the file's end? The
+        window begins at `base`."""
         for _ in range(CHAIN):
             if place + RECORD_HEADER > len(window):
                 return True
@@ -58,17 +77,19 @@ class _File:
             if fraction >= self.fractions or kept > MAX_FRAME or whole > MAX_FRAME or kept > whole or kept == 0:
                 return False
             place += RECORD_HEADER + kept
+            if base + place > self.length:
+                return False
         return True
 
-    def guess(self, start: int) -> int:
+    def guess(self, start: int) -> int | None:
         """First place at or after `start` that looks like a record."""
         if start <= GLOBAL_HEADER:
             return GLOBAL_HEADER
         window = self.at(start, 4 * MAX_FRAME)
         for place in range(0, min(len(window) - RECORD_HEADER, MAX_FRAME + RECORD_HEADER) + 1):
-            if self.plausible(window, place):
+            if self.plausible(window, place, start):
                 return start + place
-        return min(start, self.length)
+        return None
 
     def records(self, start: int, stop: int, block: int = 8 * 1024 * 1024):
         """(place, seconds, fraction, frame) of the records that begin in start..stop."""
@@ -79,23 +100,27 @@ class _File:
             seconds, fraction, kept, _ = self.header(data, place - base)
             end = place + RECORD_HEADER + kept
             if end > self.length:
-                break
+                raise Damaged(place)
             if end > base + len(data):
                 data, base = self.at(place, max(block, RECORD_HEADER + kept)), place
             yield place, seconds, fraction, data[place - base + RECORD_HEADER:end - base]
             place = end
 
-    def walk(self, start: int, stop: int) -> int:
-        """Place of the first record at or past `stop`, from the true start of a record."""
+    def walk(self, start: int, stop: int) -> tuple[int, int | None]:
+        """Place of the first record at or past `stop`, from the true start of a record; and where a
+        damaged record ended the walk before, if one did."""
         place = start
-        for place, _, _, frame in self.records(start, stop):
-            place += RECORD_HEADER + len(frame)
-        return place
+        try:
+            for place, _, _, frame in self.records(start, stop):
+                place += RECORD_HEADER + len(frame)
+        except Damaged as damaged:
+            return damaged.args[0], damaged.args[0]
+        return place, None
 
 
 def _ranges(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("path", "length").where(F.col("length") >= GLOBAL_HEADER).withColumn("_all", F.lit(0)))
+             .select("path", "length").withColumn("_all", F.lit(0)))
     files = rank_within(files, ["_all"], ["path"], "file_no").drop("_all")
     last = F.greatest(F.ceil(F.col("length") / split_bytes) - 1, F.lit(0))
     return files.withColumn("range_no", F.explode(F.sequence(F.lit(0), last.cast("long"))))
@@ -110,8 +135,13 @@ def _walked(ranges: DataFrame, split_bytes: int) -> DataFrame:
                 file = _File(r["path"], r["length"])
                 begin = r["range_no"] * split_bytes
                 start = file.guess(begin) if r["start"] is None else r["start"]
-                out.append(r | {"start": start, "stop": file.walk(start, begin + split_bytes)})
-            yield pa.RecordBatch.from_pylist(out, schema=batch.schema.append(pa.field("stop", pa.int64())))
+                if start is None:                       # nothing to go by; the range before may know
+                    out.append(r | {"start": -1, "stop": -1, "damaged": begin})
+                    continue
+                stop, damaged = file.walk(start, begin + split_bytes)
+                out.append(r | {"start": start, "stop": stop, "damaged": damaged})
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema.append(
+                pa.field("stop", pa.int64())).append(pa.field("damaged", pa.int64())))
     spread = ranges.repartition("path", "range_no")
     return spread.select("path", "length", "file_no", "range_no", "start").mapInArrow(run, _RANGE)
 
@@ -121,7 +151,9 @@ def _splits(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
                                 split_bytes), "ranges")
     neighbours = Window.partitionBy("path").orderBy("range_no")
     while True:
-        checked = found.withColumn("true_start", F.coalesce(F.lag("stop").over(neighbours), F.col("start")))
+        # behind damage nobody knows better than the guess
+        claim = F.when(F.lag("damaged").over(neighbours).isNull(), F.lag("stop").over(neighbours))
+        checked = found.withColumn("true_start", F.coalesce(claim, F.col("start")))
         wrong = checked.where(F.col("start") != F.col("true_start"))
         if wrong.isEmpty():
             return found
@@ -130,7 +162,12 @@ def _splits(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
         found = cut_lineage(right.unionByName(again), "ranges")
 
 
-def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def damage(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, damaged): places of records that reach past the end of their file."""
+    return _splits(spark, path, split_bytes).where("damaged is not null").select("path", "damaged")
+
+
+def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, on_damage: str = "fail") -> DataFrame:
     """(seq, ts_us, linktype, frame) of all capture files below `path`; seq follows the files by
     name and the records within a file."""
     def run(batches):
@@ -138,7 +175,7 @@ def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
             for r in batch.to_pylist():
                 file = _File(r["path"], r["length"])
                 rows, size = [], 0
-                for place, seconds, fraction, frame in file.records(r["start"], r["stop"]):
+                for place, seconds, fraction, frame in file.records(r["start"], r["stop"]):   # up to any damage
                     rows.append((r["file_no"] << 40 | place,
                                  seconds * 10**6 + fraction * 10**6 // file.fractions, file.linktype, frame))
                     size += len(frame)
@@ -147,7 +184,12 @@ def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
                         rows, size = [], 0
                 if rows:
                     yield _frame_batch(rows)
-    splits = _splits(spark, path, split_bytes).where(F.col("start") < F.col("stop"))
+    splits = _splits(spark, path, split_bytes)
+    if on_damage == "fail":
+        broken = splits.where("damaged is not null").limit(1).collect()
+        if broken:
+            raise Damaged(f"{broken[0].path}: the record at byte {broken[0].damaged} reaches past the end of the file")
+    splits = splits.where(F.col("start") < F.col("stop"))
     return splits.repartition("path", "range_no").mapInArrow(run, _FRAME)
 
 
@@ -202,5 +244,5 @@ def decode(frames: DataFrame) -> DataFrame:
         F.greatest(held - F.col("_head") - F.col("_l4head"), F.lit(0)).alias("payload_len")))
 
 
-def read_packets(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    return decode(read_frames(spark, path, split_bytes))
+def read_packets(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, on_damage: str = "fail") -> DataFrame:
+    return decode(read_frames(spark, path, split_bytes, on_damage))

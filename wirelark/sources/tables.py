@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wirelark.schemas import TCP_FLAG_NAMES
+from wirelark.sources.pcap import arrow_uri
 
 TIME_COMPRESSION = 5000
+COPY_ID = 1 << 60                 # added to the ids of repeated rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +112,7 @@ def flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("l_returnflag") == "N", F.lit(" BENIGN "))
          .when(F.col("l_returnflag") == "A", F.lit("DoS"))
          .otherwise(F.lit("Reconnaissance")).alias("Label"))
-    return rows.unionByName(rows.where(row % 53 == 0))
+    return rows.unionByName(rows.where(row % 53 == 0).withColumn("row_id", row + COPY_ID))
 
 
 def binary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,15 +197,22 @@ def with_frames(packets: DataFrame, some_bare: bool = False) -> DataFrame:
         "frame": F.unhex(F.when(bare, ip).otherwise(padded))})
 
 
-def write_captures(framed: DataFrame, folder: str, files: int = 3) -> None:
+CAPTURE_ROWS = 20_000             # frames of one sample capture file, about
+
+
+def write_captures(framed: DataFrame, folder: str) -> None:
     """Writes Ethernet frames as capture files, one per task; a repeated task overwrites its own."""
+    spark = framed.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = arrow_uri(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString())
+
     def run(batches):
         import struct
 
         import pyarrow as pa
         from pyarrow import fs
         from pyspark import TaskContext
-        target, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        target, root = fs.FileSystem.from_uri(uri)
         target.create_dir(root, recursive=True)
         n = 0
         with target.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():05d}.pcap") as out:
@@ -214,4 +223,5 @@ def write_captures(framed: DataFrame, folder: str, files: int = 3) -> None:
                     n += 1
         yield pa.RecordBatch.from_pydict({"n": [n]})
     rows = framed.select("ts_us", "seq", "frame")
+    files = max(3, framed.select("seq").count() // CAPTURE_ROWS)
     rows.repartitionByRange(files, "ts_us", "seq").sortWithinPartitions("ts_us", "seq").mapInArrow(run, "n long").count()

@@ -3,12 +3,15 @@
 Flows and throttling hold rows back until the watermark has passed them and then apply them in
 (ts_us, seq) order, so a stream gives the same rows as the batch operators on the same input,
 whatever the arrival order within the watermark delay. Timers end what the clock ends. Marks are
-given on arrival, in order within a micro-batch, so that a flow stage can follow in the same query.
+given on arrival, so that a flow stage can follow in the same query: each attempt is judged by those
+before it in time that have arrived, wherever in the watermark delay it falls.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -17,7 +20,7 @@ from wirelark.functions import net
 from wirelark.operators import flows as fl
 from wirelark.operators.cuts import NEVER
 
-L, D, I, S, B = T.LongType(), T.DoubleType(), T.IntegerType(), T.StringType(), T.BooleanType()
+L, I, S, B, Q = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType(), T.DecimalType(38, 0)
 
 
 def _schema(fields) -> T.StructType:
@@ -30,7 +33,7 @@ FLAGS = ["fin", "syn", "rst", "psh", "ack"]
 
 FLOW_MOMENTS = _schema(
     [("flow_key", S), ("start_us", L), ("start_seq", L), ("run_side", I), ("last_us", L), ("burst_us", L)]
-    + [(f"{m}_{p}", D if p == "q" else L) for m in MOMENTS for p in ("n", "s", "q", "min", "max")]
+    + [(f"{m}_{p}", Q if p == "q" else L) for m in MOMENTS for p in ("n", "s", "q", "min", "max")]
     + [(c, L) for c in COUNTERS] + [("head_min", L), ("head_first", L), ("psh_f", L)]
     + [(f, L) for f in FLAGS] + [("scan", I), ("flood", I)])
 
@@ -65,7 +68,7 @@ class _InOrder(StatefulProcessor):
         if arrived is not None and arrived >= watermark:
             self._wake(arrived + 1000)          # what is due among older rows has a timer already
             return
-        held = sorted(tuple(r) for r in self.pending.get())
+        held = sorted((tuple(r) for r in self.pending.get()), key=lambda r: r[:2])
         ready = [r for r in held if r[0] < watermark]
         rest = held[len(ready):]
         if ready:
@@ -102,7 +105,7 @@ class FlowProcessor(_InOrder):
     def _open(self, p):
         state = dict.fromkeys(_FLOW_STATE.names, 0)
         for m in MOMENTS:
-            state[f"{m}_q"] = 0.0
+            state[f"{m}_q"] = Decimal(0)
         return state | {"start_us": p["ts_us"], "start_seq": p["seq"], "run_side": p["side"],
                         "burst_us": p["ts_us"], "last_us": p["ts_us"], "head_min": None,
                         "head_first": p["header_len"], "win_f": p["tcp_window"],
@@ -114,7 +117,7 @@ class FlowProcessor(_InOrder):
         state[f"{name}_min"] = value if n == 0 else min(state[f"{name}_min"], value)
         state[f"{name}_max"] = value if n == 0 else max(state[f"{name}_max"], value)
         state[f"{name}_n"], state[f"{name}_s"] = n + 1, state[f"{name}_s"] + value
-        state[f"{name}_q"] += float(value) * value
+        state[f"{name}_q"] = Decimal(int(state[f"{name}_q"]) + value * value)
 
     def _add(self, s, p):
         t, fwd = p["ts_us"], p["side"] == s["run_side"]
@@ -186,10 +189,11 @@ class FlowProcessor(_InOrder):
 
 
 class ThrottleProcessor(_InOrder):
-    pending_schema = _schema([("ts_us", L), ("seq", L)])
+    """Events of one key, with all their columns. The state is let go of when the cooldown has
+    passed and nothing was held back since."""
 
-    def __init__(self, cooldown_us: int):
-        self.cooldown = cooldown_us
+    def __init__(self, cooldown_us: int, pending_schema: T.StructType):
+        self.cooldown, self.pending_schema = cooldown_us, pending_schema
 
     def init(self, handle):
         super().init(handle)
@@ -204,14 +208,23 @@ class ThrottleProcessor(_InOrder):
             else:
                 held += 1
                 sent, shown = False, held
-            yield Row(alert_key=key[0], ts_us=t, seq=r["seq"], sent=sent, suppressed_count=shown)
-        if rows:
+            yield Row(**r, alert_key=key[0], sent=sent, suppressed_count=shown)
+        if last is not None and held == 0 and watermark >= last + self.cooldown:
+            self.state.clear()
+        elif rows:
             self.state.update((last, held))
+            if held == 0:
+                self._wake(last + self.cooldown)
 
 
 class MarkProcessor(StatefulProcessor):
-    """Scan and flood marks of one host pair. The state holds the attempts of the last window and
-    the last time each port was tried in it."""
+    """Scan and flood marks of one host pair, for attempts in any order within the watermark delay.
+
+    An attempt counts those in the window that ends with it, up to itself in (ts_us, seq). What the
+    watermark has passed no later row can precede, so of that the state keeps only the attempts that
+    can still decide: the last ones up to the flood threshold, and the latest attempt of each of the
+    last distinct ports up to the scan threshold.
+    """
 
     def __init__(self, columns, scan_threshold, flood_threshold, scan_window, flood_window):
         self.columns = columns
@@ -221,40 +234,60 @@ class MarkProcessor(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.state = handle.getValueState("window", _schema([
-            ("attempts", T.ArrayType(L)), ("ports", T.ArrayType(I)), ("seen", T.ArrayType(L))]))
+            ("times", T.ArrayType(L)), ("seqs", T.ArrayType(L)), ("ports", T.ArrayType(I))]))
+
+    def _load(self):
+        return list(zip(*self.state.get())) if self.state.exists() else []
+
+    def _scans(self, held, upto, t):
+        """Are there enough distinct ports in the window that ends before place `upto`?"""
+        ports = set()
+        for i in range(upto - 1, -1, -1):
+            if held[i][0] < t - self.scan_window:
+                return False
+            ports.add(held[i][2])
+            if len(ports) >= self.scan_threshold:
+                return True
+        return False
+
+    def _deciding(self, held, watermark):
+        """The attempts that a row from the watermark on can still need."""
+        passed = bisect.bisect_left(held, (watermark,))
+        keep, ports = [], set()
+        for i in range(passed - 1, -1, -1):
+            t, _, port = held[i]
+            fresh = port not in ports and len(ports) < self.scan_threshold and t >= watermark - self.scan_window
+            if fresh or (passed - i <= self.flood_threshold and t >= watermark - self.flood_window):
+                keep.append(held[i])
+            ports.add(port)
+        return keep[::-1] + held[passed:]
 
     def handleInputRows(self, key, rows, timerValues):
-        attempts, ports = [], {}
-        if self.state.exists():
-            attempts, names, seen = self.state.get()
-            attempts, ports = list(attempts), dict(zip(names, seen))
-        begin = 0
+        held = self._load()
         for r in sorted(rows, key=lambda r: (r["ts_us"], r["seq"])):
             t = r["ts_us"]
-            attempts.append(t)
-            while attempts[begin] < t - self.flood_window:
-                begin += 1
-            ports.pop(r["dst_port"], None)          # to the end: the dict stays in order of time
-            ports[r["dst_port"]] = t
-            while True:
-                oldest = next(iter(ports))
-                if ports[oldest] >= t - self.scan_window:
-                    break
-                del ports[oldest]
-            scan = len(ports) >= self.scan_threshold
-            flood = not scan and len(attempts) - begin >= self.flood_threshold
+            at = bisect.bisect_right(held, (t, r["seq"], math.inf))
+            held.insert(at, (t, r["seq"], r["dst_port"]))
+            at += 1
+            scan = self._scans(held, at, t)
+            flood = (not scan and at >= self.flood_threshold
+                     and held[at - self.flood_threshold][0] >= t - self.flood_window)
             yield Row(**{c: r[c] for c in self.columns}, is_port_scan=scan, is_conn_flood=flood)
-        self.state.update((attempts[begin:], list(ports), list(ports.values())))
-        if attempts:
-            self.handle.registerTimer(math.ceil((attempts[-1] + max(self.scan_window, self.flood_window)) / 1000) + 1)
+        watermark = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
+        self._store(self._deciding(held, watermark))
+
+    def _store(self, held):
+        if not held:
+            self.state.clear()
+            return
+        self.state.update(tuple(map(list, zip(*held))))
+        self.handle.registerTimer(math.ceil((held[-1][0] + max(self.scan_window, self.flood_window)) / 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Lets go of a pair that has been quiet for a whole window."""
-        if self.state.exists():
-            attempts = self.state.get()[0]
-            quiet = max(self.scan_window, self.flood_window)
-            if attempts and attempts[-1] + quiet < timerValues.getCurrentWatermarkInMs() * 1000:
-                self.state.clear()
+        held = self._load()
+        if held and held[-1][0] + max(self.scan_window, self.flood_window) < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.state.clear()
         return iter(())
 
     def close(self):
@@ -302,10 +335,14 @@ def stream_flows(packets: DataFrame, limits: fl.FlowLimits = fl.LIVE) -> DataFra
 
 
 def stream_throttle(events: DataFrame, cooldown_us: int = 60_000_000) -> DataFrame:
-    """(alert_key, ts_us, seq, sent, suppressed_count) of events with event time `ts`."""
-    return events.select("alert_key", "ts", "ts_us", "seq").groupBy("alert_key").transformWithState(
-        statefulProcessor=ThrottleProcessor(cooldown_us),
-        outputStructType=_schema([("alert_key", S), ("ts_us", L), ("seq", L), ("sent", B), ("suppressed_count", L)]),
+    """Events with event time `ts` (alert_key, ts_us, seq and whatever an alert needs), each with
+    `sent` and `suppressed_count`."""
+    carried = [f for f in events.schema.fields if f.name not in ("alert_key", "ts", "sent", "suppressed_count")]
+    carried.sort(key=lambda f: ("ts_us", "seq").index(f.name) if f.name in ("ts_us", "seq") else 2)
+    pending = T.StructType([T.StructField(f.name, f.dataType) for f in carried])
+    return events.select("alert_key", "ts", *pending.names).groupBy("alert_key").transformWithState(
+        statefulProcessor=ThrottleProcessor(cooldown_us, pending),
+        outputStructType=T.StructType(pending.fields + _schema([("alert_key", S), ("sent", B), ("suppressed_count", L)]).fields),
         outputMode="Append", timeMode="EventTime")
 
 
