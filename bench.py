@@ -13,7 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["flow_features70", "detect_end_to_end", "port_scan", "alert_cooldown", "log_segments",
             "dedupe_rows", "train_test_split", "preprocess_log_standard", "preprocess_robust", "anova_f",
-            "metrics_macro", "roc_auc", "roc_macro", "confusion_matrix", "decide_binary"]
+            "metrics_macro", "roc_auc", "roc_macro", "confusion_matrix", "decide_binary", "pcap_scan", "stream_flows",
+            "train_dt", "train_rf"]
 
 
 def main() -> None:

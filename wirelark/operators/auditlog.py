@@ -172,7 +172,8 @@ def segments(lines: DataFrame, max_bytes: int = 10 * 1024 * 1024, backup_count:
              host: str = "hostname", chunk_rows: int | None = None) -> DataFrame:
     """Log segments per host in record order (`ts_us`, `seq`): a record opens a new segment when
     the current one already holds `max_bytes`. Keeps the newest `backup_count` plus the current."""
-    sized = lines.withColumn("_bytes", (F.octet_length("line") + 1).cast("long"))
+    # the texts stay behind: only their sizes travel
+    sized = lines.select(host, "ts_us", "seq", (F.octet_length("line") + 1).cast("long").alias("_bytes"))
     placed = running_sums(sized, [host], ["ts_us", "seq"], {"_end": F.col("_bytes")}, chunk_rows,
                           probe=lines)
     placed = placed.withColumn("_offset", F.col("_end") - F.col("_bytes"))

@@ -167,7 +167,7 @@ def roc_macro(predictions: DataFrame) -> DataFrame:
     grid = knots.select("model", "fpr").distinct().join(classes, "model")
     line = (grid.join(knots, ["model", "class", "fpr"], "left")
             .withColumn("is_knot", F.col("low").isNotNull().cast("int")))
-    line = running_sums(line, ["model", "class"], ["fpr"], {"k": F.col("is_knot")}, probe=knots)
+    line = cut_lineage(running_sums(line, ["model", "class"], ["fpr"], {"k": F.col("is_knot")}, probe=knots), "line")
     at = line.where("is_knot = 1").select("model", "class", "k", F.col("fpr").alias("x0"), F.col("high").alias("y0"))
     after = line.where("is_knot = 1").select("model", "class", (F.col("k") - 1).alias("k"),
                                              F.col("fpr").alias("x1"), F.col("low").alias("y1"))

@@ -8,8 +8,12 @@ Input rows carry `features`, a numeric `label` 0..k-1 and, for folds, a unique `
 
 Where Spark ML offers no exact counterpart: the linear SVM uses the hinge instead of the squared
 hinge; extra trees are random forests without bootstrap; the tree's cost-complexity pruning is
-replaced by a minimum information gain; the perceptron has sigmoid hidden units and no early
-stopping; gradient boosting for several classes is one-vs-rest with normalised sigmoid scores.
+replaced by a minimum information gain, and there is no minimum of rows for a split, only for a leaf;
+the perceptron is fitted by L-BFGS with sigmoid hidden units, without an L2 term or early stopping;
+gradient boosting for several classes is one-vs-rest with normalised sigmoid scores.
+
+`Settings.fit_rows` bounds the labelled rows of one fit: a larger table is thinned by
+`sampling.bounded_sample`, which keeps rare classes. Scoring always covers all rows.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirelark.operators import evaluate as ev
-from wirelark.operators.sampling import stratified_folds
+from wirelark.operators.sampling import bounded_sample, growing_subsets, stratified_folds
 from wirelark.sources.scratch import cut_lineage
 
 # Hyper-parameters of the learners.
@@ -41,7 +45,7 @@ DEFAULTS = {
     "rf": dict(trees=100, depth=15, leaf=2),
     "et": dict(trees=100, depth=15, leaf=2),
     "dt": dict(depth=12, leaf=8, gain=0.00015),
-    "mlp": dict(hidden=(64, 32), block=128, max_iter=200, step=0.001),
+    "mlp": dict(hidden=(64, 32), block=128, max_iter=200),
     "hgb": dict(rounds=100, depth=12, leaf=20, rate=0.1),
     "linearsvcCalibrated": dict(c=1.0, tol=1e-3, max_iter=5000, folds=3, method="sigmoid"),
     "meta": dict(c=1.0, max_iter=2000),
@@ -60,9 +64,11 @@ PROFILES = {
 
 @dataclass(frozen=True)
 class Settings:
-    """Seed and changes to DEFAULTS, e.g. Settings(changes={"rf": {"trees": 20}})."""
+    """Seed, changes to DEFAULTS, e.g. Settings(changes={"rf": {"trees": 20}}), and the most labelled
+    rows that one fit reads (None: all)."""
     seed: int = 42
     changes: dict = field(default_factory=dict)
+    fit_rows: int | None = None
 
     def of(self, name: str) -> dict:
         return DEFAULTS[name] | self.changes.get(name, {})
@@ -71,6 +77,10 @@ class Settings:
         return replace(self, changes=self.changes | {name: self.changes.get(name, {}) | values})
 
 
+BINS = 255                       # thresholds tried per feature
+ROWS_PER_TASK = 25_000           # of a bounded fit
+
+
 class MergeProbabilities(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable,
                          DefaultParamsWritable):
     """One probability vector out of several columns. `how`: 'mean' averages vectors; 'second'
@@ -149,13 +159,15 @@ def _one_vs_rest(name, make, train: DataFrame, counts, own_weight_for_all: bool)
     rows = sum(counts.values())
     stages, margins, extra = [], [], []
     balanced = weighted(train, counts)
-    for c in classes:
-        tag = f"{name}_vs{c}"
+
+    def fit(c):
         is_class = F.col("label") == c
         part = balanced.withColumn("weight", F.when(is_class | F.lit(own_weight_for_all), F.col("weight"))
                                    .otherwise(F.lit(1.0))).withColumn("label", is_class.cast("double"))
         total = rows if own_weight_for_all else rows / len(classes) + rows - counts[c]
-        model = make(tag, total).fit(part)
+        return make(f"{name}_vs{c}", total).fit(part)
+    for c, model in zip(classes, _together(fit, classes)):
+        tag = f"{name}_vs{c}"
         stages += [model, VectorSlicer(inputCol=f"{tag}_raw", outputCol=f"{tag}_margin", indices=[1])]
         margins.append(f"{tag}_margin")
         extra += [c2 for c2 in (f"{tag}_raw", f"{tag}_prediction", f"{tag}_margin")]
@@ -228,8 +240,12 @@ def _fit_calibrated(name, train, p, classes):
 
 
 def fit_learner(name: str, train: DataFrame, classes: int, settings: Settings = Settings()) -> PipelineModel:
-    """Fits one of LEARNERS."""
+    """Fits one of LEARNERS, on at most `settings.fit_rows` rows."""
     p = settings.of(name)
+    if settings.fit_rows:
+        # few rows in few partitions: iterative fits run a job per step
+        train = bounded_sample(train, settings.fit_rows, "label", "row_id", settings.seed).repartition(
+            -(-settings.fit_rows // ROWS_PER_TASK), "row_id")
     if name == "linearsvcCalibrated":
         return PipelineModel(_fit_calibrated(name, train, p, classes))
     counts = class_rows(train)
@@ -238,22 +254,21 @@ def fit_learner(name: str, train: DataFrame, classes: int, settings: Settings =
         return PipelineModel(_fit_svm(name, p, train, counts))
     if name in ("rf", "et"):
         learner = RandomForestClassifier(
-            numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"], bootstrap=name == "rf",
+            numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"], bootstrap=name == "rf", maxBins=BINS,
             featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
     elif name == "dt":
         learner = DecisionTreeClassifier(
             impurity="entropy", maxDepth=p["depth"], minInstancesPerNode=p["leaf"], minInfoGain=p["gain"],
-            weightCol="weight", seed=seed)
+            maxBins=BINS, weightCol="weight", seed=seed)
     elif name == "mlp":
         width = len(train.select("features").first()["features"])
         learner = MultilayerPerceptronClassifier(
-            layers=[width, *p["hidden"], classes], blockSize=p["block"], maxIter=p["max_iter"],
-            stepSize=p["step"], seed=seed)
+            layers=[width, *p["hidden"], classes], blockSize=p["block"], maxIter=p["max_iter"], seed=seed)
     elif name == "hgb":
         def make(tag, _):
             return _name_outputs(GBTClassifier(
                 maxIter=p["rounds"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
-                stepSize=p["rate"], weightCol="weight", seed=seed), tag)
+                maxBins=BINS, stepSize=p["rate"], weightCol="weight", seed=seed), tag)
         if classes > 2:
             return PipelineModel([
                 *_one_vs_rest(name, make, train, counts, own_weight_for_all=True),
@@ -354,6 +369,11 @@ def save(model: PipelineModel, folder: str, name: str, mode: str) -> str:
     return path
 
 
+def is_saved(spark: SparkSession, folder: str, name: str, mode: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}_{mode}/metadata")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def load(folder: str, name: str, mode: str) -> PipelineModel:
     return PipelineModel.load(f"{folder}/{name}_{mode}")
 
@@ -374,11 +394,8 @@ def train_models(train: DataFrame, classes: int, wanted, folder: str, mode: str,
         if name in wanted:
             models[name] = fit_learner(name, train, classes, settings)
             save(models[name], folder, name, mode)
-        elif load_others:
-            try:
-                models[name] = load(folder, name, mode)
-            except Exception:                                        # noqa: BLE001 - not saved yet
-                continue
+        elif load_others and is_saved(train.sparkSession, folder, name, mode):
+            models[name] = load(folder, name, mode)
     return models
 
 
@@ -403,14 +420,22 @@ def tree_complexity(model: PipelineModel, train_rows: int) -> dict:
 def fold_scores(folded: DataFrame, folds: int, classes: int, name: str = "dt",
                 settings: Settings = Settings(), train_of=None) -> list[tuple]:
     """(fold, train score, validation score) of a learner; `train_of` may thin a training part."""
-    out = []
-    for f in range(folds):
+    def score(f):
         train = folded.where(F.col("fold") != f)
         train = train_of(train) if train_of else train
-        model = fit_learner(name, train, classes, settings)
-        out.append((f, *[f1_of(model.transform(part), f"{name}_prediction", classes)
-                         for part in (train, folded.where(F.col("fold") == f))]))
-    return out
+        return (f, *_scores(train, folded.where(F.col("fold") == f), classes, name, settings))
+    return _together(score, range(folds))
+
+
+def _scores(train: DataFrame, held: DataFrame, classes: int, name: str, settings: Settings) -> list[float]:
+    model = fit_learner(name, train, classes, settings)
+    return [f1_of(model.transform(part), f"{name}_prediction", classes) for part in (train, held)]
+
+
+def _together(work, tasks) -> list:
+    """Runs fits that do not depend on each other, a few at a time."""
+    with ThreadPoolExecutor(jobs_setting()) as pool:
+        return list(pool.map(work, tasks))
 
 
 def cv_scores(train: DataFrame, classes: int, folds: int = 5, settings: Settings = Settings()) -> list[tuple]:
@@ -423,22 +448,20 @@ def validation_curve(train: DataFrame, classes: int, depths=(2, 4, 6, 8, 10, 12,
                      settings: Settings = Settings()) -> list[tuple]:
     """(depth, fold, train score, validation score)."""
     folded = cut_lineage(stratified_folds(train, folds, "label", shuffled=False), "curve")
-    return [(d, *row) for d in depths
-            for row in fold_scores(folded, folds, classes, "dt", settings.but("dt", depth=d))]
+    def score(task):
+        d, f = task
+        return (d, f, *_scores(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), classes, "dt", settings.but("dt", depth=d)))
+    return _together(score, [(d, f) for d in depths for f in range(folds)])
 
 
 def learning_curve(train: DataFrame, classes: int, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 3,
                    settings: Settings = Settings()) -> list[tuple]:
     """(fraction, fold, train score, validation score); each subset is a prefix by row id of the
     training part, with at least two classes in it for a fit to make sense."""
-    from wirelark.operators.sampling import growing_subsets
     folded = cut_lineage(stratified_folds(train, folds, "label", shuffled=False), "curve")
-    out = []
-    for f in range(folds):
-        steps = cut_lineage(growing_subsets(folded.where(F.col("fold") != f), fractions), "subsets")
-        held = folded.where(F.col("fold") == f)
-        for i, fraction in enumerate(fractions):
-            part = steps.where(F.col("first_step") <= i)
-            model = fit_learner("dt", part, classes, settings)
-            out.append((fraction, f, *[f1_of(model.transform(x), "dt_prediction", classes) for x in (part, held)]))
-    return out
+    steps = [cut_lineage(growing_subsets(folded.where(F.col("fold") != f), fractions), "subsets") for f in range(folds)]
+
+    def score(task):
+        f, i = task
+        return (fractions[i], f, *_scores(steps[f].where(F.col("first_step") <= i), folded.where(F.col("fold") == f), classes, "dt", settings))
+    return _together(score, [(f, i) for f in range(folds) for i in range(len(fractions))])

@@ -63,6 +63,17 @@ def stratified_sample(df: DataFrame, fraction: float, label: str = "Label", row_
     return _within(df, F.col(label), quota, row_id, seed).where("_inside").select(*df.columns)
 
 
+def bounded_sample(df: DataFrame, rows: int, label: str = "Label", row_id: str = "row_id", seed: int = 42,
+                   least: int = 50) -> DataFrame:
+    """About `rows` rows, each class by its share but with `least` of its rows, if it has so many."""
+    counts = df.groupBy(F.col(label).alias("_class")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first().n
+    if total <= rows:
+        return df
+    share = F.greatest(F.bround(F.col("_n") * F.lit(rows / total), 0).cast("long"), F.least(F.col("_n"), F.lit(least)))
+    return _within(df, F.col(label), counts.select("_class", share.alias("_quota")), row_id, seed).where("_inside").select(*df.columns)
+
+
 def simple_sample(df: DataFrame, fraction: float, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     quota = df.agg(F.lit(0).alias("_class"), F.bround(F.lit(fraction) * F.count("*"), 0).cast("long").alias("_quota"))
     return _within(df, F.lit(0), quota, row_id, seed).where("_inside").select(*df.columns)

@@ -1,58 +1,72 @@
-"""Training, stacking and model diagnostics on the whole labelled flow table.
+"""Training, stacking and model diagnostics on the labelled flow table.
 
-The learners run with few trees and rounds here; the library defaults are in learners.DEFAULTS.
-Scores of a fit cannot be stated in SQL, so the SQL checks which rows were scored and that the
-probabilities are sound; figures of a fit are returned in queries without SQL.
+The learners run with the library's defaults. FIT_ROWS bounds the labelled rows of one fit, with
+every class in it; all rows are scored. Scores of a fit cannot be stated in SQL, so the SQL states
+what must hold of them: which rows were scored, that probabilities are sound and that no learner
+does worse on what it has seen than always naming the largest class, less a small allowance.
 """
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wirelark.operators import detect, evaluate as ev, learners, prep
 from wirelark.operators import flows as fl
+from wirelark.operators.sampling import bounded_sample, stratified_folds
+from wirelark.operators.training import unique_classes
 from wirelark.plans.catalog import query
 from wirelark.plans import packet_sql
 from wirelark.plans.flow_queries import MARKS, MARKS_SQL, clean_packets
-from wirelark.plans.training_queries import _WITH, FLOW_TABLE_SQL, targeted
+from wirelark.plans.training_queries import _ANOVA, _NUMERIC, _WITH, FLOW_TABLE_SQL, targeted
 from wirelark.sources import flowtable
 from wirelark.sources.scratch import cut_lineage, shared_folder
 
-QUICK = learners.Settings(changes={
-    "linearsvc": dict(max_iter=20), "rf": dict(trees=5, depth=5), "et": dict(trees=5, depth=5),
-    "dt": dict(depth=5), "mlp": dict(hidden=(8, 4), max_iter=10), "hgb": dict(rounds=3, depth=3),
-    "linearsvcCalibrated": dict(max_iter=10), "meta": dict(max_iter=50)})
+FIT_ROWS = 2_000
+SETTINGS = learners.Settings(fit_rows=FIT_ROWS)
+ALLOWANCE = 0.05
+FITS = 6                         # at a time
 
 
 def training_rows(spark, sf_dir, mode="binary", scale="log_standard"):
-    """Preprocessed rows with `label` and `features`."""
+    """(preprocessed rows with `label` and `features`, number of classes)."""
     rows = flowtable.with_protocol(flowtable.drop_irrelevant(targeted(spark, sf_dir, mode)))
-    if mode == "multiclass":
-        order = F.array(*map(F.lit, ["BENIGN", "DoS", "Reconnaissance"]))
-        rows = rows.withColumn("label", (F.array_position(order, F.col("target")) - 1).cast("double")).where("label >= 0")
-    else:
-        rows = rows.withColumn("label", F.col("target").cast("double"))
     rows = cut_lineage(rows, "rows")
+    classes = unique_classes(rows)
+    rows = rows.withColumn("label", (F.array_position(F.array(*map(F.lit, classes)), F.col("target")) - 1).cast("double"))
     numeric, categorical = flowtable.feature_columns(rows, leave=("target", "row_id", "label"))
     model = prep.fit_preprocessor(rows, numeric, categorical, scale)
-    return cut_lineage(prep.transform(model, rows).select("row_id", "target", "label", "features"), "features")
+    return cut_lineage(prep.transform(model, rows).select("row_id", "target", "label", "features"), "features"), len(classes)
+
+
+def not_worse_than_naming_one(rows, model, prediction):
+    """Accuracy on the rows of the fit against the share of their largest class."""
+    seen = model.transform(bounded_sample(rows, FIT_ROWS, "label", "row_id", SETTINGS.seed)).cache()
+    largest = seen.groupBy("label").count().agg(F.max("count")).first()[0]
+    right = seen.where(F.col("label") == F.col(prediction)).count()
+    return right >= largest - ALLOWANCE * seen.count()
 
 
-def _sound(scored, name, classes):
+def _sound(rows, model, name, classes):
     p = vector_to_array(f"{name}_probability")
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    return scored.groupBy("target").agg(
-        F.count("*").alias("n"), F.min((F.size(p) == classes) & (F.abs(total - 1) < 1e-6)).alias("sound"))
+    prediction = f"{name}_prediction"
+    if name == "linearsvcCalibrated":
+        model = learners.PipelineModel([model, learners.LargestPlace(inputCols=[f"{name}_probability"], outputCol=prediction)])
+    good = not_worse_than_naming_one(rows, model, prediction)
+    return model.transform(rows).groupBy("target").agg(
+        F.count("*").alias("n"), F.min((F.size(p) == classes) & (F.abs(total - 1) < 1e-6)).alias("sound"),
+        F.lit(good).alias("learned"))
 
 
-_SOUND = _WITH + " SELECT target, count(*) AS n, true AS sound FROM targeted GROUP BY 1"
-_SOUND_MC = _WITH + """ SELECT trim("Label") AS target, count(*) AS n, true AS sound FROM kept
-  WHERE trim("Label") IN ('BENIGN', 'DoS', 'Reconnaissance') GROUP BY 1"""
+_SOUND = _WITH + " SELECT target, count(*) AS n, true AS sound, true AS learned FROM targeted GROUP BY 1"
+_SOUND_MC = _WITH + ' SELECT trim("Label") AS target, count(*) AS n, true AS sound, true AS learned FROM kept GROUP BY 1'
 
 
 def _train_query(name, mode="binary"):
     def run(spark, sf_dir):
-        rows, classes = training_rows(spark, sf_dir, mode), 2 if mode == "binary" else 3
-        return _sound(learners.fit_learner(name, rows, classes, QUICK).transform(rows), name, classes)
+        rows, classes = training_rows(spark, sf_dir, mode)
+        return _sound(rows, learners.fit_learner(name, rows, classes, SETTINGS), name, classes)
     return run
 
 
@@ -63,45 +77,56 @@ query("train_hgb_multiclass", _SOUND_MC)(_train_query("hgb", "multiclass"))
 query("train_svc_calibrated_multiclass", _SOUND_MC)(_train_query("linearsvcCalibrated", "multiclass"))
 
 
-@query("train_linearsvc", _WITH + " SELECT target, count(*) AS n, true AS sound FROM targeted GROUP BY 1")
+@query("train_linearsvc", _SOUND)
 def train_linearsvc(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
-    scored = learners.fit_learner("linearsvc", rows, 2, QUICK).transform(rows)
+    rows, _ = training_rows(spark, sf_dir)
+    model = learners.fit_learner("linearsvc", rows, 2, SETTINGS)
     margin = F.get(vector_to_array("linearsvc_raw"), F.lit(1))
     agrees = (margin > 0) == (F.col("linearsvc_prediction") == 1)
-    return scored.groupBy("target").agg(F.count("*").alias("n"), F.min(agrees).alias("sound"))
+    good = not_worse_than_naming_one(rows, model, "linearsvc_prediction")
+    return model.transform(rows).groupBy("target").agg(F.count("*").alias("n"), F.min(agrees).alias("sound"), F.lit(good).alias("learned"))
 
 
 @query("train_stacking", _SOUND)
 def train_stacking(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
-    model = learners.fit_stacking(rows, 2, names=["dt", "rf"], cv_splits=3, passthrough=True, settings=QUICK)
-    return _sound(model.transform(rows), "stacking", 2)
+    """The edge profile: calibrated SVM, boosting and forest under a logistic regression."""
+    rows, _ = training_rows(spark, sf_dir)
+    model = learners.fit_stacking(rows, 2, profile="edge", passthrough=True, n_jobs=FITS, settings=SETTINGS)
+    return _sound(rows, model, "stacking", 2)
+
+
+_FOLDS = """((row_number() OVER (PARTITION BY target ORDER BY h, row_id) - 1) % 5)::INTEGER AS fold"""
 
 
-@query("oof_meta_features", "WITH " + FLOW_TABLE_SQL + """
-  SELECT row_id, target::DOUBLE AS label, ((row_number() OVER (PARTITION BY target ORDER BY h, row_id) - 1) % 3)::INTEGER AS fold,
-    2 AS width FROM hashed""")
+@query("oof_meta_features", "WITH " + FLOW_TABLE_SQL + f" SELECT row_id, target::DOUBLE AS label, {_FOLDS}, 2 AS width, true AS sound FROM hashed")
 def oof_meta_features(spark, sf_dir):
-    oof = learners.out_of_fold(training_rows(spark, sf_dir), ["dt", "rf"], 2, 3, QUICK)
-    return oof.select("row_id", "label", "fold", F.size(vector_to_array("meta_features")).alias("width"))
+    rows, _ = training_rows(spark, sf_dir)
+    values = vector_to_array("meta_features")
+    oof = learners.out_of_fold(rows, learners.profile_learners("padrao"), 2, 5, SETTINGS, n_jobs=FITS)
+    return oof.select("row_id", "label", "fold", F.size(values).alias("width"), F.forall(values, lambda x: x.between(0, 1)).alias("sound"))
 
 
-@query("stacking_weights")
+@query("stacking_weights", "SELECT * FROM (VALUES (0, 'linearsvcCalibrated', true), (0, 'dt', true)) AS t(class, estimator, finite) "
+       "WHERE (SELECT count(*) FROM lineitem) > 0")
 def stacking_weights(spark, sf_dir):
     names = learners.profile_learners("padrao")
-    model = learners.fit_stacking(training_rows(spark, sf_dir), 2, names=names, cv_splits=2, settings=QUICK)
-    return spark.createDataFrame(learners.stacking_weights(model, names, 2),
-                                 "class int, estimator string, coefficient double, intercept double")
+    rows, _ = training_rows(spark, sf_dir)
+    model = learners.fit_stacking(rows, 2, names=names, n_jobs=FITS, settings=SETTINGS)
+    table = spark.createDataFrame(learners.stacking_weights(model, names, 2),
+                                  "class int, estimator string, coefficient double, intercept double")
+    return table.select("class", "estimator", (F.abs("coefficient") + F.abs("intercept") < float("inf")).alias("finite"))
 
 
-@query("svm_feature_weights")
+@query("svm_feature_weights", _WITH + """ SELECT feature, true AS finite FROM (
+  SELECT unnest(['Flow Packets', 'Flow Bytes', 'Down Ratio', 'Idle Ratio']) AS feature
+  UNION ALL SELECT DISTINCT 'Protocol_' || CASE "Protocol" WHEN '17' THEN '17' ELSE '6' END FROM kept)""")
 def svm_feature_weights(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
-    model = learners.fit_learner("linearsvc", rows, 2, QUICK)
+    rows, _ = training_rows(spark, sf_dir)
+    model = learners.fit_learner("linearsvc", rows, 2, SETTINGS)
     names = prep.feature_names(rows, len(rows.select("features").first()[0]))
     table = spark.createDataFrame(learners.svm_coefficients(model, names), "class int, feature string, coefficient double")
-    return ev.top_weights(table.drop("class"))
+    top = ev.top_weights(table.drop("class"))
+    return top.select("feature", (F.abs("coefficient") < float("inf")).alias("finite"))
 
 
 @query("model_roundtrip", _WITH + " SELECT row_id, true AS same FROM targeted")
@@ -111,7 +136,7 @@ def model_roundtrip(spark, sf_dir):
     rows = cut_lineage(rows.withColumn("label", F.col("target").cast("double")), "rows")
     numeric, categorical = flowtable.feature_columns(rows, leave=("target", "row_id", "label"))
     preprocessor = prep.fit_preprocessor(rows, numeric, categorical)
-    tree = learners.fit_learner("dt", prep.transform(preprocessor, rows), 2, QUICK)
+    tree = learners.fit_learner("dt", prep.transform(preprocessor, rows), 2, SETTINGS)
     folder = shared_folder(spark, "models")
     learners.save(preprocessor, folder, "scaler", "binary")
     learners.save(learners.with_preprocessor(preprocessor, tree), folder, "dt_pipeline", "binary")
@@ -122,53 +147,88 @@ def model_roundtrip(spark, sf_dir):
     return again.transform(kept).select("row_id", (vector_to_array("dt_probability") == F.col("p")).alias("same"))
 
 
-@query("selected_features", _WITH + " SELECT row_id, 3 AS width FROM targeted")
+@query("selected_features", _WITH + _ANOVA.removeprefix(_WITH).replace('"Label" AS g', "target::VARCHAR AS g").replace("FROM kept", "FROM targeted") + """,
+  best AS (SELECT place FROM f ORDER BY f_value DESC, place DESC LIMIT 2)
+  SELECT row_id, """ + ", ".join(f"EXISTS (SELECT 1 FROM best WHERE place = {i}) AS has_{i}" for i in range(4)) + " FROM targeted")
 def selected_features(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
-    return prep.fit_selector(rows, 3, "label").transform(rows).select(
-        "row_id", F.size(vector_to_array("selected")).alias("width"))
+    """The two best numeric places by F value, as the slicer of a fitted selector keeps them."""
+    rows = cut_lineage(targeted(spark, sf_dir), "rows")
+    assembled = prep.VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(rows)
+    slicer = prep.fit_selector(assembled, 2, "target")
+    places = slicer.getIndices()
+    return slicer.transform(assembled).select("row_id", *[(F.lit(i in places) & (F.size(vector_to_array("selected")) == 2)).alias(f"has_{i}") for i in range(4)])
 
 
-@query("latency_f1")
+@query("latency_f1", "SELECT model, true AS timed, true AS scored, true AS learned FROM (SELECT unnest(['dt', 'rf', 'linearsvc']) AS model) "
+       "WHERE (SELECT count(*) FROM lineitem) > 0")
 def latency_f1(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
+    rows, _ = training_rows(spark, sf_dir)
     n, out = rows.count(), []
     for name in ("dt", "rf", "linearsvc"):
-        scored = learners.fit_learner(name, rows, 2, QUICK).transform(rows)
-        out.append((name, ev.latency_ms_per_1000(scored, n), learners.f1_of(scored, f"{name}_prediction", 2)))
-    return spark.createDataFrame(out, "model string, ms_per_1000 double, f1 double")
+        model = learners.fit_learner(name, rows, 2, SETTINGS)
+        scored = model.transform(rows)
+        f1 = learners.f1_of(scored, f"{name}_prediction", 2)
+        out.append((name, ev.latency_ms_per_1000(scored, n) > 0, 0 <= f1 <= 1, not_worse_than_naming_one(rows, model, f"{name}_prediction")))
+    return spark.createDataFrame(out, "model string, timed boolean, scored boolean, learned boolean")
 
 
-@query("tree_complexity")
+@query("tree_complexity", _WITH + """ SELECT 12 AS max_depth, true AS within, count(*) AS leaf_rows, true AS few_rows_agrees FROM targeted""")
 def tree_complexity(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
-    stats = learners.tree_complexity(learners.fit_learner("dt", rows, 2, QUICK), rows.count())
-    return spark.createDataFrame([tuple(stats.values())],
-                                 "max_depth int, depth int, leaves int, rows_per_leaf double, few_rows boolean")
+    rows, _ = training_rows(spark, sf_dir)
+    s = learners.tree_complexity(learners.fit_learner("dt", rows, 2, SETTINGS), rows.count())
+    within = 1 <= s["depth"] <= s["max_depth"] and s["depth"] < s["leaves"] <= 2 ** s["depth"]
+    return spark.createDataFrame([(s["max_depth"], within, round(s["leaves"] * s["rows_per_leaf"]), s["few_rows"] == (s["rows_per_leaf"] < ev.FEW_ROWS_PER_LEAF))],
+                                 "max_depth int, within boolean, leaf_rows long, few_rows_agrees boolean")
 
 
-@query("cv_scores")
+@query("cv_scores", "WITH " + FLOW_TABLE_SQL + f", f AS (SELECT {_FOLDS} FROM hashed) SELECT fold, count(*) AS n, true AS in_range, true AS summed FROM f GROUP BY 1")
 def cv_scores(spark, sf_dir):
-    scores = learners.cv_scores(training_rows(spark, sf_dir), 2, 5, QUICK)
+    """Scores of the folds, the folds' sizes, and the summary held against mean and deviation of the scores."""
+    rows, _ = training_rows(spark, sf_dir)
+    scores = learners.cv_scores(rows, 2, 5, SETTINGS)
     table = spark.createDataFrame([("dt", *s) for s in scores], "model string, fold int, score double")
-    return table.join(F.broadcast(ev.fold_summary(table)), "model")
+    summary = ev.fold_summary(table).first()
+    mean = sum(s for _, s in scores) / len(scores)
+    std = math.sqrt(sum((s - mean) ** 2 for _, s in scores) / len(scores))
+    agrees = abs(summary["mean"] - mean) < 1e-9 and abs(summary["std"] - std) < 1e-9 and summary["unstable"] == (std > ev.UNSTABLE_STD)
+    sizes = stratified_folds(rows, 5, "label", seed=SETTINGS.seed).groupBy("fold").agg(F.count("*").alias("n"))
+    return sizes.join(table, "fold").select("fold", "n", F.col("score").between(0, 1).alias("in_range"), F.lit(agrees).alias("summed"))
 
 
 def _curve(spark, rows, what):
+    """Per point the number of folds and whether all scores, their means and deviations are sound."""
     long = spark.createDataFrame(rows, f"{what} double, fold int, train double, validation double")
-    return long.groupBy(what).agg(*[f(c).alias(f"{c}_{n}") for c in ("train", "validation")
-                                    for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    both = [F.col(c).between(0, 1) for c in ("train", "validation")]
+    steady = [F.stddev_pop(c) <= 0.5 for c in ("train", "validation")]
+    return long.groupBy(what).agg(F.count_distinct("fold").alias("folds"), (F.min(both[0] & both[1]) & steady[0] & steady[1]).alias("sound"))
 
 
-@query("validation_curve")
+@query("validation_curve", "SELECT unnest([2, 4, 6, 8, 10, 12, 15, 18, 22])::DOUBLE AS depth, 3::BIGINT AS folds, true AS sound "
+       "WHERE (SELECT count(*) FROM lineitem) > 0")
 def validation_curve(spark, sf_dir):
-    points = learners.validation_curve(training_rows(spark, sf_dir), 2, depths=(2, 4, 6), folds=3, settings=QUICK)
+    points = learners.validation_curve(training_rows(spark, sf_dir)[0], 2, settings=SETTINGS)
     return _curve(spark, [(float(d), *r) for d, *r in points], "depth")
 
 
-@query("learning_curve")
+@query("learning_curve", "SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0])::DOUBLE AS fraction, 3::BIGINT AS folds, true AS sound "
+       "WHERE (SELECT count(*) FROM lineitem) > 0")
 def learning_curve(spark, sf_dir):
-    return _curve(spark, learners.learning_curve(training_rows(spark, sf_dir), 2, (0.2, 0.6, 1.0), 3, QUICK), "fraction")
+    return _curve(spark, learners.learning_curve(training_rows(spark, sf_dir)[0], 2, settings=SETTINGS), "fraction")
+
+
+@query("unique_classes", _WITH + ' SELECT DISTINCT trim("Label") AS class FROM kept')
+def unique_class_names(spark, sf_dir):
+    classes = unique_classes(targeted(spark, sf_dir, "multiclass"))
+    return spark.createDataFrame([(c,) for c in classes], "class string")
+
+
+@query("column_kinds", _WITH + """ SELECT name, kind FROM (SELECT unnest(['Flow Packets', 'Flow Bytes', 'Down Ratio', 'Idle Ratio', 'Protocol']) AS name,
+  unnest(['numeric', 'numeric', 'numeric', 'numeric', 'categorical']) AS kind) WHERE (SELECT count(*) FROM kept) > 0""")
+def column_kinds(spark, sf_dir):
+    """Which columns of the cleaned table the preprocessor takes as numbers and which as categories."""
+    rows = flowtable.drop_irrelevant(targeted(spark, sf_dir))
+    numeric, categorical = flowtable.feature_columns(rows)
+    return spark.createDataFrame([(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical], "name string, kind string")
 
 
 @query("detect_with_models", packet_sql.live_flows(MARKS_SQL) + """ SELECT flow_key, start_us, start_seq,
@@ -187,9 +247,9 @@ def detect_with_models(spark, sf_dir):
     ready = cut_lineage(preprocessor.transform(rows).select(
         "kind", "row_id", "features"), "ready")
     first = learners.with_preprocessor(preprocessor, learners.fit_learner(
-        "dt", ready.withColumn("label", (F.col("kind") > 0).cast("double")), 2, QUICK))
+        "dt", ready.withColumn("label", (F.col("kind") > 0).cast("double")), 2, SETTINGS))
     second = learners.with_preprocessor(preprocessor, learners.fit_learner(
-        "rf", ready.withColumn("label", F.col("kind").cast("double")), 3, QUICK))
+        "rf", ready.withColumn("label", F.col("kind").cast("double")), 3, SETTINGS))
     decided = detect.score_flows(flows, first, "dt", ["0", "1"], "cascade", second=second, second_name="rf",
                                  second_classes=["Benign", "DoS", "Reconnaissance"])
     return decided.select(*fl.FLOW, "is_attack", "attack_type")

@@ -79,3 +79,64 @@ def stream_cooldown(spark, sf_dir):
     out = _through_stream(spark, events, "alert_key", "end", "alerts",
                           lambda s: pr.stream_throttle(s, COOLDOWN_US))
     return out.where("alert_key <> 'end'").select("seq", "alert_key", "sent", "suppressed_count")
+
+
+@query("stream_final_flush", sql.live_flows() + """ SELECT flow_key, start_us, start_seq, last_us, len_n AS total_packets FROM flow
+  WHERE fin + rst = 0 AND (SELECT max(ts_us) FROM packets) - last_us < 10000000 AND (SELECT max(ts_us) FROM packets) - start_us < 60000000""")
+def stream_final_flush(spark, sf_dir):
+    """The flows that were open when the input ended and came out because of the sentinel."""
+    last = clean_packets(spark, sf_dir).agg(F.max("ts_us")).first()[0]
+    out = _packet_stream(spark, sf_dir, pr.stream_flows).where("src_ip <> 'end' and fin + rst = 0")
+    still = out.where((F.lit(last) - F.col("last_us") < fl.LIVE.inactivity) & (F.lit(last) - F.col("start_us") < fl.LIVE.active))
+    return still.select(*fl.FLOW, "last_us", F.col("len_n").alias("total_packets"))
+
+
+@query("stream_late_rows", sql.live_flows() + " SELECT flow_key, start_us, start_seq, len_n AS total_packets FROM flow")
+def stream_late_rows(spark, sf_dir):
+    """Copies of old packets that arrive two batches late, after the watermark has passed them, change no flow."""
+    packets = clean_packets(spark, sf_dir)
+    last = packets.agg(F.max("ts_us")).first()[0]
+    third, folder, t = last // 3, shared_folder(spark, "late"), F.col("ts_us")
+    late = packets.where(t < third - 60_000_000).withColumn("seq", F.col("seq") + 10**12)
+    for part in (packets.where(t <= third), packets.where((t > third) & (t <= 2 * third)), packets.where(t > 2 * third).unionByName(late)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stored = spark.read.parquet(f"{folder}/in")
+    end = pr.sentinel(stored, "src_ip", "end", last).withColumns({
+        "dst_ip": F.lit("end"), "src_port": F.lit(0), "dst_port": F.lit(0), "proto": F.lit("17"), "payload_len": F.lit(0),
+        "header_len": F.lit(8), "tcp_window": F.lit(0), "pkt_len": F.lit(28)})
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = pr.with_event_time(pr.read_packets(spark, f"{folder}/in", stored.schema, maxFilesPerTrigger=1))
+    sinks.run_to_table(pr.stream_flows(stream), f"{folder}/out", f"{folder}/checkpoint")
+    out = spark.read.parquet(f"{folder}/out").where("src_ip <> 'end'")
+    return out.select(*fl.FLOW, F.col("len_n").alias("total_packets"))
+
+
+def _detections(spark, sf_dir, folder):
+    """Events as detections, stored so that a stream can read them."""
+    kind = F.col("event_type")
+    rows = tables.table(spark, sf_dir, "events").select(
+        kind.isin("error", "purchase").alias("is_attack"), kind.alias("attack_type"), F.lit(0.9).alias("probability"),
+        tables.compressed_us().alias("last_us"))
+    rows.write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+
+
+@query("stream_status", "SELECT count(*) AS n_rows, count(*) FILTER (event_type IN ('error', 'purchase')) AS attacks FROM events")
+def stream_status(spark, sf_dir):
+    folder = shared_folder(spark, "status")
+    running = (sinks.with_status(_detections(spark, sf_dir, folder)).writeStream.format("noop")
+               .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    running.awaitTermination()
+    seen = sinks.status_of(running)
+    return spark.createDataFrame([(seen["rows"], seen["attacks"])], "n_rows long, attacks long")
+
+
+@query("stream_log_sink", "SELECT event_type AS attack_type, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1")
+def stream_log_sink(spark, sf_dir):
+    """Attacks written by foreachBatch as JSON lines and read back."""
+    folder = shared_folder(spark, "log")
+    running = (_detections(spark, sf_dir, folder).writeStream.foreachBatch(sinks.log_batches(f"{folder}/log", "jsonl", hostname="h"))
+               .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    running.awaitTermination()
+    lines = spark.read.text(f"{folder}/log/*")
+    return lines.groupBy(F.get_json_object("value", "$.attack_type").alias("attack_type")).agg(F.count("*").alias("n"))

@@ -47,6 +47,12 @@ def with_status(stream: DataFrame, name: str = "status") -> DataFrame:
     return stream.observe(name, F.count(F.lit(1)).alias("rows"), attacks.alias("attacks"))
 
 
+def status_of(query, name: str = "status") -> dict[str, int]:
+    """Totals of `with_status` over the micro-batches that a query remembers."""
+    seen = [p.observedMetrics.get(name) for p in query.recentProgress]
+    return {k: sum(s[k] for s in seen if s is not None) for k in ("rows", "attacks")}
+
+
 class StatusReport(StreamingQueryListener):
     """Logs the counts of `with_status` after every micro-batch and keeps their totals."""
 
