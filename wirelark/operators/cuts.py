@@ -9,8 +9,9 @@ offset instead of a time).
 
 How it is spread: rows are shuffled once by (key, chunk) and sorted; a partition is then scanned
 in Arrow batches with numpy. For every row the scan finds, by binary search, where the next run
-would start if one started at this row; the runs are then the path through these links. Memory is
-one batch plus one chunk. Keys that hold several chunks (see `ordered.with_chunks`) need one pass
+would start if one started at this row; the runs are then the path through these links. A batch that
+goes on with the key of the one before enters in the state in which that one ended, so memory is one
+batch, however many rows a key or chunk has. Keys that hold several chunks (see `ordered.with_chunks`) need one pass
 more: it condenses each of their chunks into a step function from the state at its entry to the
 state at its exit, a stream over these per-chunk rows settles the entry states, and the scan then
 starts each chunk from its entry.
@@ -129,7 +130,8 @@ def _last_before(flags, first_of_row):
 
 
 def _scan(t, seq, side, closes, first, limits, entries):
-    """Run columns for whole groups. `entries` maps a group's first index to its entry state."""
+    """(state after the last row, run columns). `entries` maps a group's first index to the state in
+    which it is entered; a group may end with more of its rows to come."""
     n = len(t)
     links = _Links(t, closes, first, limits)
     index = np.arange(n)
@@ -202,13 +204,15 @@ def _scan(t, seq, side, closes, first, limits, entries):
                 values[head] = np.where(known[head], values[head], e["mark_t"])
                 known[head] = True
     in_run = ~absorbed
+    state = _state_after(links, t, seq, side, run, absorbed, (run_t, run_seq, run_side, run_pos),
+                         mark_t[-1] if has_mark[-1] else _BEFORE_ALL, entries)
     prev_run_pos = np.concatenate((run_pos[:1], run_pos[:-1]))
     still_open = in_run & ~closes
     prev_in_run = has_prev & np.concatenate((still_open[:1], still_open[:-1]))
     for g, e in entries.items():
         if e["mode"] != _NONE:
             prev_run_pos[g], prev_in_run[g] = e["rows"] - 1, e["mode"] == _OPEN
-    return [
+    return state, [
         pa.array(run_t, pa.int64(), mask=~in_run), pa.array(run_seq, pa.int64(), mask=~in_run),
         pa.array(run_side, pa.int32(), mask=~in_run), pa.array(absorbed, pa.bool_()),
         pa.array(prev_t, pa.int64(), mask=~has_prev),
@@ -221,20 +225,48 @@ def _scan(t, seq, side, closes, first, limits, entries):
     ]
 
 
+def _state_after(links, t, seq, side, run, absorbed, of_run, mark_t, entries):
+    """The entry state of a row that follows the last one in its group."""
+    g, i, limits = int(links.firsts[-1]), len(t) - 1, links.limits
+    entry = entries.get(g)
+    entry = dict(entry) if entry is not None and entry["mode"] != _NONE else dict.fromkeys(_ENTRY_FIELDS, _BEFORE_ALL) | {"mode": _NONE}
+    run_t, run_seq, run_side, run_pos = (int(c[i]) for c in of_run)
+    state = entry | {"prev_t": int(t[i]), "mark_t": int(mark_t)}
+    for k, rows in ((0, np.flatnonzero(side[g:] == 0)), (1, np.flatnonzero(side[g:] != 0))):
+        if len(rows):
+            state[f"t{k}"], state[f"seq{k}"] = int(t[g + rows[-1]]), int(seq[g + rows[-1]])
+    if absorbed[i] or links.closes[i]:
+        closed_at = None
+        if not absorbed[i]:
+            closed_at = i
+        elif run[i] >= g:
+            closed_at = int(links.close[run[i]])
+        elif entry["mode"] == _OPEN:                    # the run it was entered in closed here
+            closed_at = int(links.close[g])
+        limit = entry["limit"] if closed_at is None else int(t[closed_at]) + limits.linger
+        return state | {"mode": _CLOSED, "limit": limit, "start_t": 0, "start_seq": 0, "start_side": 0, "rows": 0}
+    return state | {"mode": _OPEN, "limit": run_t + limits.active, "start_t": run_t, "start_seq": run_seq,
+                    "start_side": run_side, "rows": run_pos + 1}
+
+
+def _group_starts(table, group_columns):
+    """Flags the rows at which a group begins, the first row always."""
+    first = np.zeros(len(table), dtype=bool)
+    first[0] = True
+    for name in group_columns:
+        column = table.column(name)
+        differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+        first[1:] |= differs.to_numpy(zero_copy_only=False)
+    return first
+
+
 def _whole_groups(batches, group_columns):
     """Re-slices sorted batches so that no group straddles two of them; yields (table, first)."""
     held = []
 
     def joined():
         table = pa.Table.from_batches(held).combine_chunks()
-        first = np.zeros(len(table), dtype=bool)
-        first[0] = True
-        for name in group_columns:
-            column = table.column(name)
-            column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
-            differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
-            first[1:] |= differs.to_numpy(zero_copy_only=False)
-        return table, first
+        return table, _group_starts(table.to_batches()[0], group_columns)
 
     def same_group(batch):
         last = held[-1]
@@ -284,18 +316,22 @@ def greedy_cuts(df: DataFrame, key: str, t: str, seq: str, *, active=NEVER, inac
     out_schema = T.StructType(df.schema.fields + RUN_COLUMNS.fields)
 
     def scan(batches):
-        for table, first in _whole_groups(batches, [key, CHUNK]):
+        group, state = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            first = _group_starts(batch, [key, CHUNK])
             entries = {}
             if split:
-                column = table.column("_entry")
                 firsts = np.flatnonzero(first)
-                entries = {int(g): e for g, e in zip(firsts, column.take(pa.array(firsts)).to_pylist())
+                entries = {int(g): e for g, e in zip(firsts, batch.column("_entry").take(pa.array(firsts)).to_pylist())
                            if e is not None}
-            added = _scan(*_inputs(table, t, seq, side, closes), first, limits, entries)
-            out = table.select(names)
-            for field, values in zip(RUN_COLUMNS.names, added):
-                out = out.append_column(field, values)
-            yield from out.to_batches()
+            ends = [(batch.column(key)[i].as_py(), batch.column(CHUNK)[i].as_py()) for i in (0, len(batch) - 1)]
+            if ends[0] == group:
+                entries[0] = state
+            state, added = _scan(*_inputs(batch, t, seq, side, closes), first, limits, entries)
+            group = ends[1]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + added, names + RUN_COLUMNS.names)
 
     return (chunked.repartition(key, CHUNK).sortWithinPartitions(key, CHUNK, t, seq)
             .mapInArrow(scan, out_schema))

@@ -36,6 +36,7 @@ AGGREGATOR_ONLY = FlowLimits(inactivity=15_000_000, active=120_000_000)
 REPLAY = FlowLimits(inactivity=NEVER, active=NEVER, linger=NEVER)
 
 FLOW = ["flow_key", "start_us", "start_seq"]
+_CARRIED = ["payload_len", "header_len", "tcp_window", "tcp_flags", "is_port_scan", "is_conn_flood"]
 
 
 def _flag(name: str) -> Column:
@@ -43,10 +44,11 @@ def _flag(name: str) -> Column:
 
 
 def cut_into_flows(packets: DataFrame, limits: FlowLimits = LIVE,
-                   marks: dict | None = None) -> DataFrame:
+                   marks: dict | None = None, columns=None) -> DataFrame:
     """Adds flow identity (flow_key, start_us, start_seq), `is_fwd`, `absorbed` and the gaps that
     the statistics need. With `marks` (thresholds, see `heuristics.mark_packets`) scans and floods
-    are marked first and a marked packet closes its flow; marks already present are used too."""
+    are marked first and a marked packet closes its flow; marks already present are used too.
+    Of the packets' columns `columns` are carried along (all if not given)."""
     probe, chunk_rows = net.with_direction_key(packets), None
     if marks is not None:
         if not worth_splitting(packets, ["ts_us", "seq"]):
@@ -57,6 +59,8 @@ def cut_into_flows(packets: DataFrame, limits: FlowLimits = LIVE,
             packets = packets.withColumn(name, F.lit(False))
     closing = _flag("FIN") | _flag("RST") | F.col("is_port_scan") | F.col("is_conn_flood")
     keyed = net.with_direction_key(packets).withColumn("closes", closing)
+    if columns is not None:
+        keyed = keyed.select("flow_key", "side", "ts_us", "seq", "closes", *columns)
     cut = greedy_cuts(keyed, "flow_key", "ts_us", "seq", closes="closes", side="side",
                       active=limits.active, inactivity=limits.inactivity,
                       linger=limits.linger, idle=limits.idle, chunk_rows=chunk_rows, probe=probe)
@@ -235,7 +239,7 @@ SUMMARY_COLUMNS = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol", "prot
 
 def build_flows(packets: DataFrame, limits: FlowLimits = LIVE, marks: dict | None = None) -> DataFrame:
     """Filtered packets to flows with features and summary."""
-    moments = flow_moments(cut_into_flows(packets, limits, marks), limits)
+    moments = flow_moments(cut_into_flows(packets, limits, marks, _CARRIED), limits)
     flows = with_summary(with_features(with_endpoints(moments)))
     return (flows.withColumn("is_port_scan", F.col("scan") == 1)
             .withColumn("is_conn_flood", F.col("flood") == 1))

@@ -10,9 +10,10 @@ from wirelark.plans import packet_sql as sql
 from wirelark.plans.catalog import query
 from wirelark.sources import tables
 
-# Sample traffic is thin: two attempts of a host pair in five seconds already count as a flood.
-MARKS = dict(scan_threshold=15, flood_threshold=2)
-MARKS_SQL = sql.attempt_marks("directed", 15, 2)
+# Sample traffic is thin: two attempts of a host pair in five seconds already count, as a scan if
+# they go to two ports, else as a flood.
+MARKS = dict(scan_threshold=2, flood_threshold=2)
+MARKS_SQL = sql.attempt_marks("directed", 2, 2)
 SYN_MARKS = dict(scan_threshold=12, flood_threshold=11)
 SNAPSHOT_US = 300_000_000
 RUN_LIMITS = fl.FlowLimits(linger=0)

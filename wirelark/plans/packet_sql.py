@@ -10,7 +10,8 @@ sided AS (
     '10.0.' || (user_id // 250) || '.' || (user_id % 250 + 1) AS client_ip,
     CAST(40000 + user_id % 1000 AS INTEGER) AS client_port,
     '192.168.1.' || (user_id % 3 + 1) AS server_ip,
-    CAST(CASE WHEN user_id % 50 = 9 THEN 5353 ELSE 80 + user_id % 5 END AS INTEGER) AS server_port
+    CAST(CASE WHEN user_id % 50 = 9 THEN 5353 WHEN user_id % 10 = 3 AND event_type = 'signup' THEN 2000 + k
+      ELSE 80 + user_id % 5 END AS INTEGER) AS server_port
   FROM raw),
 raw_packets AS (
   SELECT event_id AS seq,

@@ -33,7 +33,9 @@ def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (user % 250 + 1).cast("string"))
     server_ip = F.concat(F.lit("192.168.1."), (user % 3 + 1).cast("string"))
     client_port = (40000 + user % 1000).cast("int")
-    server_port = F.when(user % 50 == 9, F.lit(5353)).otherwise(80 + user % 5).cast("int")
+    # some users try a port of their own with every attempt, so there are scans as well as floods
+    server_port = (F.when(user % 50 == 9, F.lit(5353)).when((user % 10 == 3) & (kind == "signup"), 2000 + k)
+                    .otherwise(80 + user % 5).cast("int"))
     reply = F.col("event_id") % 3 == 0
     noise_ip = (F.when(user % 50 == 7, F.lit("239.255.255.250"))
                  .when(user % 50 == 8, F.lit("192.168.1.255")))
