@@ -97,7 +97,7 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
     """(matched template words, begin, end): the best local alignment of the template with the
     document's words that stays within `band` of the diagonal; the words begin:end take part."""
     width = 2 * band + 1
-    best, span, top = 0, (0, 0, 0), [(0, 0, 0)] * (width + 2)
+    best, span, top = (0, 0), (0, 0, 0), [(0, 0, 0)] * (width + 2)
     for i in range(len(template)):
         row = [(0, 0, 0)] * (width + 2)
         for b in range(width):
@@ -114,8 +114,8 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
             if here[0] <= 0:
                 continue
             row[b + 1] = here
-            if here[0] > best:
-                best, span = here[0], (here[1], here[2], j + 1)
+            if (here[0], -abs(b - band)) > best:                   # of equal ones that nearest to the diagonal
+                best, span = (here[0], -abs(b - band)), (here[1], here[2], j + 1)
         top = row
     return span
 
