@@ -232,7 +232,8 @@ def column_kinds(spark, sf_dir):
 
 
 @query("detect_with_models", packet_sql.live_flows(MARKS_SQL) + """ SELECT flow_key, start_us, start_seq,
-  rst + fin > 0 OR is_conn_flood AS is_attack, CASE WHEN is_conn_flood THEN 'DoS' WHEN rst > 0 THEN 'DoS'
+  rst + fin > 0 OR is_conn_flood OR is_port_scan AS is_attack, CASE WHEN is_port_scan THEN 'Reconnaissance'
+  WHEN is_conn_flood THEN 'DoS' WHEN rst > 0 THEN 'DoS'
   WHEN fin > 0 THEN 'Reconnaissance' ELSE 'Benign' END AS attack_type FROM flow""")
 def detect_with_models(spark, sf_dir):
     """Two trained stages on the flows themselves: first attack or not, then which attack. The
