@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from wirelark.llm import texts
@@ -25,7 +25,7 @@ class Settings:
     window: int = 32               # words of a window
     stride: int = 24               # words from a window to the next, so 8 are shared
     fit_rows: int = 3_000          # labelled documents a fit reads at most, a third of them toxic at most
-    fit_bytes: int = 32 << 20      # bytes of their texts at most
+    fit_bytes: int = 16 << 20      # bytes of their texts at most
     hidden: int = 8
     width: int = 12                # of an embedding
     table_log2: int = 15           # rows of each embedding table
@@ -35,6 +35,7 @@ class Settings:
     train_windows: int = 3         # of a document that an epoch trains on
     candidates: int = 8            # of a document among which an epoch looks for those
     table_rate: float = 0.002
+    doubt: float = 0.2             # a toxic document whose best window scores less after two epochs is taken for mislabelled
     seed: int = 7
 
 
@@ -48,7 +49,7 @@ def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _folded(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
 @dataclass
@@ -61,6 +62,22 @@ class Words:
     documents: np.ndarray          # document i has the words documents[i]:documents[i + 1]
 
 
+def read_words_in_parts(data: np.ndarray, offsets: np.ndarray, bits: int, size: int = 1 << 19) -> Words:
+    """Like read_words, with the temporary arrays of a part of the documents at a time; a word that
+    occurs in several parts is listed once for each."""
+    parts, lo = [], 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        parts.append(read_words(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], bits))
+        lo = hi
+    distinct = np.cumsum([0] + [len(p.ids) for p in parts])
+    grams, words = np.cumsum([0] + [len(p.trigrams) for p in parts]), np.cumsum([0] + [len(p.which) for p in parts])
+    return Words(np.concatenate([p.ids for p in parts]), np.concatenate([p.trigrams for p in parts]),
+                 np.concatenate([p.first[:-1] + g for p, g in zip(parts, grams)] + [grams[-1:]]),
+                 np.concatenate([p.which + d for p, d in zip(parts, distinct)]),
+                 np.concatenate([p.documents[:-1] + w for p, w in zip(parts, words)] + [words[-1:]]))
+
+
 def read_words(data: np.ndarray, offsets: np.ndarray, bits: int) -> Words:
     low = texts.LOWER[data]
     starts, ends, documents = texts.words(low, offsets, texts.ALNUM)
@@ -110,15 +127,16 @@ class Network:
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
     def embed(self, words: Words) -> np.ndarray:
-        """Distinct words x width."""
-        x = sum(self.w[f"table_{k}"][words.ids[:, i]] for i, k in enumerate(KINDS))
-        return x + self._trigram_mean(words)
-
-    def _trigram_mean(self, words: Words) -> np.ndarray:
-        if not len(words.trigrams):
-            return np.zeros((0, self.settings.width), np.float32)
-        total = np.add.reduceat(self.w["table_tri"][words.trigrams], words.first[:-1], axis=0)
-        return total / np.diff(words.first)[:, None].astype(np.float32)
+        """Distinct words x width, some words at a time."""
+        x = np.empty((len(words.ids), self.settings.width), self.w["table_tri"].dtype)
+        for lo in range(0, len(x), 16_384):
+            first = words.first[lo:lo + 16_385]
+            grams = self.w["table_tri"][words.trigrams[first[0]:first[-1]]]
+            part = np.add.reduceat(grams, first[:-1] - first[0], axis=0) / np.diff(first)[:, None].astype(x.dtype)
+            for i, k in enumerate(KINDS):
+                part += self.w[f"table_{k}"][words.ids[lo:lo + 16_384, i]]
+            x[lo:lo + 16_384] = part
+        return x
 
     def _direction(self, p: np.ndarray, mask: np.ndarray, d: str, keep: list | None):
         """p: steps x windows x gates, inputs already projected; returns all states."""
@@ -188,7 +206,7 @@ class Network:
             dx += flat @ w[f"in_{d}"].T
         return out, dx
 
-    def window_scores(self, words: Words, windows: tuple | None = None, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def window_scores(self, words: Words, windows: tuple | None = None, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(probability, document) of every window, or of those given."""
         first, size, owner = windows or window_starts(words.documents, self.settings)
         order = np.argsort(size, kind="stable")[::-1]      # whole windows together
@@ -235,7 +253,7 @@ def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, settings: Se
     with Adagrad). Each epoch trains on the windows of a document that now score highest.
     """
     net = Network(settings)
-    words = read_words(data, offsets, settings.table_log2)
+    words = read_words_in_parts(data, offsets, settings.table_log2)
     rows, owner = 1 << settings.table_log2, np.repeat(np.arange(len(toxic)), np.diff(words.documents))
     for i, kind in enumerate(KINDS):
         net.w[f"table_{kind}"][:, 0] = _evidence(words.ids[words.which, i], owner, toxic, rows)
@@ -249,11 +267,13 @@ def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, settings: Se
     second = {k: np.zeros_like(net.w[k]) for k in dense}
     squares = {k: np.full(rows, 0.1, np.float32) for k in net.w if k.startswith("table_")}
     t = 0
-    for _ in range(settings.epochs):
-        order, rank = _ranked(net.window_scores(words, (first, size, of))[0], of)
+    for epoch in range(settings.epochs):
+        score = net.window_scores(words, (first, size, of))[0]
+        order, rank = _ranked(score, of)
         chosen = order[rank < settings.train_windows]
         best = order[rank == 0]
-        chosen = np.concatenate([best[toxic[of[best]] == 1], chosen[toxic[of[chosen]] == 0]])
+        shown = best[(toxic[of[best]] == 1) & ((score[best] >= settings.doubt) | (epoch < 2))]
+        chosen = np.concatenate([shown, chosen[toxic[of[chosen]] == 0]])
         weight = np.where(toxic[of] == 1, 1.0, 1.0 / settings.train_windows)
         draw.shuffle(chosen)
         for lo in range(0, len(chosen), settings.batch):
@@ -324,19 +344,28 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Network | None:
     """Trains on a bounded sample of the labelled documents; None unless both labels occur in it.
 
-    Whole texts are used, in the order of the ids' hashes, until fit_bytes are reached.
+    Whole texts are used, in the order of the ids' hashes, until fit_bytes are reached. The sample is
+    bounded, so one task trains on it; the driver gets the weights.
     """
     settings = settings or Settings()
     sample = sample_labelled(docs, labels, settings).withColumn("n", F.octet_length("text"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    from pyspark.sql import Window
     within = sample.withColumn("upto", F.sum("n").over(Window.orderBy(order, "doc_id", F.md5("text"))))
-    table = within.where(F.col("upto") <= settings.fit_bytes).orderBy("upto").select("text", "toxic").toArrow()
-    toxic = np.asarray(table.column("toxic").to_numpy(), dtype=np.int64)
-    if not 0 < toxic.sum() < len(toxic):
+
+    def run(batches):
+        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pydict({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())})])
+        toxic = np.asarray(table.column("toxic").to_numpy(), dtype=np.int64)
+        if 0 < toxic.sum() < len(toxic):
+            data, offsets = texts.column_bytes(table.column("text"))
+            weights = train(data, offsets, toxic, settings).w
+            yield pa.RecordBatch.from_pydict({"name": list(weights), "weights": pa.array([w.astype(np.float32).tobytes() for w in weights.values()], pa.binary())})
+    ordered = within.where(F.col("upto") <= settings.fit_bytes).coalesce(1).sortWithinPartitions("upto").select("text", "toxic")
+    trained = {r.name: r.weights for r in ordered.mapInArrow(run, "name string, weights binary").collect()}
+    if not trained:
         return None
-    data, offsets = texts.column_bytes(table.column("text"))
-    return train(data, offsets, toxic, settings)
+    net = Network(settings)
+    net.w = {k: np.frombuffer(trained[k], np.float32).reshape(w.shape) for k, w in net.w.items()}
+    return net
 
 
 NEW = [StructField("score", DoubleType()), StructField("n_windows", LongType())]
