@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a folder beside the warehouse."""
+    """spark.checkpoint.dir of the session; where it is unset (tests), the warehouse, which is shared too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch").rstrip("/")
+    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 class Scratch:
