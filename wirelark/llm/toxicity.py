@@ -14,8 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from wirelark.llm import texts
 
@@ -25,7 +25,7 @@ class Settings:
     window: int = 32               # words of a window
     stride: int = 24               # words from a window to the next, so 8 are shared
     fit_rows: int = 3_000          # labelled documents a fit reads at most, a third of them toxic at most
-    fit_bytes: int = 16 << 20      # bytes of their texts at most
+    fit_bytes: int = 16 << 20      # bytes of their texts at most, half for each label
     hidden: int = 8
     width: int = 12                # of an embedding
     table_log2: int = 15           # rows of each embedding table
@@ -341,16 +341,35 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
     return docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
 
+def fitting(rows: list[tuple], fit_bytes: int) -> tuple[list[tuple], set]:
+    """((doc_id, tie, label) of the texts that fit, labels that occur) from (doc_id, tie, label, bytes) in order."""
+    left, taken = {0: fit_bytes // 2, 1: fit_bytes // 2}, []
+    for doc_id, tie, kind, n in rows:
+        if n <= left[kind]:
+            left[kind] -= n
+            taken.append((doc_id, tie, kind))
+    return taken, {kind for _, _, kind, _ in rows}
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Network | None:
     """Trains on a bounded sample of the labelled documents; None unless both labels occur in it.
 
-    Whole texts are used, in the order of the ids' hashes, until fit_bytes are reached. The sample is
-    bounded, so one task trains on it; the driver gets the weights.
+    Whole texts are used, in the order of the ids' hashes. Each label has half of fit_bytes; a text
+    that does not fit in what its label has left is passed over and the next are tried. If a label
+    has texts but none fits, that is an error. The sample is bounded, so one task trains on it; the
+    driver gets the weights.
     """
     settings = settings or Settings()
     sample = sample_labelled(docs, labels, settings).withColumn("n", F.octet_length("text"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    within = sample.withColumn("upto", F.sum("n").over(Window.orderBy(order, "doc_id", F.md5("text"))))
+    sizes = sample.select("doc_id", "toxic", "n", order.alias("h"), F.md5("text").alias("tie")).distinct()
+    taken, labelled = fitting([tuple(r) for r in sizes.orderBy("h", "doc_id", "tie").select("doc_id", "tie", "toxic", "n").collect()], settings.fit_bytes)
+    if labelled - {kind for *_, kind in taken}:
+        raise ValueError("a label has texts, but none that fits in half of fit_bytes")
+    if len(labelled) < 2:
+        return None
+    places = docs.sparkSession.createDataFrame([(d, tie, i) for i, (d, tie, _) in enumerate(taken)], StructType([sample.schema["doc_id"], StructField("tie", StringType()), StructField("place", LongType())]))
+    chosen = sample.withColumn("tie", F.md5("text")).join(F.broadcast(places), ["doc_id", "tie"]).dropDuplicates(["place"])
 
     def run(batches):
         table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pydict({"text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())})])
@@ -359,10 +378,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
             data, offsets = texts.column_bytes(table.column("text"))
             weights = train(data, offsets, toxic, settings).w
             yield pa.RecordBatch.from_pydict({"name": list(weights), "weights": pa.array([w.astype(np.float32).tobytes() for w in weights.values()], pa.binary())})
-    ordered = within.where(F.col("upto") <= settings.fit_bytes).coalesce(1).sortWithinPartitions("upto").select("text", "toxic")
+    ordered = chosen.coalesce(1).sortWithinPartitions("place").select("text", "toxic")
     trained = {r.name: r.weights for r in ordered.mapInArrow(run, "name string, weights binary").collect()}
-    if not trained:
-        return None
     net = Network(settings)
     net.w = {k: np.frombuffer(trained[k], np.float32).reshape(w.shape) for k, w in net.w.items()}
     return net
