@@ -459,7 +459,10 @@ def learning_curve(train: DataFrame, classes: int, fractions=(0.2, 0.4, 0.6, 0.8
     """(fraction, fold, train score, validation score); each subset is a prefix by row id of the
     training part, with at least two classes in it for a fit to make sense."""
     folded = cut_lineage(stratified_folds(train, folds, "label", shuffled=False), "curve")
-    steps = [cut_lineage(growing_subsets(folded.where(F.col("fold") != f), fractions), "subsets") for f in range(folds)]
+
+    def bounded(part):                                     # once, so that the fractions are of what a fit may read
+        return bounded_sample(part, settings.fit_rows, "label", "row_id", settings.seed) if settings.fit_rows else part
+    steps = [cut_lineage(growing_subsets(bounded(folded.where(F.col("fold") != f)), fractions), "subsets") for f in range(folds)]
 
     def score(task):
         f, i = task
