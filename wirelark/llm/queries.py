@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wirelark.llm import chat, decontaminate, langid, licenses, mixing, quality, simhash, tokencount, toxicity, warc
+from wirelark.llm import chat, decontaminate, langid, licenses, merkle, minhash, mixing, quality, simhash, tokencount, toxicity, warc, whitening
 from wirelark.llm.shared import Scratch
 
 QUERIES = {}
@@ -179,3 +179,32 @@ def op10_language(spark, sf_dir):
     model = langid.fit(docs.where(~langid.held_out()))
     return langid.predict(docs.drop("lang"), model).select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "known_share", "n_ngrams")
+
+
+def tampered() -> Column:
+    """Whether op11_merkle changes a row before it checks its proof."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+
+
+@query()
+def op11_merkle(spark, sf_dir):
+    """All documents as leaves, proofs by descent, and every proof checked against a row that may be changed."""
+    docs = table(spark, sf_dir, "documents")
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shown = F.when(tampered(), merkle.leaf_of(text=F.translate("text", capitals, small))).otherwise(merkle.leaf_of())
+    proofs = merkle.manifest(docs.select("doc_id", "lang", merkle.leaf_of().alias("leaf"), shown.alias("shown")), carried=("shown",))
+    folded = merkle.folded(F.col("shown"), F.col("upwards"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("upwards"))).alias("proof_sha256"),
+                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op12_minhash(spark, sf_dir):
+    found = minhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query()
+def op13_whitening(spark, sf_dir):
+    rows = whitening.whole_numbers(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitening.apply(rows, "vec_id", whitening.fit(rows))
