@@ -71,7 +71,7 @@ def test_out_of_fold_rows_were_not_seen(spark):
     rng = random.Random(5)
     rows = [(i, float(rng.random() < 0.5), Vectors.dense([float(i)])) for i in range(30)]
     df = spark.createDataFrame(rows, ["row_id", "label", "features"])
-    deep = SMALL.but("dt", depth=15, leaf=1, gain=0.0)
+    deep = SMALL.but("dt", depth=15, leaf=1, split=2, alpha=0.0)
     inside = learners.f1_of(learners.fit_learner("dt", df, 2, deep).transform(df), "dt_prediction", 2)
     oof = learners.out_of_fold(df, ["dt"], 2, 4, deep)
     assert oof.select("row_id").distinct().count() == oof.count() == 30

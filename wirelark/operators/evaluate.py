@@ -155,27 +155,28 @@ def roc_macro(predictions: DataFrame) -> DataFrame:
     """(model, fpr, tpr): the mean of the class curves on the union of their false-positive rates.
     Classes without a row, or with all rows, have no curve and are left out.
 
-    Each class curve is read at a rate by the number of its knots up to there, so the lookup is an
-    equi-join on (class, knot number)."""
+    A class curve is a line between its knots, so all that a knot changes is the height, by its jump, and
+    the slope. Both changes are summed over the classes of a rate; one running sum gives the slope of the
+    summed curve behind each rate, and another its height. There is one row for each rate, whatever the
+    number of classes."""
     ovr = one_vs_rest(predictions)
     curves = roc_curve(ovr, ["model", "class"])
     sided = curves.groupBy("model", "class").agg((F.count("fpr") > 1).alias("_f"), (F.count("tpr") > 1).alias("_t"))
-    curves = curves.join(small_side(sided.where("_f and _t").select("model", "class")), ["model", "class"], "left_semi")
-    knots = cut_lineage(curves.groupBy("model", "class", "fpr").agg(
+    sided = small_side(sided.where("_f and _t").select("model", "class"))
+    knots = cut_lineage(curves.join(sided, ["model", "class"], "left_semi").groupBy("model", "class", "fpr").agg(
         F.min("tpr").alias("low"), F.max("tpr").alias("high")), "knots")
-    classes = small_side(knots.select("model", "class").distinct())
-    grid = knots.select("model", "fpr").distinct().join(classes, "model")
-    line = (grid.join(knots, ["model", "class", "fpr"], "left")
-            .withColumn("is_knot", F.col("low").isNotNull().cast("int")))
-    line = cut_lineage(running_sums(line, ["model", "class"], ["fpr"], {"k": F.col("is_knot")}, probe=knots), "line")
-    at = line.where("is_knot = 1").select("model", "class", "k", F.col("fpr").alias("x0"), F.col("high").alias("y0"))
-    after = line.where("is_knot = 1").select("model", "class", (F.col("k") - 1).alias("k"),
-                                             F.col("fpr").alias("x1"), F.col("low").alias("y1"))
-    read = (line.join(at, ["model", "class", "k"]).join(after, ["model", "class", "k"], "left")
-            .withColumn("y", F.when((F.col("fpr") == F.col("x0")) | F.col("x1").isNull(), F.col("y0")).otherwise(
-                F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0"))
-                / (F.col("x1") - F.col("x0")))))
-    return read.groupBy("model", "fpr").agg(F.avg("y").alias("tpr"))
+    near = neighbours(knots.withColumn("_at", F.struct("fpr", "low", "high")), ["model", "class"], ["fpr"], "_at", previous="_was", following="_next")
+    before = (F.col("low") - F.col("_was.high")) / (F.col("fpr") - F.col("_was.fpr"))
+    after = (F.col("_next.low") - F.col("high")) / (F.col("_next.fpr") - F.col("fpr"))
+    jump = F.col("high") - F.when(F.col("_was").isNull(), F.lit(0.0)).otherwise(F.col("low"))
+    turns = cut_lineage(near.groupBy("model", "fpr").agg(
+        F.sum(F.coalesce(after, F.lit(0.0)) - F.coalesce(before, F.lit(0.0))).alias("turn"), F.sum(jump).alias("jump")), "turns")
+    sloped = running_sums(turns, ["model"], ["fpr"], {"slope": F.col("turn")}, probe=turns)
+    steps = neighbours(sloped.withColumn("_at", F.struct("fpr", "slope")), ["model"], ["fpr"], "_at", previous="_was")
+    risen = F.coalesce(F.col("_was.slope") * (F.col("fpr") - F.col("_was.fpr")), F.lit(0.0)) + F.col("jump")
+    heights = running_sums(steps.withColumn("_step", risen), ["model"], ["fpr"], {"height": F.col("_step")}, probe=turns)
+    classes = small_side(sided.groupBy("model").agg(F.count("*").alias("_classes")))
+    return heights.join(classes, "model").select("model", "fpr", (F.col("height") / F.col("_classes")).alias("tpr"))
 
 
 def curve_area(curve: DataFrame, keys=("model",)) -> DataFrame:

@@ -2,51 +2,48 @@
 
 A fitted learner is an ordinary PipelineModel that adds `<name>_prediction` and, where the learner
 has probabilities, `<name>_probability`; so a stacked ensemble is again a PipelineModel that can be
-saved, loaded and put behind a fitted preprocessor.
+saved, loaded and put behind a fitted preprocessor. `fits` does the fitting: linear SVM with squared
+hinge, forests, extra trees with drawn thresholds, a tree with weakest-link pruning, boosting on
+second-order gradients with one softmax over all classes, a ReLU perceptron with early stopping.
 
 Input rows carry `features`, a numeric `label` 0..k-1 and, for folds, a unique `row_id`.
 
-Where Spark ML offers no exact counterpart: the linear SVM uses the hinge instead of the squared
-hinge; extra trees are random forests without bootstrap; the tree's cost-complexity pruning is
-replaced by a minimum information gain, and there is no minimum of rows for a split, only for a leaf;
-the perceptron is fitted by L-BFGS with sigmoid hidden units, without an L2 term or early stopping;
-gradient boosting for several classes is one-vs-rest with normalised sigmoid scores.
-
 `Settings.fit_rows` bounds the labelled rows of one fit: a larger table is thinned by
 `sampling.bounded_sample`, which keeps rare classes. Scoring always covers all rows.
 """
 
 from __future__ import annotations
 
+import base64
+import io
 import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wirelark.operators import evaluate as ev
+from wirelark.operators import evaluate as ev, fits, solvers
 from wirelark.operators.sampling import bounded_sample, growing_subsets, stratified_folds
 from wirelark.sources.scratch import cut_lineage
 
 # Hyper-parameters of the learners.
 DEFAULTS = {
     "linearsvc": dict(c=1.0, tol=1e-3, max_iter=5000),
-    "rf": dict(trees=100, depth=15, leaf=2),
-    "et": dict(trees=100, depth=15, leaf=2),
-    "dt": dict(depth=12, leaf=8, gain=0.00015),
-    "mlp": dict(hidden=(64, 32), block=128, max_iter=200),
-    "hgb": dict(rounds=100, depth=12, leaf=20, rate=0.1),
+    "rf": dict(trees=100, depth=15, leaf=2, split=4),
+    "et": dict(trees=100, depth=15, leaf=2, split=4),
+    "dt": dict(depth=12, leaf=8, split=20, alpha=0.00015),
+    "mlp": dict(hidden=(64, 32), block=128, max_iter=200, rate=0.001, l2=0.0001, patience=10, held=0.1, rows=100_000),
+    "hgb": dict(rounds=100, depth=12, leaf=20, rate=0.1, leaves=31),
     "linearsvcCalibrated": dict(c=1.0, tol=1e-3, max_iter=5000, folds=3, method="sigmoid"),
     "meta": dict(c=1.0, max_iter=2000),
 }
@@ -69,6 +66,7 @@ class Settings:
     seed: int = 42
     changes: dict = field(default_factory=dict)
     fit_rows: int | None = None
+    local_rows: int = fits.LOCAL_ROWS            # rows that go to every task in a broadcast; more stay in their table
 
     def of(self, name: str) -> dict:
         return DEFAULTS[name] | self.changes.get(name, {})
@@ -77,48 +75,6 @@ class Settings:
         return replace(self, changes=self.changes | {name: self.changes.get(name, {}) | values})
 
 
-BINS = 255                       # thresholds tried per feature
-ROWS_PER_TASK = 25_000           # of a bounded fit
-
-
-class MergeProbabilities(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable,
-                         DefaultParamsWritable):
-    """One probability vector out of several columns. `how`: 'mean' averages vectors; 'second'
-    takes place 1 of each vector and normalises; 'number' the same for plain numbers; 'sigmoid'
-    normalises the logistic of the places of one raw vector."""
-
-    how = Param(Params._dummy(), "how", "how columns are merged", TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, inputCols=None, outputCol=None, how="mean"):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df):
-        how, columns = self.getOrDefault(self.how), self.getInputCols()
-        if how == "mean":
-            arrays = [vector_to_array(c) for c in columns]
-            total = arrays[0]
-            for a in arrays[1:]:
-                total = F.zip_with(total, a, lambda x, y: x + y)
-            merged = F.transform(total, lambda x: x / len(columns))
-        else:
-            if how == "second":
-                chances = F.array(*[F.get(vector_to_array(c), F.lit(1)) for c in columns])
-            elif how == "number":
-                chances = F.array(*[F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) for c in columns])
-            else:
-                chances = F.transform(vector_to_array(columns[0]), lambda x: 1 / (1 + F.exp(-x)))
-            if len(columns) == 1 and how != "sigmoid":         # the chance of class 1 alone
-                one = F.get(chances, F.lit(0))
-                merged = F.array(1 - one, one)
-            else:
-                total = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
-                even = F.transform(chances, lambda x: F.lit(1.0) / F.size(chances))
-                merged = F.when(total > 0, F.transform(chances, lambda x: x / total)).otherwise(even)
-        return df.withColumn(self.getOutputCol(), array_to_vector(merged))
-
-
 def class_rows(train: DataFrame) -> dict[int, int]:
     return {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
 
@@ -147,136 +103,97 @@ class LargestPlace(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadabl
         return df.withColumn(self.getOutputCol(), place.cast("double"))
 
 
-def _name_outputs(learner, name, probability=True):
-    learner = learner.setRawPredictionCol(f"{name}_raw").setPredictionCol(f"{name}_prediction")
-    return learner.setProbabilityCol(f"{name}_probability") if probability else learner
-
-
-def _one_vs_rest(name, make, train: DataFrame, counts, own_weight_for_all: bool):
-    """One binary model per class; `<name>_raw` gathers their margins and the largest one wins.
-    The rows of the other classes weigh 1, or what their own class weighs."""
-    classes = sorted(counts)
-    rows = sum(counts.values())
-    stages, margins, extra = [], [], []
-    balanced = weighted(train, counts)
-
-    def fit(c):
-        is_class = F.col("label") == c
-        part = balanced.withColumn("weight", F.when(is_class | F.lit(own_weight_for_all), F.col("weight"))
-                                   .otherwise(F.lit(1.0))).withColumn("label", is_class.cast("double"))
-        total = rows if own_weight_for_all else rows / len(classes) + rows - counts[c]
-        return make(f"{name}_vs{c}", total).fit(part)
-    for c, model in zip(classes, _together(fit, classes)):
-        tag = f"{name}_vs{c}"
-        stages += [model, VectorSlicer(inputCol=f"{tag}_raw", outputCol=f"{tag}_margin", indices=[1])]
-        margins.append(f"{tag}_margin")
-        extra += [c2 for c2 in (f"{tag}_raw", f"{tag}_prediction", f"{tag}_margin")]
-        if model.hasParam("probabilityCol"):
-            extra.append(f"{tag}_probability")
-    return [*stages, VectorAssembler(inputCols=margins, outputCol=f"{name}_raw"), _drop(*extra),
-            LargestPlace(inputCols=[f"{name}_raw"], outputCol=f"{name}_prediction")]
-
-
-def _fit_svm(name, p, train, counts):
-    def make(tag, total_weight):
-        return _name_outputs(LinearSVC(
-            regParam=1.0 / (p["c"] * total_weight), tol=p["tol"], maxIter=p["max_iter"],
-            standardization=False, weightCol="weight"), tag, probability=False)
-    if len(counts) == 2:
-        return [make(name, sum(counts.values())).fit(weighted(train, counts))]
-    return _one_vs_rest(name, make, train, counts, own_weight_for_all=False)
-
-
-def _drop(*columns):
-    return SQLTransformer(statement="SELECT * EXCEPT (" + ", ".join(f"`{c}`" for c in columns) + ") FROM __THIS__")
-
-
-def _smoothed(df: DataFrame, label: int, margin: str, hits: int, misses: int) -> DataFrame:
-    """Platt targets as weighted pairs of rows: 1 with weight t and 0 with weight 1 - t."""
-    t = F.when(F.col("label") == label, F.lit((hits + 1.0) / (hits + 2.0))).otherwise(F.lit(1.0 / (misses + 2.0)))
-    return df.select(margin, F.explode(F.array(F.struct(F.lit(1.0).alias("y"), t.alias("w")),
-                                               F.struct(F.lit(0.0).alias("y"), (1 - t).alias("w")))).alias("s")
-                     ).select(margin, "s.y", "s.w")
-
-
-def _fit_calibrated(name, train, p, classes):
-    """Per fold an SVM on the other folds and a calibration of its margins on the fold itself;
-    the calibrated probabilities of all folds are averaged."""
-    folded = stratified_folds(train, p["folds"], "label", shuffled=False, name="_cal")
-    stages, means, extra = [], [], []
-    for f in range(p["folds"]):
-        rest = folded.where(F.col("_cal") != f)
-        counts = class_rows(rest)
-        tag = f"{name}_{f}"
-        svm = _fit_svm(tag, p, rest, counts)
-        held = PipelineModel(svm).transform(folded.where(F.col("_cal") == f))
-        held_rows = class_rows(held)
-        targets = [1] if classes == 2 else list(range(classes))
-        stages += svm
-        chances = []
-        for c in targets:
-            margin, column = f"{tag}_margin{c}", f"{tag}_chance{c}"
-            slicer = VectorSlicer(inputCol=f"{tag}_raw", outputCol=margin, indices=[c])
-            hits = held_rows.get(c, 0)
-            seen = slicer.transform(held)
-            if p["method"] == "isotonic":
-                model = IsotonicRegression(featuresCol=margin, labelCol="_hit", predictionCol=column).fit(
-                    seen.withColumn("_hit", (F.col("label") == c).cast("double")))
-            else:
-                model = LogisticRegression(
-                    featuresCol=margin, labelCol="y", weightCol="w", probabilityCol=column,
-                    rawPredictionCol=f"{column}_raw", predictionCol=f"{column}_hard", maxIter=100).fit(
-                    _smoothed(seen, c, margin, hits, sum(held_rows.values()) - hits))
-                extra += [f"{column}_raw", f"{column}_hard"]
-            stages += [slicer, model]
-            chances.append(column)
-            extra += [margin, column]
-        stages.append(MergeProbabilities(inputCols=chances, outputCol=f"{tag}_probability",
-                                         how="number" if p["method"] == "isotonic" else "second"))
-        means.append(f"{tag}_probability")
-        extra += [f"{tag}_raw", f"{tag}_prediction", f"{tag}_probability"]
-    stages.append(MergeProbabilities(inputCols=means, outputCol=f"{name}_probability", how="mean"))
-    return [*stages, _drop(*extra)]
+class ArrayModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted learner as arrays. Adds `<name>_probability` (the margins `<name>_raw` for a linear SVM) and
+    `<name>_prediction`, the place of the largest value. Rows are scored in Arrow batches."""
+
+    learner = Param(Params._dummy(), "learner", "what the arrays are a model of", TypeConverters.toString)
+    arrays = Param(Params._dummy(), "arrays", "the model, as the text of a compressed archive of arrays", TypeConverters.toString)
+    maxDepth = Param(Params._dummy(), "maxDepth", "levels that a tree was allowed", TypeConverters.toInt)
+    fitRows = Param(Params._dummy(), "fitRows", "rows that the fit read", TypeConverters.toInt)
+
+    @classmethod
+    def of(cls, learner: str, model: dict, depth: int = 0, rows: int = 0) -> "ArrayModel":
+        out, room = cls(), io.BytesIO()
+        np.savez_compressed(room, **model)
+        out._set(learner=learner, arrays=base64.b64encode(room.getvalue()).decode(), maxDepth=depth, fitRows=rows)
+        return out
+
+    def model(self) -> dict:
+        with np.load(io.BytesIO(base64.b64decode(self.getOrDefault(self.arrays)))) as held:
+            return {k: held[k] for k in held.files}
+
+    @property
+    def numNodes(self) -> int:
+        return len(self.model()["feature"])
+
+    @property
+    def depth(self) -> int:
+        """Levels below the root of the first tree."""
+        m, level = self.model(), 0
+        at = [0]
+        while at := [int(c) for n in at if m["feature"][n] >= 0 for c in (m["left"][n], m["right"][n])]:
+            level += 1
+        return level
+
+    @property
+    def coefficients(self) -> np.ndarray:
+        """Binary problems x features of a linear SVM."""
+        return self.model()["w"][:, :-1]
+
+    def _transform(self, df):
+        name = self.getOrDefault(self.learner)
+        shared = df.sparkSession.sparkContext.broadcast(self.model())
+
+        def score(features: pa.Array) -> pa.Array:
+            n = len(features)
+            x = features.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+            out = score_rows(name, shared.value, x) if n else np.zeros((0, 1))
+            offsets = np.arange(n + 1, dtype=np.int32) * out.shape[1]
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel(), pa.float64()))
+        column = f"{name}_raw" if name == "linearsvc" else f"{name}_probability"
+        values = F.arrow_udf(score, "array<double>")(vector_to_array("features"))
+        scored = df.withColumn(column, array_to_vector(values))
+        return LargestPlace(inputCols=[column], outputCol=f"{name}_prediction").transform(scored)
+
+
+def score_rows(name: str, model: dict, x: np.ndarray) -> np.ndarray:
+    """Probabilities of the rows, or margins of a linear SVM."""
+    if name == "linearsvc":
+        m = fits.margins(model["w"], x)
+        return np.hstack([-m, m]) if m.shape[1] == 1 else m
+    if name == "linearsvcCalibrated":
+        return fits.calibrated_chances(model, x)
+    if name == "mlp":
+        return solvers.forward([(model[f"w{i}"], model[f"b{i}"]) for i in range(int(model["layers"]))], x)[1]
+    if name == "hgb":
+        raw = np.zeros((len(x), int(model["columns"])))
+        for t, value in enumerate(fits.leaf_values(model, x)):
+            raw[:, t % raw.shape[1]] += value
+        return fits.chances(raw)
+    return sum(fits.leaf_values(model, x)) / (len(model["begin"]) - 1)
+
+
+def fit_learners(train: DataFrame, wanted, classes: int, settings: Settings, n_jobs: int | None = None) -> list[PipelineModel]:
+    """Fits all `wanted` (name, parameters, fold to leave out) on one stored sample, together."""
+    if settings.fit_rows:
+        train = bounded_sample(train, settings.fit_rows, "label", "row_id", settings.seed)
+    rows = train.count()
+    models = fits.fit_all(train, [fits.Fit(n, p, f) for n, p, f in wanted], classes, settings.seed,
+                          lambda df: cut_lineage(df, "fit"), settings.local_rows, jobs_setting(n_jobs))
+    out = []
+    for (name, p, _), model in zip(wanted, models):
+        if name == "hgb":
+            model = model | {"columns": np.array(1 if classes == 2 else classes)}
+        out.append(PipelineModel([ArrayModel.of(name, model, p.get("depth", 0), rows)]))
+    return out
 
 
 def fit_learner(name: str, train: DataFrame, classes: int, settings: Settings = Settings()) -> PipelineModel:
     """Fits one of LEARNERS, on at most `settings.fit_rows` rows."""
-    p = settings.of(name)
-    if settings.fit_rows:
-        # few rows in few partitions: iterative fits run a job per step
-        train = bounded_sample(train, settings.fit_rows, "label", "row_id", settings.seed).repartition(
-            -(-settings.fit_rows // ROWS_PER_TASK), "row_id")
-    if name == "linearsvcCalibrated":
-        return PipelineModel(_fit_calibrated(name, train, p, classes))
-    counts = class_rows(train)
-    rows, seed = sum(counts.values()), settings.seed
-    if name == "linearsvc":
-        return PipelineModel(_fit_svm(name, p, train, counts))
-    if name in ("rf", "et"):
-        learner = RandomForestClassifier(
-            numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"], bootstrap=name == "rf", maxBins=BINS,
-            featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)
-    elif name == "dt":
-        learner = DecisionTreeClassifier(
-            impurity="entropy", maxDepth=p["depth"], minInstancesPerNode=p["leaf"], minInfoGain=p["gain"],
-            maxBins=BINS, weightCol="weight", seed=seed)
-    elif name == "mlp":
-        width = len(train.select("features").first()["features"])
-        learner = MultilayerPerceptronClassifier(
-            layers=[width, *p["hidden"], classes], blockSize=p["block"], maxIter=p["max_iter"], seed=seed)
-    elif name == "hgb":
-        def make(tag, _):
-            return _name_outputs(GBTClassifier(
-                maxIter=p["rounds"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
-                maxBins=BINS, stepSize=p["rate"], weightCol="weight", seed=seed), tag)
-        if classes > 2:
-            return PipelineModel([
-                *_one_vs_rest(name, make, train, counts, own_weight_for_all=True),
-                MergeProbabilities(inputCols=[f"{name}_raw"], outputCol=f"{name}_probability", how="sigmoid")])
-        learner = make(name, rows)
-    else:
+    if name not in LEARNERS:
         raise ValueError(f"unknown learner: {name}")
-    return PipelineModel([_name_outputs(learner, name).fit(weighted(train, counts))])
+    return fit_learners(train.drop("fold"), [(name, settings.of(name), None)], classes, settings)[0]
 
 
 def profile_learners(profile: str = "edge", names=None) -> list[str]:
@@ -306,41 +223,46 @@ def jobs_setting(n_jobs: int | None = None) -> int:
     return max(1, int(n_jobs or os.getenv("STACKING_N_JOBS", "").strip() or min(2, os.cpu_count() or 1)))
 
 
-def out_of_fold(train: DataFrame, names, classes: int, folds: int = 5, settings: Settings = Settings(),
-                passthrough: bool = False, n_jobs: int | None = None) -> DataFrame:
-    """(row_id, label, fold, meta_features): every row scored by learners that have not seen it.
-    The parts of the folds are put under one another, so nothing is joined."""
-    folded = cut_lineage(stratified_folds(train, folds, "label", seed=settings.seed), "folds")
+def _fold_models(folded: DataFrame, names, classes: int, folds: int, settings: Settings, whole: bool, n_jobs: int | None) -> dict:
+    """(name, fold) -> the model that has not seen the fold; with `whole`, also (name, None)."""
+    wanted = [(n, settings.of(n), f) for f in [*range(folds), *([None] if whole else [])] for n in names]
+    return {(n, f): m for (n, _, f), m in zip(wanted, fit_learners(folded, wanted, classes, settings, n_jobs))}
+
+
+def _score_folds(folded: DataFrame, fitted: dict, names, classes: int, folds: int, passthrough: bool) -> DataFrame:
     gather = _meta_assembler(names, classes, passthrough)
-    tasks = [(f, n) for f in range(folds) for n in names]
-    with ThreadPoolExecutor(jobs_setting(n_jobs)) as pool:
-        fitted = dict(zip(tasks, pool.map(
-            lambda t: fit_learner(t[1], folded.where(F.col("fold") != t[0]), classes, settings), tasks)))
     parts = None
     for f in range(folds):
-        scorer = PipelineModel([fitted[f, n] for n in names] + gather)
+        scorer = PipelineModel([fitted[n, f] for n in names] + gather)
         part = scorer.transform(folded.where(F.col("fold") == f)).select("row_id", "label", "fold", "meta_features")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+def out_of_fold(train: DataFrame, names, classes: int, folds: int = 5, settings: Settings = Settings(),
+                passthrough: bool = False, n_jobs: int | None = None) -> DataFrame:
+    """(row_id, label, fold, meta_features): every row scored by learners that have not seen it.
+    The parts of the folds are put under one another, so nothing is joined."""
+    folded = cut_lineage(stratified_folds(train, folds, "label", seed=settings.seed), "folds")
+    return _score_folds(folded, _fold_models(folded, names, classes, folds, settings, False, n_jobs), names, classes, folds, passthrough)
+
+
 def fit_stacking(train: DataFrame, classes: int, profile: str = "edge", names=None, cv_splits: int = 5,
-                 passthrough: bool = False, n_jobs: int | None = None,
-                 settings: Settings = Settings()) -> PipelineModel:
-    """Base learners refitted on all rows, then a logistic regression on their probabilities that
-    was fitted on out-of-fold ones. Adds `stacking_probability` and `stacking_prediction`."""
+                 passthrough: bool = False, n_jobs: int | None = None, settings: Settings = Settings()) -> PipelineModel:
+    """Base learners on all rows, then a logistic regression on their probabilities that was fitted on
+    out-of-fold ones. All folds' learners and those on all rows are fitted together, on one stored sample.
+    Adds `stacking_probability` and `stacking_prediction`."""
     names = profile_learners(profile, names)
-    train = cut_lineage(train.select("row_id", "label", "features"), "train")
-    oof = cut_lineage(out_of_fold(train, names, classes, cv_splits, settings, passthrough, n_jobs), "oof")
-    with ThreadPoolExecutor(jobs_setting(n_jobs)) as pool:
-        base = list(pool.map(lambda n: fit_learner(n, train, classes, settings), names))
+    folded = cut_lineage(stratified_folds(train.select("row_id", "label", "features"), cv_splits, "label", seed=settings.seed), "folds")
+    fitted = _fold_models(folded, names, classes, cv_splits, settings, True, n_jobs)
+    oof = cut_lineage(_score_folds(folded, fitted, names, classes, cv_splits, passthrough), "oof")
     p = settings.of("meta")
     counts = class_rows(oof)
     meta = LogisticRegression(
         featuresCol="meta_features", regParam=1.0 / (p["c"] * sum(counts.values())), standardization=False,
         maxIter=p["max_iter"], weightCol="weight", probabilityCol="stacking_probability",
         predictionCol="stacking_prediction", rawPredictionCol="stacking_raw").fit(weighted(oof, counts))
-    return PipelineModel([*base, *_meta_assembler(names, classes, passthrough), meta])
+    return PipelineModel([*[fitted[n, None] for n in names], *_meta_assembler(names, classes, passthrough), meta])
 
 
 def stacking_weights(model: PipelineModel, names, classes: int) -> list[tuple]:
@@ -358,9 +280,7 @@ def stacking_weights(model: PipelineModel, names, classes: int) -> list[tuple]:
 
 def svm_coefficients(model: PipelineModel, names) -> list[tuple]:
     """(class, feature, coefficient) of a fitted linear SVM."""
-    models = [s for s in model.stages if hasattr(s, "coefficients")]
-    return [(c, feature, float(w)) for c, m in enumerate(models)
-            for feature, w in zip(names, m.coefficients.toArray())]
+    return [(c, feature, float(w)) for c, row in enumerate(model.stages[0].coefficients) for feature, w in zip(names, row)]
 
 
 def save(model: PipelineModel, folder: str, name: str, mode: str) -> str:
@@ -408,25 +328,16 @@ def f1_of(scored: DataFrame, prediction: str, classes: int) -> float:
     return ev.metrics(rows, "binary" if classes == 2 else "macro").first()["f1"]
 
 
-def tree_complexity(model: PipelineModel, train_rows: int) -> dict:
-    """Configured and real depth, leaves and training rows per leaf of a fitted tree."""
+def tree_complexity(model: PipelineModel, train_rows: int | None = None) -> dict:
+    """Configured and real depth, leaves and training rows per leaf of a fitted tree; the rows are those
+    that the fit read, unless given."""
     tree = model.stages[0]
     leaves = (tree.numNodes + 1) // 2
-    per_leaf = train_rows / max(1, leaves)
+    per_leaf = (tree.getOrDefault("fitRows") if train_rows is None else train_rows) / max(1, leaves)
     return {"max_depth": tree.getOrDefault("maxDepth"), "depth": tree.depth, "leaves": leaves,
             "rows_per_leaf": per_leaf, "few_rows": per_leaf < ev.FEW_ROWS_PER_LEAF}
 
 
-def fold_scores(folded: DataFrame, folds: int, classes: int, name: str = "dt",
-                settings: Settings = Settings(), train_of=None) -> list[tuple]:
-    """(fold, train score, validation score) of a learner; `train_of` may thin a training part."""
-    def score(f):
-        train = folded.where(F.col("fold") != f)
-        train = train_of(train) if train_of else train
-        return (f, *_scores(train, folded.where(F.col("fold") == f), classes, name, settings))
-    return _together(score, range(folds))
-
-
 def _scores(train: DataFrame, held: DataFrame, classes: int, name: str, settings: Settings) -> list[float]:
     model = fit_learner(name, train, classes, settings)
     return [f1_of(model.transform(part), f"{name}_prediction", classes) for part in (train, held)]
@@ -438,20 +349,33 @@ def _together(work, tasks) -> list:
         return list(pool.map(work, tasks))
 
 
+def _fold_scores(folded: DataFrame, wanted, classes: int, settings: Settings) -> list[tuple[float, float]]:
+    """(train, validation) score of each (parameters, fold) of the tree: all fits together on one sample, then
+    all scores in one pass."""
+    models = fit_learners(folded, [("dt", p, f) for p, f in wanted], classes, settings)
+    parts = None
+    for i, ((_, f), model) in enumerate(zip(wanted, models)):
+        side = F.when(F.col("fold") == f, F.lit("held")).otherwise(F.lit("train"))
+        part = model.transform(folded).select(F.concat(F.lit(f"{i} "), side).alias("model"), F.col("label").cast("int").alias("y_true"),
+                                              F.col("dt_prediction").cast("int").alias("y_pred"))
+        parts = part if parts is None else parts.unionByName(part)
+    counted = {r.model: r.f1 for r in ev.metrics(parts, "binary" if classes == 2 else "macro").collect()}
+    return [(counted.get(f"{i} train", 0.0), counted.get(f"{i} held", 0.0)) for i in range(len(wanted))]
+
+
 def cv_scores(train: DataFrame, classes: int, folds: int = 5, settings: Settings = Settings()) -> list[tuple]:
     """(fold, score) over shuffled stratified folds."""
     folded = cut_lineage(stratified_folds(train, folds, "label", seed=settings.seed), "cv")
-    return [(f, s) for f, _, s in fold_scores(folded, folds, classes, "dt", settings)]
+    return [(f, held) for f, (_, held) in enumerate(_fold_scores(folded, [(settings.of("dt"), f) for f in range(folds)], classes, settings))]
 
 
 def validation_curve(train: DataFrame, classes: int, depths=(2, 4, 6, 8, 10, 12, 15, 18, 22), folds: int = 3,
                      settings: Settings = Settings()) -> list[tuple]:
     """(depth, fold, train score, validation score)."""
     folded = cut_lineage(stratified_folds(train, folds, "label", shuffled=False), "curve")
-    def score(task):
-        d, f = task
-        return (d, f, *_scores(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), classes, "dt", settings.but("dt", depth=d)))
-    return _together(score, [(d, f) for d in depths for f in range(folds)])
+    points = [(d, f) for d in depths for f in range(folds)]
+    scores = _fold_scores(folded, [(settings.but("dt", depth=d).of("dt"), f) for d, f in points], classes, settings)
+    return [(*point, *score) for point, score in zip(points, scores)]
 
 
 def learning_curve(train: DataFrame, classes: int, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 3,

@@ -168,7 +168,7 @@ def diagnose_tree(data: Prepared, k_best: int = 60, cv_folds: int = 5, curves: b
     scores = learners.cv_scores(train, data.k, cv_folds, settings)
     out = {
         "gap": ev.overfit_gap(ev.metrics(scored(train), average), ev.metrics(scored(test), average)),
-        "complexity": learners.tree_complexity(tree, train.count()),
+        "complexity": learners.tree_complexity(tree),
         "folds": scores,
         "fold_summary": ev.fold_summary(train.sparkSession.createDataFrame(
             [("dt", f, s) for f, s in scores], "model string, fold int, score double")),

@@ -405,5 +405,6 @@ def recent_logs(spark, sf_dir):
                               F.col("event_type").alias("event"), "value"))
     line = F.when(F.col("event_id") % 10 == 7, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(body)
     ordered = tables.table(spark, sf_dir, "events").select("event_id", line.alias("value"))
-    ordered.repartitionByRange(2, F.floor(F.col("event_id") / 10)).sortWithinPartitions("event_id").select("value").write.text(path)
+    files = max(2, ordered.count() // 100_000)
+    ordered.repartitionByRange(files, F.floor(F.col("event_id") / 10)).sortWithinPartitions("event_id").select("value").write.text(path)
     return auditlog.recent(spark, path, "epoch bigint, seq bigint, event string, value double", 25)

@@ -2,16 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from wirelark.operators import alerts
+from wirelark.operators import alerts, detect
 from wirelark.operators import flows as fl
 from wirelark.plans import packet_sql as sql
 from wirelark.plans.catalog import ORACLES, query
 from wirelark.plans.flow_queries import MARKS, MARKS_SQL, SYN_MARKS, SYN_SQL, clean_packets, feature_columns
-from wirelark.plans.decision_queries import COOLDOWN_US
+from wirelark.plans.decision_queries import COOLDOWN_US, throttle_sql
+from wirelark.plans.model_queries import ATTACK_CLASSES, VERDICT_SQL, two_stages
 from wirelark.sources import tables
-from wirelark.sources.scratch import shared_folder
+from wirelark.sources.scratch import cut_lineage, shared_folder
 from wirelark.streaming import processors as pr
-from wirelark.streaming import sinks
+from wirelark.streaming import sinks, watch
 
 
 def _through_stream(spark, rows, key_column, key, purpose, build):
@@ -91,26 +92,82 @@ def stream_final_flush(spark, sf_dir):
     return still.select(*fl.FLOW, "last_us", F.col("len_n").alias("total_packets"))
 
 
+def _ending(packets, last):
+    """The sentinel packet of a packet stream."""
+    return pr.sentinel(packets, "src_ip", "end", last).withColumns({
+        "dst_ip": F.lit("end"), "src_port": F.lit(0), "dst_port": F.lit(0), "proto": F.lit("17"), "payload_len": F.lit(0),
+        "header_len": F.lit(8), "tcp_window": F.lit(0), "pkt_len": F.lit(28)})
+
+
+def _in_parts(spark, parts, folder, run):
+    """Puts one part after the other into a folder, and after each takes in what is new, on one checkpoint."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        run(pr.with_event_time(pr.read_packets(spark, f"{folder}/in", part.schema)))
+
+
+def _thirds(packets, last):
+    """Three parts in time, the last one with the sentinel."""
+    third, t = last // 3, F.col("ts_us")
+    return [packets.where(t <= third), packets.where((t > third) & (t <= 2 * third)), packets.where(t > 2 * third).unionByName(_ending(packets, last))]
+
+
 @query("stream_late_rows", sql.live_flows() + " SELECT flow_key, start_us, start_seq, len_n AS total_packets FROM flow")
 def stream_late_rows(spark, sf_dir):
     """Copies of old packets that arrive two batches late, after the watermark has passed them, change no flow."""
     packets = clean_packets(spark, sf_dir)
     last = packets.agg(F.max("ts_us")).first()[0]
-    third, folder, t = last // 3, shared_folder(spark, "late"), F.col("ts_us")
-    late = packets.where(t < third - 60_000_000).withColumn("seq", F.col("seq") + 10**12)
-    for part in (packets.where(t <= third), packets.where((t > third) & (t <= 2 * third)), packets.where(t > 2 * third).unionByName(late)):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stored = spark.read.parquet(f"{folder}/in")
-    end = pr.sentinel(stored, "src_ip", "end", last).withColumns({
-        "dst_ip": F.lit("end"), "src_port": F.lit(0), "dst_port": F.lit(0), "proto": F.lit("17"), "payload_len": F.lit(0),
-        "header_len": F.lit(8), "tcp_window": F.lit(0), "pkt_len": F.lit(28)})
-    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = pr.with_event_time(pr.read_packets(spark, f"{folder}/in", stored.schema, maxFilesPerTrigger=1))
-    sinks.run_to_table(pr.stream_flows(stream), f"{folder}/out", f"{folder}/checkpoint")
+    late = packets.where(F.col("ts_us") < last // 3 - 60_000_000).withColumn("seq", F.col("seq") + 10**12)
+    first, second, rest = _thirds(packets, last)
+    folder = shared_folder(spark, "late")
+    _in_parts(spark, [first, second, rest.unionByName(late)], folder,
+              lambda s: sinks.run_to_table(pr.stream_flows(s), f"{folder}/out", f"{folder}/checkpoint"))
     out = spark.read.parquet(f"{folder}/out").where("src_ip <> 'end'")
     return out.select(*fl.FLOW, F.col("len_n").alias("total_packets"))
 
 
+_WATCHED = sql.live_flows(MARKS_SQL) + f""", judged AS (SELECT *, {VERDICT_SQL}, CASE WHEN fin + rst > 0 OR is_conn_flood OR is_port_scan THEN last_us + 1
+    ELSE least(last_us + {fl.LIVE.inactivity}, start_us + {fl.LIVE.active}) END AS ts_us, start_seq AS seq FROM flow),
+  ev AS (SELECT *, src_ip || '_' || attack_type AS alert_key FROM judged WHERE is_attack), """ + throttle_sql(COOLDOWN_US)
+
+
+def _watch(spark, sf_dir):
+    """The folder to which packets, in three runs on one checkpoint, were watched with two trained models."""
+    packets = clean_packets(spark, sf_dir)
+    first, second = two_stages(cut_lineage(fl.build_flows(packets, marks=MARKS), "flows"))
+    folder = shared_folder(spark, "watch")
+    to = watch.Outputs(f"{folder}/out", COOLDOWN_US, max_bytes=65_536)
+
+    def run(stream):
+        flows = pr.stream_flows(pr.mark_stream(stream, **MARKS))
+        decided = detect.score_flows(flows, first, "dt", ["0", "1"], "cascade", second=second, second_name="rf", second_classes=ATTACK_CLASSES)
+        watch.watch(decided, to, f"{folder}/checkpoint", once=True).awaitTermination()
+    last = packets.agg(F.max("ts_us")).first()[0]
+    _in_parts(spark, _thirds(packets, last), folder, run)
+    return to.path
+
+
+@query("stream_alerts", _WATCHED + " SELECT seq, alert_key, attack_type, ts_us, suppressed_count FROM throttled WHERE sent")
+def stream_alerts(spark, sf_dir):
+    """From packets to throttled alerts in one query, across batches and restarts."""
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{_watch(spark, sf_dir)}/alerts").select(
+        "seq", "alert_key", "attack_type", "ts_us", "suppressed_count")
+
+
+@query("stream_totals", _WATCHED + """ SELECT attack_type, count(*) AS n_rows, count(*) FILTER (is_attack) AS attacks,
+  count(*) FILTER (is_attack AND sent) AS alerts_sent, count(*) FILTER (is_attack AND NOT sent) AS alerts_suppressed
+  FROM judged LEFT JOIN (SELECT seq, sent FROM throttled) USING (seq) GROUP BY 1""")
+def stream_totals(spark, sf_dir):
+    """The durable totals of the same query."""
+    return watch.state(spark, _watch(spark, sf_dir), "totals").withColumnRenamed("rows", "n_rows")
+
+
+@query("stream_log_segments")
+def stream_log_segments(spark, sf_dir):
+    """The segments that the same query's log has kept."""
+    return watch.state(spark, _watch(spark, sf_dir), "segments")
+
+
 def _detections(spark, sf_dir, folder):
     """Events as detections, stored so that a stream can read them."""
     kind = F.col("event_type")
@@ -131,6 +188,18 @@ def stream_status(spark, sf_dir):
     return spark.createDataFrame([(seen["rows"], seen["attacks"])], "n_rows long, attacks long")
 
 
+@query("stream_type_totals", "SELECT event_type AS attack_type, count(*) AS n_rows, count(*) FILTER (event_type IN ('error', 'purchase')) AS attacks FROM events GROUP BY 1")
+def stream_type_totals(spark, sf_dir):
+    """Totals by type from the stateful aggregate, over as many batches as there are files and a restart."""
+    folder = shared_folder(spark, "totals")
+    rows = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("attack_type"), F.col("event_type").isin("error", "purchase").alias("is_attack"), "event_id")
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).drop("event_id").repartition(4).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("attack_type string, is_attack boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        sinks.keep_totals(stream, folder, f"{folder}/checkpoint", once=True).awaitTermination()
+    return sinks.totals_of(spark, folder).withColumnRenamed("rows", "n_rows")
+
+
 @query("stream_log_sink", "SELECT event_type AS attack_type, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1")
 def stream_log_sink(spark, sf_dir):
     """Attacks written by foreachBatch as JSON lines and read back."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from wirelark.operators import auditlog
+from wirelark.streaming import ledger
 
 log = logging.getLogger("wirelark.streaming")
 
@@ -41,6 +42,29 @@ def log_batches(path: str, wanted: str = "", log_all: bool = False, interface: s
     return write
 
 
+TOTALS = "attack_type string, rows long, attacks long"
+
+
+def keep_totals(detections: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Starts a query that keeps rows and attacks by attack type: a stateful aggregate whose changed groups
+    replace those of the batch before in a small table. Restarts go on from the checkpoint, and a batch that
+    is run again changes nothing. `totals_of` reads the table."""
+    attacks = F.count_if("is_attack") if "is_attack" in detections.columns else F.lit(0).cast("long")
+    totals = detections.groupBy("attack_type").agg(F.count(F.lit(1)).alias("rows"), attacks.alias("attacks"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = ledger.read(batch.sparkSession, path, "totals", TOTALS, batch_id)
+        unchanged = before.join(F.broadcast(batch.select(F.col("attack_type").alias("_t"))), F.col("attack_type").eqNullSafe(F.col("_t")), "left_anti")
+        ledger.keep(unchanged.unionByName(batch).coalesce(1), path, "totals", batch_id)
+    writer = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def totals_of(spark: SparkSession, path: str) -> DataFrame:
+    """(attack_type, rows, attacks) so far."""
+    return ledger.read(spark, path, "totals", TOTALS)
+
+
 def with_status(stream: DataFrame, name: str = "status") -> DataFrame:
     """Counts rows and attacks as they pass."""
     attacks = F.count_if("is_attack") if "is_attack" in stream.columns else F.lit(0)
@@ -48,7 +72,7 @@ def with_status(stream: DataFrame, name: str = "status") -> DataFrame:
 
 
 def status_of(query, name: str = "status") -> dict[str, int]:
-    """Totals of `with_status` over the micro-batches that a query remembers."""
+    """Sums of `with_status` over the latest micro-batches, those that a query remembers; `keep_totals` forgets none."""
     seen = [p.observedMetrics.get(name) for p in query.recentProgress]
     return {k: sum(s[k] for s in seen if s is not None) for k in ("rows", "attacks")}
 
