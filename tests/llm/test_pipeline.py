@@ -53,4 +53,4 @@ def test_odd_rows(spark, odd, empty):
 def test_queries_are_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))

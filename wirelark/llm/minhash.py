@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from wirelark.llm import nearcopies, texts
+from wirelark.llm import shingles, texts
 from wirelark.llm.shared import Scratch
 from wirelark.llm.simhash import forest
 from wirelark.operators.bounded import small_side
@@ -85,12 +85,12 @@ def _marked(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> Data
     def run(batches):
         for batch in batches:
             for rows, data, offsets in texts.blocks(batch, text):
-                hashes, first = nearcopies.shingles_of(data, offsets)
+                hashes, first = shingles.shingles_of(data, offsets)
                 n = np.diff(first)
                 found = buckets(minima(hashes, first, settings), settings)
                 cuts = np.concatenate([[0], np.cumsum(np.where(n > 0, settings.bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(doc_id), pa.array(nearcopies.keys_of(hashes, first).view(np.int64)), pa.array(n.astype(np.int64)),
+                    [rows.column(doc_id), pa.array(shingles.keys_of(hashes, first).view(np.int64)), pa.array(n.astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.ravel().view(np.int64)))], [doc_id, "key", "n", "bands"])
     return docs.select(*dict.fromkeys([doc_id, text])).mapInArrow(run, schema)
 
@@ -102,11 +102,11 @@ def _sets(whole: DataFrame, text: str, settings: Settings) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, data, offsets in texts.blocks(batch, text):
-                hashes, first = nearcopies.shingles_of(data, offsets)
+                hashes, first = shingles.shingles_of(data, offsets)
                 some = np.flatnonzero(np.diff(first))
                 low = minima(hashes, first, settings).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nearcopies.keys_of(hashes, first)[some].view(np.int64)), pa.array([s.tobytes() for s in low], pa.binary()),
+                    [pa.array(shingles.keys_of(hashes, first)[some].view(np.int64)), pa.array([s.tobytes() for s in low], pa.binary()),
                      pa.array([hashes[first[i]:first[i + 1]].tobytes() for i in some], pa.binary())], ["key", "signature", "shingles"])
     return whole.select(text).mapInArrow(run, schema)
 
@@ -238,12 +238,17 @@ def rest_links(members: DataFrame, sets: DataFrame, settings: Settings) -> DataF
             .applyInArrow(lambda t: tile_links(t, settings), "a long, b long").distinct())
 
 
-def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, settings: Settings, scratch: Scratch) -> DataFrame:
-    """(node, root) of all set keys that are linked to another; `classes` has key, n, bands and first_id."""
+def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, settings: Settings, scratch: Scratch,
+          more: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all set keys that are linked to another; `classes` has key, n, bands and first_id.
+    `more` are candidates (a, b) from elsewhere, as many as there are sets at most, about."""
     spread = classes.select("key", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     members = scratch.table("members-0", spread.join(shared, "bucket", "left_semi").withColumn("root", F.col("key")))
-    needed = members.select("key").distinct()
+    needed = members.select("key")
+    if more is not None:
+        needed = needed.unionByName(more.select(F.explode(F.array("a", "b")).alias("key")))
+    needed = needed.distinct()
     ids = classes.join(needed, "key").select(F.col("first_id").alias("_id")).distinct()
     whole = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
     sets = scratch.table("sets", _sets(whole, "text", settings).join(needed, "key", "left_semi").dropDuplicates(["key"]))
@@ -255,6 +260,8 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, settings:
             centres = centres.select("bucket", F.col("_c.key").alias("a"), F.col("_c.n").alias("a_n"), F.col("_c.root").alias("a_root"))
             beside = scratch.table(f"beside-{i}", members.join(centres, "bucket").where("key != a"))
             pairs = beside.where((F.col("root") != F.col("a_root")) & comparable("n", "a_n", settings)).select("a", F.col("key").alias("b"))
+            if more is not None and i == 0:
+                pairs = pairs.unionByName(more)
             found = confirmed(pairs.distinct(), sets, settings)
         else:
             beside, found = None, rest_links(members, sets, settings)

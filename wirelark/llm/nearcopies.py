@@ -1,9 +1,11 @@
 """Near copies: texts that share four fifths of their shingles of five words, and the groups they form.
 
-MinHash bands bring pairs together, the shingles themselves decide, so no pair below the similarity
-is linked. 64-bit fingerprints would need a radius of about 16 for that similarity, where the tiles
-of `simhash` leave out next to nothing. Of two texts of similarity s one band agrees with chance
-s ** ROWS; a pair of 0.8 is in no common bucket with chance (1 - 0.8 ** 4) ** 25, 2 in a million.
+Two sources of candidates: SimHash fingerprints of the shingles within `simhash.RADIUS` bits, found by its tiles,
+and MinHash bands for what fingerprints are too coarse to find (a similarity of 0.8 would need a radius of about
+16, where the tiles leave out next to nothing). The shingles themselves decide, so no pair below the similarity is
+linked. Of two texts of similarity s one band agrees with chance s ** ROWS; a pair of 0.8 is in no common bucket
+with chance (1 - 0.8 ** 4) ** 25, 2 in a million. Buckets are compared as in `minhash`, in rows that grow with
+their members and not with the pairs of them.
 """
 
 from __future__ import annotations
@@ -11,51 +13,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from wirelark.llm import simhash, texts
+from wirelark.llm import minhash, simhash, texts
 from wirelark.llm.shared import Scratch
+from wirelark.llm.shingles import CHAIN as _CHAIN, SHINGLE, keys_of, shingles_of
 
-SHINGLE = 5
 SIMILAR = 4, 5                     # Jaccard similarity of a link at least, as a fraction
 BANDS, ROWS = 25, 4
-PART = 128                         # members of a bucket, about, that are compared with as many others at a time
-_CHAIN = np.uint64(0x9E3779B97F4A7C15)
 _DRAW = np.random.default_rng(42)
 _FLIPS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _FACTORS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the distinct shingles of document i, rising, are hashes[first[i]:first[i + 1]].
-    A text of fewer than five words is one shingle, a text without words has none."""
-    low = texts.LOWER[data]
-    starts, ends, first = texts.words(low, offsets, texts.VISIBLE)
-    words = texts.word_hashes(low, starts, ends)
-    n_words = np.diff(first)
-    n = np.where(n_words == 0, 0, np.maximum(1, n_words - SHINGLE + 1))
-    owner = np.repeat(np.arange(len(n)), n)
-    at = np.repeat(first[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    stop, hashes = first[1:][owner], np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
-        inside = at + k < stop
-        hashes = np.where(inside, texts.mix(hashes * _CHAIN + words[np.where(inside, at + k, at)]), hashes)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[fresh], owner[fresh]
-    return hashes, np.searchsorted(owner, np.arange(len(n) + 1))
-
-
-def keys_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A number for each set of shingles; 0 without any."""
-    out, some = np.zeros(len(first) - 1, np.uint64), np.flatnonzero(np.diff(first))
-    if len(some):
-        out[some] = texts.mix(np.add.reduceat(texts.mix(hashes ^ _CHAIN), first[some]) + np.diff(first)[some].astype(np.uint64))
-    return out
-
-
 def bands_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Documents x bands: the buckets of each document that has shingles, in their order."""
     begin = first[:-1][np.diff(first) > 0]
@@ -68,8 +38,9 @@ def bands_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, n, bands) of every row."""
-    schema = StructType([docs.schema[doc_id], StructField("key", LongType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType()))])
+    """(doc_id, key, n, fp, bands) of every row."""
+    schema = StructType([docs.schema[doc_id], StructField("key", LongType()), StructField("n", LongType()), StructField("fp", LongType()),
+                         StructField("bands", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -78,109 +49,37 @@ def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 n = np.diff(first)
                 bands = pa.array(bands_of(hashes, first).ravel().view(np.int64))
                 cuts = pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32))
+                fp = simhash.fingerprints_of(data, offsets, SHINGLE).view(np.int64)
                 yield pa.RecordBatch.from_arrays([rows.column(doc_id), pa.array(keys_of(hashes, first).view(np.int64)), pa.array(n.astype(np.int64)),
-                                                  pa.ListArray.from_arrays(cuts, bands)], [doc_id, "key", "n", "bands"])
+                                                  pa.array(fp), pa.ListArray.from_arrays(cuts, bands)], [doc_id, "key", "n", "fp", "bands"])
     return docs.select(*dict.fromkeys([doc_id, text])).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, text: str) -> DataFrame:
-    """(key, shingles) of every row, the shingles as sorted bytes."""
-    def run(batches):
-        for batch in batches:
-            for _, data, offsets in texts.blocks(batch, text):
-                hashes, first = shingles_of(data, offsets)
-                sets = [hashes[b:e].tobytes() for b, e in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(keys_of(hashes, first).view(np.int64)), pa.array(sets, pa.binary())], ["key", "shingles"])
-    return docs.select(text).mapInArrow(run, StructType([StructField("key", LongType()), StructField("shingles", BinaryType())]))
-
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are similar enough."""
-    over, under = SIMILAR
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(under * common >= over * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    x, y = (sets.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def linked(table: pa.Table) -> pa.Table:
-    """Edges (a, b) that connect whatever the links between the rows (key, shingles) connect."""
-    keys = table.column("key").to_numpy()
-    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    values, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.cumsum(times > 1) - 1                       # of the shingles that several rows have
-    owner, which = owner[times[which] > 1], place[which[times[which] > 1]]
-    order = np.argsort(which, kind="stable")
-    owner, which = owner[order], which[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int((times > 1).sum()), 4096):
-        b, e = np.searchsorted(which, [lo, lo + 4096])
-        has = np.zeros((len(sets), 4096), np.float32)
-        has[owner[b:e], which[b:e] - lo] = 1
-        common += has @ has.T
-    over, under = SIMILAR
-    a, b = np.nonzero(np.triu(under * common >= over * (size[:, None] + size - common), 1))
-    label = simhash.forest(a, b, len(sets))
-    moved = np.flatnonzero(label != np.arange(len(sets)))
-    return pa.table({"a": keys[label[moved]], "b": keys[moved]})
-
-
-def _links_inside(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): edges that connect all similar members (key) of each bucket. A bucket is cut into
-    parts 0 to `last`, and each two parts are one group, so rows grow with members, not with pairs."""
-    parts = F.pmod(F.xxhash64("key"), F.col("last") + 1).cast("int")
-    placed = members.withColumn("part", parts).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    return (placed.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key").join(sets, "key")
-            .groupBy("bucket", "lo", "hi").applyInArrow(linked, "a long, b long").distinct())
-
-
-def _comparable(one: str, other: str):
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(one, other) * SIMILAR[1] >= F.greatest(one, other) * SIMILAR[0]
+def _fingerprint_pairs(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or near, each with the least set of its own or the other fingerprint."""
+    least = scratch.table("least", classes.groupBy("fp").agg(F.min("key").alias("least")))
+    same = minhash.attach(classes.select("key", "fp"), least, "fp").where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    near = simhash.links(least.select("fp"))
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: the smallest id that the row's text reaches by links.
-
-    First all members of a bucket are compared with one of them. Then all others of the bucket are
-    compared in parts, if this left them in different groups; that makes edges, not a row for each pair.
-    Texts without words are one group.
-    """
+    Texts without words are one group."""
     scratch = Scratch(docs.sparkSession, "nearcopies")
+    settings = minhash.Settings(*SIMILAR)
     marked = scratch.table("marked", _marked(docs, doc_id, text))
-    classes = scratch.table("classes", marked.groupBy("key").agg(F.min(doc_id).alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    spread = classes.select("key", "n", F.explode("bands").alias("bucket"))
-    centres = (spread.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("centre"), F.count("*").alias("members")).where("members > 1")
-               .select("bucket", F.col("centre.key").alias("centre"), F.col("centre.n").alias("centre_n"), "members"))
-    members = scratch.table("members", spread.join(centres, "bucket"))
-    needed = members.select("key").distinct()
-    ids = classes.join(needed, "key").select(F.col("first_id").alias("_id")).distinct()
-    whole = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    sets = scratch.table("sets", _sets(whole, "text").join(needed, "key", "left_semi").dropDuplicates(["key"]))
-
-    first = members.where((F.col("key") != F.col("centre")) & _comparable("n", "centre_n")).select(F.col("centre").alias("a"), F.col("key").alias("b"))
-    edges = scratch.table("edges-0", similar(first.distinct(), sets))
-    roots = scratch.table("roots-0", simhash.components(edges))
-    others = (members.where((F.col("members") > 2) & (F.col("key") != F.col("centre")))
-              .join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root")))
-    mixed = (others.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-             .select("bucket", (F.col("size") / PART).cast("int").alias("last")))
-    open_ = scratch.table("open", others.join(mixed, "bucket").select("bucket", "key", "last"))
-    more = scratch.table("edges-1", _links_inside(open_, sets))
-    roots = scratch.table("roots-1", simhash.components(edges.unionByName(more)))
-    scored = (classes.join(roots, F.col("key") == F.col("node"), "left")
-              .select("key", "first_id", F.coalesce("root", "key").alias("root")))
-    names = scored.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select(doc_id, "key").join(scored.join(names, "root").select("key", "component_id"), "key").drop("key")
+    classes = scratch.table("classes", marked.groupBy("key").agg(
+        F.min(doc_id).alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    some = classes.where("n > 0")
+    pairs = scratch.table("pairs", _fingerprint_pairs(some, scratch))
+    roots = minhash.links(some, docs, doc_id, text, settings, scratch, pairs)
+    named = minhash.attach(classes.select("key", "first_id"), roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "first_id", F.coalesce("root", "key").alias("root"))
+    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_key = minhash.attach(named.select("key", "root"), names, "root").select("key", "component_id")
+    return minhash.attach(marked.select(doc_id, "key"), of_key, "key").select(doc_id, "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -186,7 +186,47 @@ def tampered() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
 
 
-@query()
+def _merkle_sql(levels: int = 8) -> str:
+    """Trees of up to 8 ** levels leaves, level by level: a node of a finished tree is handed on as it is."""
+    def field(c):
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text):
+        return f"sha256({field('doc_id')} || {field('source')} || {field('lang')} || {field('n_chars')} || {field(text)})"
+
+    def tree(name, source):
+        steps = [f"{name}0 AS ({source})"]
+        for i in range(levels):
+            steps.append(f"""{name}{i + 1} AS (SELECT g, up AS r, ceil(n / 8.0)::BIGINT AS n, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY r)) ELSE any_value(d) END AS d
+              FROM (SELECT *, r // 8 AS up FROM {name}{i}) GROUP BY g, up, n)""")
+            steps.append(f"{name}run{i} AS (SELECT g, r // 8 AS up, list(d ORDER BY r) AS run FROM {name}{i} WHERE n > 1 GROUP BY 1, 2)")
+        return steps
+
+    def climb(name, start, runs, group):
+        steps, before = [], start
+        for i in range(levels):
+            steps.append(f"""{name}{i} AS (SELECT b.* REPLACE (CASE WHEN run IS NULL THEN now ELSE sha256(array_to_string(list_transform(run, lambda x, k: CASE WHEN k - 1 = place % 8 THEN now ELSE x END), '')) END AS now,
+              CASE WHEN run IS NULL THEN proof ELSE proof || array_to_string(list_filter(run, lambda x, k: k - 1 <> place % 8), '') END AS proof,
+              place // 8 AS place) FROM {before} b LEFT JOIN {runs}{i} t ON t.g = b.{group} AND t.up = b.place // 8)""")
+            before = f"{name}{i}"
+        return steps, before
+    low, after_low = climb("low", "start", "treerun", "g")
+    high, after_high = climb("high", "between", "toprun", "top")
+    bits = "list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [256 + ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]))), " \
+           "lambda a, b: CASE WHEN b >= 256 THEN xor(a, b - 256) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)"
+    return f"""WITH d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lower_leaf,
+        xor({bits}, 4294967295) % 3 = 0 AS tampered FROM documents),
+      l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+        count(*) OVER (PARTITION BY lang) AS n FROM d),
+      {", ".join(tree("tree", "SELECT g, r, n, leaf AS d FROM l"))},
+      {", ".join(tree("top", f"SELECT 0 AS g, g AS r, count(*) OVER () AS n, d FROM tree{levels}"))},
+      start AS (SELECT doc_id, leaf, g, 0 AS top, r AS place, CASE WHEN tampered THEN lower_leaf ELSE leaf END AS now, '' AS proof FROM l),
+      {", ".join(low)}, between AS (SELECT * REPLACE (g AS place) FROM {after_low}), {", ".join(high)}
+      SELECT doc_id, leaf, t.d AS subroot, p.d AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = p.d AS verified
+      FROM {after_high} h JOIN tree{levels} t ON t.g = h.g CROSS JOIN top{levels} p"""
+
+
+@query(_merkle_sql())
 def op11_merkle(spark, sf_dir):
     """All documents as leaves, proofs by descent, and every proof checked against a row that may be changed."""
     docs = table(spark, sf_dir, "documents")
@@ -198,7 +238,13 @@ def op11_merkle(spark, sf_dir):
                          folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    edge AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+    reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y)
+    SELECT x AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(y) AS component_id, x = min(y) AS kept FROM reach LEFT JOIN n ON n.doc_id = x GROUP BY x""")
 def op12_minhash(spark, sf_dir):
     found = minhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
