@@ -130,3 +130,14 @@ def test_anova_selects_the_informative_column(spark):
     assert prep.fit_selector(vec, 0).getIndices() == [0, 1, 2]
     by_column = {r.feature: r.f_value for r in prep.anova_f(df, ["a", "b", "c"]).collect()}
     assert prep.vector_anova(vec) == pytest.approx([by_column[c] for c in "abc"])
+
+
+def test_anova_keeps_the_spread_of_large_values(spark):
+    """Values of 1e9 and a bit: the F value is that of the bits."""
+    from pyspark.ml.linalg import Vectors
+    rows = [(i % 3, float((i * 7) % 11 + i % 3)) for i in range(90)]
+    small = prep.anova_f(spark.createDataFrame(rows, "target int, a double"), ["a"]).first().f_value
+    large = spark.createDataFrame([(t, 1e9 + v) for t, v in rows], "target int, a double").repartition(5)
+    assert prep.anova_f(large, ["a"]).first().f_value == pytest.approx(small, rel=1e-6)
+    vectors = spark.createDataFrame([(t, Vectors.dense([1e9 + v])) for t, v in rows], ["target", "features"]).repartition(5)
+    assert prep.vector_anova(vectors) == pytest.approx([small], rel=1e-6)

@@ -205,14 +205,13 @@ def feature_names(df: DataFrame, size: int | None = None, column: str = "feature
 
 
 def _f_statistics(groups) -> list[float]:
-    """F per feature from [(rows, sums, sums of squares)] per class."""
+    """F per feature from [(rows, means, sums of squared distances from the mean)] per class."""
     k, n = len(groups), sum(g[0] for g in groups)
     out = []
     for j in range(len(groups[0][1]) if groups else 0):
-        total = sum(g[1][j] for g in groups)
-        correction = total * total / n
-        between = sum(g[1][j] * g[1][j] / g[0] for g in groups) - correction
-        within = sum(g[2][j] for g in groups) - correction - between
+        middle = sum(g[0] / n * g[1][j] for g in groups)
+        between = sum(g[0] * (g[1][j] - middle) ** 2 for g in groups)
+        within = sum(g[2][j] for g in groups)
         if k < 2 or n <= k or (within <= 0 and between <= 0):
             out.append(float("nan"))
         else:
@@ -221,19 +220,19 @@ def _f_statistics(groups) -> list[float]:
 
 
 def anova_f(df: DataFrame, columns, label: str = "target") -> DataFrame:
-    """F value per column. One aggregate per class over the wide table; only (classes x columns)
-    sums go on from there."""
+    """F value per column. One aggregate per class over the wide table, of counts, means and variances, which
+    are merged around their means, so large, nearly equal values keep their spread; only (classes x columns)
+    of them go on from there."""
     columns = list(columns)
     x = [F.col(f"`{c}`").cast("double") for c in columns]
-    sums = df.groupBy(label).agg(F.count("*").alias("n"), F.array(*[F.sum(c) for c in x]).alias("s"),
-                                 F.array(*[F.sum(c * c) for c in x]).alias("q"))
-    long = sums.select("n", F.posexplode(F.arrays_zip("s", "q")).alias("place", "v")).select(
-        "n", "place", "v.s", "v.q")
-    per = long.groupBy("place").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"),
-                                    F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    correction = F.col("s") * F.col("s") / F.col("n")
-    between, within = F.col("b") - correction, F.col("q") - F.col("b")
-    f = F.when(within > 0, (between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k"))))
+    parts = df.groupBy(label).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in x]).alias("m"),
+                                  F.array(*[F.var_pop(c) for c in x]).alias("v"))
+    long = parts.select("n", F.posexplode(F.arrays_zip("m", "v")).alias("place", "p")).select("n", "place", "p.m", "p.v")
+    middles = long.groupBy("place").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("middle"))
+    away = F.col("m") - F.col("middle")
+    per = long.join(middles, "place").groupBy("place").agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * away * away).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"))
+    f = F.when(F.col("within") > 0, (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k"))))
     names = F.array(*map(F.lit, columns))
     return per.where(F.col("k") > 1).select("place", F.get(names, F.col("place")).alias("feature"),
                                             f.alias("f_value"))
@@ -247,10 +246,10 @@ def top_features(scores: DataFrame, k: int = 40) -> DataFrame:
 
 def vector_anova(df: DataFrame, label: str = "target", features: str = "features") -> list[float]:
     """F value per place of a feature vector."""
-    stats = Summarizer.metrics("count", "sum", "normL2")
+    stats = Summarizer.metrics("count", "mean", "variance")
     rows = df.groupBy(label).agg(stats.summary(F.col(features)).alias("s")).collect()
-    return _f_statistics([(r["s"]["count"], r["s"]["sum"].toArray().tolist(),
-                           (r["s"]["normL2"].toArray() ** 2).tolist()) for r in rows])
+    return _f_statistics([(r["s"]["count"], r["s"]["mean"].toArray().tolist(),
+                           (r["s"]["variance"].toArray() * max(0, r["s"]["count"] - 1)).tolist()) for r in rows])
 
 
 def fit_selector(df: DataFrame, k: int = 40, label: str = "target", features: str = "features",

@@ -33,3 +33,11 @@ def pcap_scan(spark, sf_dir):
     folder = shared_folder(spark, "captures")
     tables.write_captures(tables.with_frames(tables.raw_packets(spark, sf_dir)), folder)
     return _fields(pcap.read_packets(spark, folder, split_bytes=256 * 1024))
+
+
+@query("pcapng_scan", f"WITH {sql.RAW_PACKETS} SELECT {_FIELDS} FROM raw_packets")
+def pcapng_scan(spark, sf_dir):
+    """The same with files of both containers in one folder."""
+    folder = shared_folder(spark, "captures")
+    tables.write_captures(tables.with_frames(tables.raw_packets(spark, sf_dir)), folder, mixed=True)
+    return _fields(pcap.read_packets(spark, folder, split_bytes=256 * 1024))

@@ -10,10 +10,13 @@ frames are then read range by range, so one huge file keeps as many tasks busy a
 A record that reaches past the end of its file is damage: reading stops with an error that names the
 place, or, with on_damage="skip", goes on at the next range that begins with a plausible record.
 `damage` lists such places. Fewer bytes than a record header at the end of a file are ignored.
+
+Files of blocks (pcapng) may lie among the others; see `pcapng` for what their ranges need besides.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 
 import pyarrow as pa
@@ -22,18 +25,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wirelark.functions.net import flags_from_bits
 from wirelark.operators.ordered import rank_within
+from wirelark.sources import pcapng
 from wirelark.sources.scratch import cut_lineage
 
 SPLIT_BYTES = 128 * 1024 * 1024
 MAX_FRAME = 262_144
 CHAIN = 20                       # headers that must follow one another to accept a start
 GLOBAL_HEADER, RECORD_HEADER = 24, 16
+WALKED_BYTES = 64 * 1024         # read at a time by a walk over record headers
 
 # First four bytes of a capture file -> (byte order, fractions per second).
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6),
          b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
 
-_RANGE = "path string, length long, file_no long, range_no long, start long, stop long, damaged long"
+_RANGE = "path string, length long, file_no long, range_no long, start long, stop long, damaged long, known string"
 _FRAME = "seq long, ts_us long, linktype int, frame binary"
 
 
@@ -52,10 +57,15 @@ class Damaged(ValueError):
 
 
 class _File:
+    """A chain of records, or `blocks` where the file is one of those."""
+
     def __init__(self, path: str, length: int):
         source, name = fs.FileSystem.from_uri(arrow_uri(path))
         self.handle, self.length = source.open_input_file(name), length
         head = self.at(0, GLOBAL_HEADER)
+        self.blocks = pcapng.Blocks(self.at, length, Damaged) if head[:4] == pcapng.SECTION_START else None
+        if self.blocks:
+            return
         if head[:4] not in MAGIC:
             raise ValueError(f"not a capture file: {path}")
         self.order, self.fractions = MAGIC[head[:4]]
@@ -83,6 +93,8 @@ class _File:
 
     def guess(self, start: int) -> int | None:
         """First place at or after `start` that looks like a record."""
+        if self.blocks:
+            return self.blocks.guess(start)
         if start <= GLOBAL_HEADER:
             return GLOBAL_HEADER
         window = self.at(start, 4 * MAX_FRAME)
@@ -106,16 +118,29 @@ class _File:
             yield place, seconds, fraction, data[place - base + RECORD_HEADER:end - base]
             place = end
 
-    def walk(self, start: int, stop: int) -> tuple[int, int | None]:
-        """Place of the first record at or past `stop`, from the true start of a record; and where a
-        damaged record ended the walk before, if one did."""
-        place = start
-        try:
-            for place, _, _, frame in self.records(start, stop):
-                place += RECORD_HEADER + len(frame)
-        except Damaged as damaged:
-            return damaged.args[0], damaged.args[0]
-        return place, None
+    def walk(self, start: int, stop: int) -> tuple[int, int | None, str | None]:
+        """Place of the first record at or past `stop`, from the true start of a record; where a damaged
+        record ended the walk before, if one did; and what blocks say about those behind. Frames longer
+        than what is read at a time are stepped over."""
+        if self.blocks:
+            return self.blocks.walk(start, stop)
+        data, base, place = b"", start, start
+        while place < stop and place + RECORD_HEADER <= self.length:
+            if place + RECORD_HEADER > base + len(data):
+                data, base = self.at(place, WALKED_BYTES), place
+            end = place + RECORD_HEADER + self.header(data, place - base)[2]
+            if end > self.length:
+                return place, place, None
+            place = end
+        return place, None, None
+
+    def frames(self, start: int, stop: int, interfaces: list):
+        """(place, microseconds, link type, frame) of the records that begin in start..stop."""
+        if self.blocks:
+            yield from self.blocks.frames(start, stop, interfaces)
+        else:
+            for place, seconds, fraction, frame in self.records(start, stop):
+                yield place, seconds * 10**6 + fraction * 10**6 // self.fractions, self.linktype, frame
 
 
 def _ranges(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
@@ -136,12 +161,12 @@ def _walked(ranges: DataFrame, split_bytes: int) -> DataFrame:
                 begin = r["range_no"] * split_bytes
                 start = file.guess(begin) if r["start"] is None else r["start"]
                 if start is None:                       # nothing to go by; the range before may know
-                    out.append(r | {"start": -1, "stop": -1, "damaged": begin})
+                    out.append(r | {"start": -1, "stop": -1, "damaged": begin, "known": None})
                     continue
-                stop, damaged = file.walk(start, begin + split_bytes)
-                out.append(r | {"start": start, "stop": stop, "damaged": damaged})
+                stop, damaged, known = file.walk(start, begin + split_bytes)
+                out.append(r | {"start": start, "stop": stop, "damaged": damaged, "known": known})
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema.append(
-                pa.field("stop", pa.int64())).append(pa.field("damaged", pa.int64())))
+                pa.field("stop", pa.int64())).append(pa.field("damaged", pa.int64())).append(pa.field("known", pa.string())))
     spread = ranges.repartition("path", "range_no")
     return spread.select("path", "length", "file_no", "range_no", "start").mapInArrow(run, _RANGE)
 
@@ -162,6 +187,15 @@ def _splits(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
         found = cut_lineage(right.unionByName(again), "ranges")
 
 
+def _with_contexts(splits: DataFrame) -> DataFrame:
+    """`known` becomes what a reader has to know at the start of its range; a file has few ranges."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("range_no")
+        place = table.schema.get_field_index("known")
+        return table.set_column(place, "known", pa.array(pcapng.contexts(table.column("known").to_pylist()), pa.string()))
+    return splits.groupBy("path").applyInArrow(run, _RANGE).select(*splits.columns)
+
+
 def damage(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, damaged): places of records that reach past the end of their file."""
     return _splits(spark, path, split_bytes).where("damaged is not null").select("path", "damaged")
@@ -175,9 +209,8 @@ def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
             for r in batch.to_pylist():
                 file = _File(r["path"], r["length"])
                 rows, size = [], 0
-                for place, seconds, fraction, frame in file.records(r["start"], r["stop"]):   # up to any damage
-                    rows.append((r["file_no"] << 40 | place,
-                                 seconds * 10**6 + fraction * 10**6 // file.fractions, file.linktype, frame))
+                for place, ts_us, linktype, frame in file.frames(r["start"], r["stop"], json.loads(r["known"])):   # up to any damage
+                    rows.append((r["file_no"] << 40 | place, ts_us, linktype, frame))
                     size += len(frame)
                     if size > 4_000_000 or len(rows) >= 10_000:
                         yield _frame_batch(rows)
@@ -189,7 +222,7 @@ def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
         broken = splits.where("damaged is not null").limit(1).collect()
         if broken:
             raise Damaged(f"{broken[0].path}: the record at byte {broken[0].damaged} reaches past the end of the file")
-    splits = splits.where(F.col("start") < F.col("stop"))
+    splits = _with_contexts(splits).where(F.col("start") < F.col("stop"))
     return splits.repartition("path", "range_no").mapInArrow(run, _FRAME)
 
 

@@ -202,8 +202,9 @@ def with_frames(packets: DataFrame, some_bare: bool = False) -> DataFrame:
 CAPTURE_ROWS = 20_000             # frames of one sample capture file, about
 
 
-def write_captures(framed: DataFrame, folder: str) -> None:
-    """Writes Ethernet frames as capture files, one per task; a repeated task overwrites its own."""
+def write_captures(framed: DataFrame, folder: str, mixed: bool = False) -> None:
+    """Writes Ethernet frames as capture files, one per task; a repeated task overwrites its own.
+    `mixed`: every other file is one of blocks, with a clock of nanoseconds."""
     spark = framed.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     uri = arrow_uri(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString())
@@ -216,12 +217,22 @@ def write_captures(framed: DataFrame, folder: str) -> None:
         from pyspark import TaskContext
         target, root = fs.FileSystem.from_uri(uri)
         target.create_dir(root, recursive=True)
-        n = 0
-        with target.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():05d}.pcap") as out:
-            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1))
+        n, part = 0, TaskContext.get().partitionId()
+        blocks = mixed and part % 2 == 1
+        with target.open_output_stream(f"{root}/part-{part:05d}.pcap{'ng' if blocks else ''}") as out:
+            if blocks:
+                out.write(struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28))
+                out.write(struct.pack("<IIHHIHHIII", 1, 32, 1, 0, 262144, 9, 1, 9, 0, 32))
+            else:
+                out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1))
             for batch in batches:
                 for ts, frame in zip(batch.column("ts_us").to_pylist(), batch.column("frame").to_pylist()):
-                    out.write(struct.pack("<IIII", ts // 10**6, ts % 10**6, len(frame), len(frame)) + frame)
+                    if blocks:
+                        size, ticks = 32 + len(frame) + -len(frame) % 4, ts * 1000
+                        out.write(struct.pack("<IIIIIII", 6, size, 0, ticks >> 32, ticks & 0xFFFFFFFF, len(frame), len(frame))
+                                  + frame + bytes(-len(frame) % 4) + struct.pack("<I", size))
+                    else:
+                        out.write(struct.pack("<IIII", ts // 10**6, ts % 10**6, len(frame), len(frame)) + frame)
                     n += 1
         yield pa.RecordBatch.from_pydict({"n": [n]})
     rows = framed.select("ts_us", "seq", "frame")
