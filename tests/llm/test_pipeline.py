@@ -4,6 +4,7 @@ import pytest
 
 import oracle
 from tests.llm import brute
+from tests.llm.test_nearcopies import wanted_groups
 from wirelark.llm import queries
 
 SF = "/root/testdata/sf0.01"
@@ -24,7 +25,7 @@ def test_stages(spark):
     mild = stages["toxicity"](spark, known, SF).cache()
     assert mild.columns == docs.columns and 0.85 * known.count() < mild.count() < known.count()
     unique = stages["near duplicates"](spark, mild, SF).cache()
-    wanted = brute.simhash_groups([(r.doc_id, r.text) for r in mild.collect()])
+    wanted = wanted_groups([(r.doc_id, r.text) for r in mild.collect()])
     assert sorted(r.doc_id for r in unique.collect()) == sorted(set(wanted.values()))
     clean = stages["benchmark decontamination"](spark, unique, SF).cache()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -45,7 +45,7 @@ def brute(vectors):
 
 
 def check(spark, rows, got):
-    usable = [(i, v) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    usable = [(i, v) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
     n, deviations, white, shares = brute([v for _, v in usable])
     k = len(shares)
     assert len(got) == k * len(usable) and {r.n for r in got} == {n}
@@ -55,8 +55,6 @@ def check(spark, rows, got):
     assert np.abs(np.abs([r.whitened for r in got]).reshape(-1, k) - white[order]).max() < 1e-8
     assert np.abs(np.array([r.explained for r in got[:k]]) / shares - 1).max() < 1e-9
     assert max(r.identity_error for r in got) < 1e-9
-    signs = np.array([r.whitened for r in got]).reshape(-1, k)
-    assert np.abs(signs.T @ signs - np.diag(np.diag(signs.T @ signs))).max() < np.inf
 
 
 def test_query(spark):
@@ -69,7 +67,7 @@ def test_few_dimensions_copies_and_unusable_rows(spark):
     draw = np.random.default_rng(1)
     rows = [(i, [float(c) for c in draw.standard_normal(5) * 7]) for i in range(60)]
     rows += [(60 + i, rows[0][1]) for i in range(40)] + [(100, None), (101, [1.0, None, 1.0, 1.0, 1.0]), (102, [float("nan")] + [0.0] * 4),
-                                                        (103, [float("inf")] + [0.0] * 4), (104, [float("-inf")] + [0.0] * 4)]
+                                                        (103, [float("inf")] + [0.0] * 4), (104, [float("-inf")] + [0.0] * 4), (105, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in ("x", "n", "component", "whitened")})
     usable = whitening.whole_numbers(df)
     check(spark, rows, whitening.apply(usable, "vec_id", whitening.fit(usable)).collect())

@@ -8,7 +8,7 @@ comes from the QR-based, dynamically weighted Halley iteration (QDWH). Mean and
 all rows in a broadcast, whose size is set by the width alone.
 
 Vectors are taken in whole numbers, x = floor(64 * c) + 1000000, so that sums and deviations are exact. Rows
-whose vector is null, or holds null, NaN or infinite entries, are left out; so are directions without spread
+whose vector is null or empty, or holds null, NaN or infinite entries, are left out; so are directions without spread
 (fewer components come back, none for an empty table or a single vector). Vectors of several widths, and sums
 that a long cannot hold, are errors. Repeated rows each get their result. Other columns are not looked at.
 """
@@ -140,7 +140,7 @@ class Whitening:
 def whole_numbers(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """Adds `x`, the vector less SHIFT in whole numbers; rows without a usable vector go."""
     c = F.col(vector).cast("array<double>")
-    usable = F.col(vector).isNotNull() & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    usable = F.col(vector).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return rows.where(usable).withColumn("x", F.transform(c, lambda v: F.floor(v * SCALE)))
 
 
