@@ -12,7 +12,7 @@ import math
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, Window, functions as F
 
-from wirelark.operators import detect, evaluate as ev, learners, prep
+from wirelark.operators import decide, detect, evaluate as ev, learners, prep
 from wirelark.operators import flows as fl
 from wirelark.operators.sampling import stratified_folds
 from wirelark.operators.training import unique_classes
@@ -321,8 +321,10 @@ def detect_with_models(spark, sf_dir):
     return decided.select(*fl.FLOW, "is_attack", "attack_type")
 
 
-@query("detect_multiclass", packet_sql.live_flows(MARKS_SQL) + """ SELECT flow_key, start_us, start_seq, rst + fin > 0 AS is_attack,
-  CASE WHEN rst > 0 THEN 'DoS' WHEN fin > 0 THEN 'Reconnaissance' ELSE 'Benign' END AS attack_type FROM flow""")
+@query("detect_multiclass", packet_sql.live_flows(MARKS_SQL) + f""" SELECT flow_key, start_us, start_seq,
+  rst + fin > 0 OR is_port_scan OR is_conn_flood AS is_attack, CASE WHEN is_conn_flood THEN '{decide.FLOOD_LABEL}'
+  WHEN is_port_scan AND rst + fin = 0 THEN '{decide.SCAN_LABEL}' WHEN rst > 0 THEN 'DoS' WHEN fin > 0 THEN 'Reconnaissance'
+  ELSE '{decide.BENIGN}' END AS attack_type FROM flow""")
 def detect_multiclass(spark, sf_dir):
     """One trained model that names the attack at once."""
     flows = cut_lineage(fl.build_flows(clean_packets(spark, sf_dir), marks=MARKS), "flows")

@@ -132,7 +132,7 @@ _WATCHED = sql.live_flows(MARKS_SQL) + f""", judged AS (SELECT *, {VERDICT_SQL},
 
 
 def _watch(spark, sf_dir):
-    """The folder to which packets, in three runs on one checkpoint, were watched with two trained models."""
+    """The folder to which packets, in two runs on one checkpoint, were watched with two trained models."""
     packets = clean_packets(spark, sf_dir)
     first, second = two_stages(cut_lineage(fl.build_flows(packets, marks=MARKS), "flows"))
     folder = shared_folder(spark, "watch")
@@ -143,31 +143,18 @@ def _watch(spark, sf_dir):
         decided = detect.score_flows(flows, first, "dt", ["0", "1"], "cascade", second=second, second_name="rf", second_classes=ATTACK_CLASSES)
         watch.watch(decided, to, f"{folder}/checkpoint", once=True).awaitTermination()
     last = packets.agg(F.max("ts_us")).first()[0]
-    _in_parts(spark, _thirds(packets, last), folder, run)
+    first_two, third = _thirds(packets, last)[:2], _thirds(packets, last)[2]
+    _in_parts(spark, [first_two[0].unionByName(first_two[1]), third], folder, run)
     return to.path
 
 
 @query("stream_alerts", _WATCHED + " SELECT seq, alert_key, attack_type, ts_us, suppressed_count FROM throttled WHERE sent")
 def stream_alerts(spark, sf_dir):
-    """From packets to throttled alerts in one query, across batches and restarts."""
+    """From packets to throttled alerts, log and totals in one query, across batches and a restart."""
     return spark.read.option("recursiveFileLookup", True).parquet(f"{_watch(spark, sf_dir)}/alerts").select(
         "seq", "alert_key", "attack_type", "ts_us", "suppressed_count")
 
 
-@query("stream_totals", _WATCHED + """ SELECT attack_type, count(*) AS n_rows, count(*) FILTER (is_attack) AS attacks,
-  count(*) FILTER (is_attack AND sent) AS alerts_sent, count(*) FILTER (is_attack AND NOT sent) AS alerts_suppressed
-  FROM judged LEFT JOIN (SELECT seq, sent FROM throttled) USING (seq) GROUP BY 1""")
-def stream_totals(spark, sf_dir):
-    """The durable totals of the same query."""
-    return watch.state(spark, _watch(spark, sf_dir), "totals").withColumnRenamed("rows", "n_rows")
-
-
-@query("stream_log_segments")
-def stream_log_segments(spark, sf_dir):
-    """The segments that the same query's log has kept."""
-    return watch.state(spark, _watch(spark, sf_dir), "segments")
-
-
 def _detections(spark, sf_dir, folder):
     """Events as detections, stored so that a stream can read them."""
     kind = F.col("event_type")

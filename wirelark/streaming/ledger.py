@@ -36,6 +36,5 @@ def read(spark: SparkSession, path: str, name: str, schema: str, before: int | N
 
 def keep(df: DataFrame, path: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-    for n in numbers(df.sparkSession, f"{path}/{name}"):
-        if n <= batch_id - KEPT:
-            delete(df.sparkSession, f"{path}/{name}/batch={n}")
+    for n in numbers(df.sparkSession, f"{path}/{name}")[:-KEPT]:
+        delete(df.sparkSession, f"{path}/{name}/batch={n}")

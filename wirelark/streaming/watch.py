@@ -70,7 +70,8 @@ def state(spark: SparkSession, path: str, name: str, before: int | None = None)
 def throttle_on(events: DataFrame, cooldowns: DataFrame, cooldown_us: int) -> tuple[DataFrame, DataFrame]:
     """(events with `sent` and `suppressed_count`, cooldowns afterwards), from the cooldowns before."""
     carried = cooldowns.select("alert_key", F.col("last_sent").alias("ts_us"), F.lit(_BEFORE).alias("seq"), F.col("held").alias("_held"))
-    cut = greedy_cuts(events.unionByName(carried, allowMissingColumns=True), "alert_key", "ts_us", "seq", active=cooldown_us)
+    narrow = events.select("alert_key", "ts_us", "seq", F.lit(None).cast("long").alias("_held"))
+    cut = greedy_cuts(narrow.unionByName(carried), "alert_key", "ts_us", "seq", active=cooldown_us)
     own = F.col("seq") != _BEFORE
     first = cut.where(own & (F.col("run_pos") == 0)).groupBy("alert_key").agg(F.min(F.struct("ts_us", "seq")).alias("_first"))
     marked = (cut.where(own).drop("_held").join(small_side(cooldowns.select("alert_key", F.col("held").alias("_held"))), "alert_key", "left")
@@ -82,7 +83,8 @@ def throttle_on(events: DataFrame, cooldowns: DataFrame, cooldown_us: int) -> tu
     runs = cut.groupBy("alert_key", "run_t", "run_seq").agg((F.count("*") - 1 + F.coalesce(F.max("_held"), F.lit(0))).alias("held"))
     last = runs.groupBy("alert_key").agg(F.max(F.struct("run_t", "run_seq", "held")).alias("_r"))
     after = last.select("alert_key", F.col("_r.run_t").alias("last_sent"), F.col("_r.held").alias("held"))
-    return marked.select(*events.columns, sent.alias("sent"), shown.alias("suppressed_count")), after
+    verdict = marked.select("alert_key", "ts_us", "seq", sent.alias("sent"), shown.alias("suppressed_count"))
+    return events.join(verdict, ["alert_key", "ts_us", "seq"]).select(*events.columns, "sent", "suppressed_count"), after
 
 
 def segments_on(lines: DataFrame, segments: DataFrame, max_bytes: int, backup_count: int) -> tuple[DataFrame, DataFrame]:
@@ -121,12 +123,15 @@ def fan_out(to: Outputs):
         own = f"{path}/events/batch={batch_id}"
         batch.drop("ts").write.mode("overwrite").parquet(own)             # read several times below, worked out once
         events = spark.read.schema(batch.drop("ts").schema).parquet(own)
+        last = events.agg(F.max("ts_us")).first()[0]
+        if last is None:                                                  # nothing ended: the state stays as it is
+            ledger.delete(spark, own)
+            return
         attacks, cooldowns = throttle_on(events.where("is_attack"), state(spark, path, "cooldowns", batch_id), to.cooldown_us)
         attacks.write.mode("overwrite").parquet(f"{own}-throttled")
         attacks = spark.read.schema(attacks.schema).parquet(f"{own}-throttled")
-        last = events.agg(F.max("ts_us")).first()[0]
-        if last is not None:                                              # a cooldown that has passed, and held nothing back, is over
-            cooldowns = cooldowns.where((F.col("held") > 0) | (F.col("last_sent") + to.cooldown_us > last))
+        # a cooldown that has passed, and held nothing back, is over
+        cooldowns = cooldowns.where((F.col("held") > 0) | (F.col("last_sent") + to.cooldown_us > last))
         ledger.keep(cooldowns, f"{path}/state", "cooldowns", batch_id)
 
         shown = alerts.alert_payload(attacks.where("sent"), to.interface).join(
