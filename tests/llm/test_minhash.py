@@ -87,6 +87,28 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+@pytest.mark.parametrize("spread, piece", [(4096, 1 << 20), (2, 5)])
+def test_stars_of_any_graph(spark, monkeypatch, spread, piece):
+    """Sparse graphs, a long path in random order and hubs above their neighbours, dealt over tasks and in pieces."""
+    monkeypatch.setattr(minhash, "SPREAD", spread)
+    monkeypatch.setattr(minhash, "PIECE", piece)
+    draw = random.Random(4)
+    path = draw.sample(range(-10_000, 0), 300)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(250)] + list(zip(path, path[1:]))
+    edges += [(9000, i) for i in range(5000, 5040)] + [(5000 + i, 9001 + i % 3) for i in range(40)] + [(3, 3)]
+    draw.shuffle(edges)
+    nodes = sorted({x for e in edges for x in e if e[0] != e[1]})
+    at = {x: i for i, x in enumerate(nodes)}
+    a, b = (np.array([at[e[k]] for e in edges if e[0] != e[1]]) for k in (0, 1))
+    root = minhash.forest(a, b, len(nodes))
+    wanted = {x: nodes[root[i]] for i, x in enumerate(nodes)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = [(r.node, r.root) for r in minhash.stars(df).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {x: r for x, r in wanted.items() if x != r}
+    assert {r.node: r.root for r in minhash.components(df).collect()} == wanted
+    assert minhash.stars(df.limit(0)).count() == 0
+
+
 def test_recall_of_the_bands_at_the_bound():
     draw, docs = random.Random(9), []
     while len(docs) < 2000:

@@ -71,6 +71,19 @@ def test_one_large_loose_group(spark):
     assert {r.doc_id: r.component_id for r in nearcopies.groups(df).collect()} == wanted_groups(docs)
 
 
+def test_jobs_stay_few(spark):
+    """The plans of each job stay in the driver for a while: 200 jobs a call took it over its memory."""
+    docs = copies(9, (60, 100, 200), (1, 2, 4), 10)
+    spark.sparkContext.setJobGroup("near copies", "")
+    try:
+        got = {r.doc_id: r.component_id for r in nearcopies.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near copies"))
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert got == wanted_groups(docs) and 0 < jobs <= 90
+
+
 def test_bands_recall_at_the_bound():
     """Pairs with a similarity of 0.80 to 0.83 share a bucket."""
     docs = copies(7, (200,), (4,), 1500)

@@ -54,6 +54,7 @@ class Settings:
 
 
 SPREAD = 4096                      # rows of one key that a join may send to one task, about
+PIECE = 1 << 20                    # edges that a task reduces to stars at a time, about
 
 
 def minima(hashes: np.ndarray, first: np.ndarray, settings: Settings) -> np.ndarray:
@@ -111,20 +112,29 @@ def _sets(whole: DataFrame, text: str, settings: Settings) -> DataFrame:
     return whole.select(text).mapInArrow(run, schema)
 
 
-def attach(rows: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Joins `side`, with one row for each value of `on`, to `rows`; a value that many rows have is dealt
-    over several tasks, each with a copy of its row of `side`."""
+def hot_values(rows: DataFrame, on: str) -> DataFrame | None:
+    """The values of `on` that many rows have, each with the tasks to deal its rows over; None if there are none."""
     hot = (rows.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * SPREAD)
            .select(F.col(on).alias("_hot"), (F.col("_n") / SPREAD).cast("int").alias("_parts")))
-    if hot.isEmpty():
+    return None if hot.isEmpty() else small_side(hot)
+
+
+def dealt(rows: DataFrame, side: DataFrame, on: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Joins `side`, with one row for each value of `on`, to `rows`; the rows of a hot value are dealt over
+    several tasks, each with a copy of its row of `side`."""
+    if hot is None:
         return rows.join(side, on, how)
-    hot = small_side(hot)
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = (rows.join(hot, F.col(on) == F.col("_hot"), "left")
-             .withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_hot", "_parts"))
+    spread = (rows.join(hot, F.col(on) == F.col("_hot"), "left")
+              .withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_hot", "_parts"))
     copies = (side.join(hot, F.col(on) == F.col("_hot"), "left")
               .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts"))
-    return dealt.join(copies, [on, "_part"], how).drop("_part")
+    return spread.join(copies, [on, "_part"], how).drop("_part")
+
+
+def attach(rows: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """`dealt` by the hot values of `rows`, which are read twice and so had better be stored."""
+    return dealt(rows, side, on, hot_values(rows, on))
 
 
 def comparable(one: str, other: str, settings: Settings) -> Column:
@@ -133,7 +143,8 @@ def comparable(one: str, other: str, settings: Settings) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of set keys that are links: signatures first, then the whole sets of those that pass."""
+    """The pairs (a, b) of set keys, a stored table, that are links: signatures first, then the whole sets of those that pass."""
+    hot = hot_values(pairs, "a")
     least, over, under = settings.agreeing, settings.over, settings.under
 
     def agree(batches):
@@ -152,36 +163,74 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
 
     for column, check in (("signature", agree), ("shingles", linked)):
         x, y = (sets.select(F.col("key").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        pairs = attach(pairs.join(y, "b"), x, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+        pairs = dealt(pairs.join(y, "b"), x, "a", hot).select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
     return pairs
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): the least node that it reaches.
+def _stars_of(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges as stars: from the least node of each component that they form to each of its others, by rising node."""
+    nodes, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    label = forest(at[:len(lo)], at[len(lo):], len(nodes))
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[far]], nodes[far]
+
+
+def _in_stars(edges: DataFrame) -> DataFrame:
+    """The edges (lo, hi) of each task as stars, in pieces that do not part neighbouring rows of one `hi`."""
+    most = PIECE
 
-    Large star: every node links its larger neighbours to the least node it knows; small star: its smaller
-    ones. They alternate until nothing changes. A hub's edges are dealt over tasks.
+    def reduced(lo, hi):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _stars_of(lo, hi)], ["lo", "hi"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column("lo").to_numpy(), batch.column("hi").to_numpy()))
+            size += batch.num_rows
+            if size >= most:
+                lo, hi = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.flatnonzero(np.append(True, hi[1:] != hi[:-1]))[-1])
+                if cut:
+                    yield reduced(lo[:cut], hi[:cut])
+                held, size = [(lo[cut:], hi[cut:])], size - cut
+        if size:
+            yield reduced(*(np.concatenate(x) for x in zip(*held)))
+    return edges.select("lo", "hi").mapInArrow(run, "lo long, hi long")
+
+
+def _left_to_do(edges: DataFrame) -> tuple[int, int]:
+    """How many nodes have a smaller neighbour and another one, and how many have so many larger ones that a join must deal them."""
+    nodes = edges.selectExpr("stack(2, lo, 0, hi, 1) AS (node, above)").groupBy("node").agg(F.count("*").alias("n"), F.sum("above").alias("above"))
+    return tuple(nodes.agg(F.count_if((F.col("above") > 0) & (F.col("n") > 1)), F.count_if(F.col("n") - F.col("above") > 2 * SPREAD)).first())
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (a, b) but the roots: the least node that it reaches.
+
+    Tasks make stars of the edges they hold, so a node then has at most one smaller neighbour from each. Large star:
+    every node links its larger neighbours to the least node it knows; small star: the edges meet by their larger
+    node and become stars again. This goes on until all edges together are stars. A hub's edges are dealt over tasks.
     """
     scratch = Scratch(edges.sparkSession, "stars")
-    kept, state = "edges-0", None
-    now = scratch.table(kept, edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
+    now = scratch.table("edges-0", _in_stars(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi")))
     for n in range(1, 200):
+        open_nodes, hubs = _left_to_do(now)
+        if not open_nodes:
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         # of a node's neighbours the least smaller one, if any, else the node itself
         least = now.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("least"))
-        large = attach(now, least, "lo", "left").select(F.coalesce("least", "lo").alias("lo"), "hi").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        small = attach(large, least, "hi").select(F.explode(F.array(
-            F.struct(F.col("least").alias("lo"), "hi"), F.struct(F.col("least").alias("lo"), F.col("lo").alias("hi")))).alias("e"))
-        after = scratch.table(f"edges-{n}", small.select("e.lo", "e.hi").where("lo < hi").distinct())
-        was, state = state, after.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        scratch.drop(kept)
-        kept, now = f"edges-{n}", after
-        if was == state:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
-                now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+        large = dealt(now, least, "lo", hot_values(now, "lo") if hubs else None, "left").select(F.coalesce("least", "lo").alias("lo"), "hi")
+        now = scratch.table(f"edges-{n}", _in_stars(large.repartition("hi").sortWithinPartitions("hi")))
+        scratch.drop(f"edges-{n - 1}")
     raise RuntimeError("the components of the links did not settle")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (a, b): the least node that it reaches."""
+    found = stars(edges)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
 def _open(members: DataFrame) -> DataFrame:
     """The members of those buckets that lie in several components."""
     several = members.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
@@ -240,7 +289,7 @@ def rest_links(members: DataFrame, sets: DataFrame, settings: Settings) -> DataF
 
 def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, settings: Settings, scratch: Scratch,
           more: DataFrame | None = None) -> DataFrame:
-    """(node, root) of all set keys that are linked to another; `classes` has key, n, bands and first_id.
+    """(node, root) of all set keys that are linked to a smaller one, directly or not; `classes` has key, n, bands and first_id.
     `more` are candidates (a, b) from elsewhere, as many as there are sets at most, about."""
     spread = classes.select("key", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
@@ -253,7 +302,8 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, settings:
     whole = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
     sets = scratch.table("sets", _sets(whole, "text", settings).join(needed, "key", "left_semi").dropDuplicates(["key"]))
 
-    edges, roots = None, None
+    scratch.release()
+    roots = None
     for i in range(settings.rounds + 1):
         if i < settings.rounds:
             centres = members.groupBy("bucket").agg(F.min(F.struct("key", "n", "root")).alias("_c"))
@@ -262,17 +312,23 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, settings:
             pairs = beside.where((F.col("root") != F.col("a_root")) & comparable("n", "a_n", settings)).select("a", F.col("key").alias("b"))
             if more is not None and i == 0:
                 pairs = pairs.unionByName(more)
-            found = confirmed(pairs.distinct(), sets, settings)
+            pairs = scratch.table(f"pairs-{i}", pairs.distinct())
+            found = pairs if i and pairs.isEmpty() else confirmed(pairs, sets, settings)
         else:
             beside, found = None, rest_links(members, sets, settings)
         found = scratch.table(f"edges-{i}", found)
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
+        if roots is None:
+            roots = stars(found)
+        elif not found.isEmpty():
+            roots = stars(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
         if beside is not None:                             # a centre is compared with all others of its bucket, so it is done
-            renamed = attach(beside.select("bucket", "key", "n"), roots.withColumnRenamed("node", "key"), "key", "left")
+            renamed = beside.select("bucket", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
             members = scratch.table(f"members-{i + 1}", _open(renamed.select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))))
-            scratch.drop(f"members-{i}")
-            scratch.drop(f"beside-{i}")
+            for old in ("members", "beside", "pairs"):
+                scratch.drop(f"{old}-{i}")
+            scratch.release()
+            if members.isEmpty():
+                break
     return roots
 
 
@@ -283,8 +339,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings
     classes = scratch.table("classes", marked.where("n > 0").groupBy("key").agg(
         F.min(doc_id).alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     roots = links(classes, docs, doc_id, text, settings, scratch)
-    named = attach(classes.select("key", "first_id"), roots.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "first_id", F.coalesce("root", "key").alias("root"))
+    named = scratch.table("named", classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "first_id", F.coalesce("root", "key").alias("root")))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_key = attach(named.select("key", "root"), names, "root").select("key", "component_id")
     some = attach(marked.where("n > 0").select(doc_id, "key", "n"), of_key, "key")

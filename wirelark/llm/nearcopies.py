@@ -74,9 +74,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.min(doc_id).alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     some = classes.where("n > 0")
     pairs = scratch.table("pairs", _fingerprint_pairs(some, scratch))
+    scratch.release()
     roots = minhash.links(some, docs, doc_id, text, settings, scratch, pairs)
-    named = minhash.attach(classes.select("key", "first_id"), roots.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "first_id", F.coalesce("root", "key").alias("root"))
+    named = scratch.table("named", classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "first_id", F.coalesce("root", "key").alias("root")))
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_key = minhash.attach(named.select("key", "root"), names, "root").select("key", "component_id")
     return minhash.attach(marked.select(doc_id, "key"), of_key, "key").select(doc_id, "component_id")

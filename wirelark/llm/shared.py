@@ -36,3 +36,8 @@ class Scratch:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Lets the driver's JVM collect its garbage: only then does Spark delete the broadcasts and shuffle files of
+        the steps that are done. For operators of many small steps between tables."""
+        self.spark._jvm.System.gc()
