@@ -94,3 +94,15 @@ def test_simple_and_old_packets():
     data = section("<") + interface("<", 101) + block("<", pcapng.SIMPLE, struct.pack("<I", 5) + b"hello") \
         + block("<", pcapng.OLD_PACKET, struct.pack("<HHIIII", 0, 0, 0, 9, 3, 3) + b"abc")
     assert [f[1:] for f in blocks(data).frames(0, len(data), [])] == [(0, 101, b"hello"), (9, 101, b"abc")]
+
+
+@pytest.mark.parametrize("tail", [0, 5])
+def test_a_last_range_in_which_no_block_begins(spark, tmp_path, tail):
+    """A range that begins inside the last block has nothing to read; it is no damage."""
+    data, want = sample(40)
+    (tmp_path / "a.pcapng").write_bytes(data + b"\1" * tail)
+    last, = struct.unpack("<I" if data[-1] == 0 else ">I", data[-4:])
+    for inside in (4, last - 8):
+        size = next(s for s in range(300, len(data)) if len(data) - inside <= (len(data) + tail - 1) // s * s < len(data) + tail)
+        got = [(r.ts_us, r.linktype, bytes(r.frame)) for r in pcap.read_frames(spark, str(tmp_path), size).orderBy("seq").collect()]
+        assert got == want and pcap.damage(spark, str(tmp_path), size).isEmpty()

@@ -81,6 +81,8 @@ class Blocks:
     def walk(self, start: int, stop: int) -> tuple[int, int | None, str]:
         """(place of the first block at or past `stop`, place of any damage, what a reader further on has to know)."""
         known, place = [], start
+        if start + 12 > self.length:                       # the last block began in a range before
+            return start, None, "[]"
         order = self.order_at(start)
         if order is None:
             return start, start, "[]"
